@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandspark.llm import decontam
 from strandspark.llm import mix as mixing
 from strandspark.llm import shard as sharding
-from strandspark.llm import simhash
+from strandspark.llm import simhash, tokens
 from strandspark.llm.common import cut, table
 
 
@@ -49,5 +49,9 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, "size").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_simhash_dedup, op5_shards)}
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids)}
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
