@@ -57,7 +57,7 @@ def scan(auto, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
 
 def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word ranges as ranges of the original text's characters."""
-    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
