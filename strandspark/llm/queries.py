@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandspark.llm import decontam
 from strandspark.llm import mix as mixing
 from strandspark.llm import shard as sharding
-from strandspark.llm import simhash, tokens
+from strandspark.llm import simhash, tokens, toxicity
 from strandspark.llm.common import cut, table
 
 
@@ -53,5 +53,9 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity)}
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
