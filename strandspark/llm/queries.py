@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontam
+from strandspark.llm import decontam, langid
 from strandspark.llm import mix as mixing
 from strandspark.llm import shard as sharding
 from strandspark.llm import simhash, tokens, toxicity
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = decontam.n_hit(F.col("ranges"))
@@ -57,5 +61,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity)}
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
