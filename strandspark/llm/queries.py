@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandspark.llm import decontam, langid
 from strandspark.llm import mix as mixing
 from strandspark.llm import shard as sharding
+from strandspark.llm import pages as paging
 from strandspark.llm import simhash, tokens, toxicity
 from strandspark.llm.common import cut, table
 
@@ -61,5 +62,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity)}
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.digests(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity, op8_main_text)}
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
