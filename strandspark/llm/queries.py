@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontam, langid
+from strandspark.llm import decontam, embeddings, langid
 from strandspark.llm import mix as mixing
 from strandspark.llm import shard as sharding
 from strandspark.llm import pages as paging
@@ -66,5 +66,9 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.digests(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity, op8_main_text)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity, op8_main_text, op9_embedding_dedup)}
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
