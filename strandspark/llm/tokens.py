@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import cut, shared_dir, slices
 
 MAGIC, BLOCK = b"TOKPACK1", 1 << 16
-#: A blank beside other white space: there the text can't be cut at blanks alone.
-ODD = re.compile(r"\s | \s")
-CACHE = 400_000
+#: White space beside white space, or other than blanks and line feeds: there a text is not cut.
+RUN = re.compile(r"\s\s|[^\S \n]")
+CACHE, LONG = 600_000, 9
 
 
 def width(vocabulary: int) -> int:
@@ -118,9 +118,9 @@ class Reader:
 class Encoder:
     """Whole texts to ids as the tokenizer gives them.
 
-    A byte-level BPE never joins a letter with a blank after it, so a text is cut before each single blank and the
-    pieces' ids, which repeat, are kept (CACHE pieces at most). Texts with special tokens go whole; so do those
-    with runs of white space, where cuts at blanks would change tokens.
+    A byte-level BPE never joins a character that is no white space with a blank or line feed after it, so a text is cut before each
+    single blank and around each single line feed, and the pieces' ids, which repeat, are kept (those of up to LONG characters, and CACHE pieces at most).
+    Texts with special tokens, runs of white space or other white space, where such cuts could change tokens, go whole.
     """
 
     def __init__(self, path: str):
@@ -129,28 +129,46 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}  # of pieces as they are
+        self.after: dict[str, bytes] = {}  # of pieces with a blank before them
+        self.long: dict[str, list[str]] = {}  # pieces that are known for one call only
+        [self.feed] = self._all(["\n"])
+        self.marks = {b: np.array([str(self.tok.id_to_token(i) or "").startswith(m) for i in range(self.tok.get_vocab_size())]) for b, m in ((" ", "\u0120"), ("\n", "\u010a"))}
 
     def _all(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """ids as little-endian unsigned 32-bit integers."""
-        cut_up, out = [], []
-        for t in texts:
-            if not t or ODD.search(t) or any(s in t for s in self.special):
-                cut_up.append(None)
-            else:
-                first, *rest = t.split(" ")
-                cut_up.append([first, *[" " + p for p in rest]] if first else [" " + p for p in rest])
-        known = self.known
+    def _learn(self, known: dict[str, bytes], used: set[str], before: str) -> None:
+        """Adds the pieces of used that are not known. They hold no white space and are encoded as one text, parted by what stands before each, and told apart by the tokens that begin with it."""
+        for p in self.long.pop(before, ()):
+            del known[p]
         if len(known) > CACHE:
             known.clear()
-        new = list({p for ps in cut_up if ps for p in ps if p not in known})
-        known.update(zip(new, self._all(new), strict=True))
-        whole = iter(self._all([t for t, ps in zip(texts, cut_up, strict=True) if ps is None]))
-        for ps in cut_up:
-            out.append(next(whole) if ps is None else b"".join([known[p] for p in ps]))
+        if "" not in known:
+            known[""] = self._all([before])[0]
+        plain = list(used.difference(known))
+        self.long[before] = [p for p in plain if len(p) > LONG]
+        mark = before or "\n"
+        for k in range(0, len(plain), 4096):
+            part = plain[k : k + 4096]
+            [ids] = self._all([mark + mark.join(part)])
+            at = np.flatnonzero(self.marks[mark][np.frombuffer(ids, "<u4")])
+            if len(at) != len(part):  # not a byte-level vocabulary, or it joins what it should not
+                known.update(zip(part, self._all([before + p for p in part]), strict=True))
+                continue
+            lo, hi = 4 * at + 4 * (not before), 4 * np.append(at[1:], len(ids) // 4)
+            known.update((p, ids[i:j]) for p, i, j in zip(part, lo.tolist(), hi.tolist(), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """ids as little-endian unsigned 32-bit integers."""
+        whole = [not t or bool(RUN.search(t)) or any(s in t for s in self.special) for t in texts]
+        cut_up = [None if w else [line.split(" ") for line in t.split("\n")] for t, w in zip(texts, whole, strict=True)]
+        self._learn(self.first, {line[0] for ls in cut_up if ls for line in ls}, "")
+        self._learn(self.after, {p for ls in cut_up if ls for line in ls for p in line[1:]}, " ")
+        others = iter(self._all([t for t, w in zip(texts, whole, strict=True) if w]))
+        first, after, out = self.first, self.after, []
+        for ls in cut_up:
+            out.append(next(others) if ls is None else self.feed.join([first[line[0]] + b"".join(map(after.__getitem__, line[1:])) for line in ls]))
         return out
 
 
@@ -192,7 +210,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
         writer, n = None, 0
         end = np.array([end_id], "<u4")
         keys = []
-        for b in slices(batches, 128):
+        for b in slices(batches, 512):
             if writer is None:
                 out, done = _open(f"{folder}/{name}")
                 writer = Writer(out, width(encode.tok.get_vocab_size()))
