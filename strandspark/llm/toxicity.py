@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 class Ftrl:
     """Per-coordinate rates and L1 sparsity; the last coordinate is the bias, which is not shrunk."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -66,44 +67,45 @@ def score(text: str | None, dense: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(s, -35, 35))))
 
 
-def learnable(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """(doc_id, text, y) of the labelled rows outside the held-out fold; a key with several labels counts as toxic if one of them says so."""
-    y = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1.0).otherwise(0.0)).alias("y"))
-    return docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"), folds, held)).join(y, "doc_id")
+def learnable(labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
+    """(doc_id, y) of the labelled keys outside the held-out fold; a key with several labels counts as toxic if one of them says so."""
+    known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"), folds, held))
+    return known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1.0).otherwise(0.0)).alias("y"))
 
 
 def held_out(key: Column, folds: int = 5, held: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(folds)) == held, F.lit(False))
 
 
-def fit(rows: DataFrame, fit_rows: int = 24_000, epochs: int = 3, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights, learned from a bounded sample of rows (doc_id, text, y).
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, epochs: int = 3, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates and weights, learned from a bounded sample of the labelled rows outside the held-out fold.
 
-    fit_rows bounds the sample, which is drawn by the keys' hash; all rows are taken where there are no more. Features are made on
-    the executors; fit_rows lists of hashes come to the driver, which learns from them row by row, each epoch in
-    another order. L1 leaves at most the coordinates that occur in the sample, 2 ** bits however large the corpus is.
-    Without rows, or with labels of one kind only, the bias alone is learned, and without rows every score is 0.5.
+    fit_rows bounds the sample, which is drawn by the keys' hash; all are taken where there are no more. The drawn keys
+    are broadcast, so that no text is shuffled. Features are made on the executors; fit_rows lists of hashes come to
+    the driver, which learns from them row by row, each epoch in another order. L1 leaves at most the coordinates that
+    occur in the sample, 2 ** bits however large the corpus is. Rows with the same key and text count once.
+    Without rows every score is 0.5; with labels of one kind only the bias says which.
     """
-    kept = rows.select(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", F.xxhash64("text").alias("x"))
-    bound = [tuple(r) for r in kept.orderBy("h", "doc_id", "x").limit(fit_rows).groupBy().agg(F.max("h"), F.count("*")).collect()][0]
-    if not bound[1]:
-        return np.array([1 << bits]), np.array([0.0])
-    sample = rows.filter(F.xxhash64("doc_id", F.lit(seed)) <= F.lit(bound[0])).select("doc_id", "text", "y")
+    h = F.xxhash64("doc_id", F.lit(seed))
+    drawn = learnable(labels).orderBy(h, "doc_id").limit(fit_rows)
 
     def run(batches):
         for b in slices(batches):
             xs = [features(t, bits).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), b.column("y"), b.column("doc_id")], ["x", "y", "k"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"x binary, y double, k {kind}").toArrow()
-    got = got.sort_by([("k", "ascending"), ("y", "ascending"), ("x", "ascending")])
-    xs = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in got.column("x")]
-    ys = got.column("y").to_numpy()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y").mapInArrow(run, f"x binary, y double, k {kind}")
+    got = rows.groupBy("k", "y", F.xxhash64("x").alias("h")).agg(F.first("x").alias("x")).orderBy(F.xxhash64("k", F.lit(seed)), "k", "h").limit(fit_rows).select("x", "y", "k").toArrow()
+    if not got.num_rows:
+        return np.array([1 << bits]), np.array([0.0])
+    order = pc.sort_indices(got.select(["k", "y", "x"]), sort_keys=[("k", "ascending"), ("y", "ascending"), ("x", "ascending")]).to_numpy()
+    xs, ys = got.column("x").combine_chunks(), got.column("y").to_numpy()
+    starts, flat = np.frombuffer(xs.buffers()[1], "<i4")[xs.offset : xs.offset + len(xs) + 1] // 4, np.frombuffer(xs.buffers()[2] or b"", "<u4")
     model, rng = Ftrl(bits), np.random.default_rng(seed)
     for _ in range(epochs):
-        for k in rng.permutation(len(xs)):
-            model.learn(xs[k], ys[k])
+        for k in order[rng.permutation(len(order))]:
+            model.learn(flat[starts[k] : starts[k + 1]], ys[k])
     return model.weights()
 
 
@@ -129,7 +131,7 @@ def predict(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     Null or empty texts get the bias' score, repeated rows a row each, null keys are never learned from. An empty
     table stays empty; without labels every score is 0.5 and predicted 1, as the rule for ties says.
     """
-    got = scores(docs, fit(learnable(docs, labels), **how), ["doc_id"])
+    got = scores(docs, fit(docs, labels, **how), ["doc_id"])
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -138,4 +140,4 @@ def clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     if not labels.filter("toxic > 0").head(1):
         return docs
     [s] = fresh(docs, "_score")
-    return scores(docs, fit(learnable(docs, labels), **how), docs.columns, s).filter(F.col(s) < 0.5).select(*docs.columns)
+    return scores(docs, fit(docs, labels, **how), docs.columns, s).filter(F.col(s) < 0.5).select(*docs.columns)
