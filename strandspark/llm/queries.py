@@ -9,7 +9,7 @@ from strandspark.llm import decontam, embeddings, langid
 from strandspark.llm import mix as mixing
 from strandspark.llm import shard as sharding
 from strandspark.llm import pages as paging
-from strandspark.llm import simhash, tokens, toxicity
+from strandspark.llm import quality, simhash, tokens, toxicity
 from strandspark.llm.common import cut, table
 
 
@@ -70,5 +70,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity, op8_main_text, op9_embedding_dedup)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity, op8_main_text, op9_embedding_dedup, op10_quality)}
 SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
