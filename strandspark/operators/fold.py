@@ -8,6 +8,7 @@ sums their weights, and tracing back lists them with the cells they are made of.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.functions import dotparen, let, letters, partners, span, strands_of, total
-from strandspark.sources.params import C_STD, KT, Motif, Params
+from strandspark.sources.params import C_STD, KT, Params
 
 #: What a cell holds, beside its pair weights by type: q. Kinds of cells are numbered by their place here; PAIR + t is the pair of the t-th type possible.
 CELL = ("cut", "bp", "coax", "basic", "nb", "nc", "c", "lin")
@@ -135,33 +136,39 @@ def _loops(p: Params, full: bool, bare: Molecule) -> Column:
     if not hot:
         return F.transform(span(0, n - 1), lambda d: F.transform(span(0, n - 1), lambda i: F.array().cast(LOOP_DDL)))
     strands = sorted({s for m in hot for s in m.strands})
+    table = [
+        {"m": p.motifs.index(m), "c": m.c_eff, "first": strands.index(m.strands[0]), "second": strands.index(m.strands[-1]), "a": len(m.strands[0]), "b": len(m.strands[1]) if len(m.strands) > 1 else 0,
+         "closing": [k for k in range(len(p.types)) if p.types[k].flip in m.pairs[-1]], "inner": list(m.pairs[0])}
+        for m in hot
+    ]
+    rows = F.from_json(F.lit(json.dumps(table)), "array<struct<m:int,c:double,first:int,second:int,a:int,b:int,closing:array<int>,inner:array<int>>>")
+    shapes = F.from_json(F.lit(json.dumps([{"re": f"^{strand_pattern(s)}$", "k": len(s)} for s in strands])), "array<struct<re:string,k:int>>")
     text = F.array_join(F.concat(F.col("seq"), F.col("seq")), "")  # goes around once
-    bound = F.col("of")
-
-    def fits(s: str) -> Column:
-        k = len(s)
-        free = lambda i: F.isnull(bound) | ~F.exists(span(1, k - 2), lambda x: F.get(bound, F.pmod(i + x, n)) >= 0)
-        return F.transform(span(0, n - 1), lambda i: (n >= k) & F.substring(text, i + 1, k).rlike(f"^{strand_pattern(s)}$") & _joined(bare, i, F.lit(k - 1)) & free(i))
-
-    def at(found, types, i, d):
-        def of(m: Motif) -> Column:
-            first = F.get(F.get(found, strands.index(m.strands[0])), i)
-            closing = [k for k in range(len(p.types)) if p.types[k].flip in m.pairs[-1]]
-            own = lambda use: F.flatten(F.transform(F.get(F.get(types, d), i), lambda t, k: F.when(t.isin(closing), use(k)).otherwise(F.array().cast(LOOP_DDL)))) if closing else F.array().cast(LOOP_DDL)
-            make = lambda t, i2, d2, u, last: F.struct(t.alias("t"), F.lit(p.motifs.index(m)).alias("m"), F.lit(m.c_eff).alias("c"), i2.alias("i"), d2.alias("d"), u.alias("u"), F.lit(last).alias("span"))
-            a = len(m.strands[0])
-            if len(m.strands) == 1:
-                return F.when((d == a - 1) & first, own(lambda k: F.array(make(k, F.lit(-1), F.lit(-1), F.lit(-1), a)).cast(LOOP_DDL))).otherwise(F.array().cast(LOOP_DDL))
-            b = len(m.strands[1])
-            i2, d2 = F.pmod(i + a - 1, n), d - a - b + 2
-            second = F.get(F.get(found, strands.index(m.strands[1])), F.pmod(i + d - b + 1, n))
-            inner = F.filter(F.transform(F.get(F.get(types, d2), i2), lambda t, k: F.struct(t.alias("t"), k.alias("k"))), lambda x: x["t"].isin(list(m.pairs[0]))) if m.pairs[0] else F.array().cast("array<struct<t:int,k:int>>")
-            return F.when((d >= a + b - 1) & first & second, own(lambda k: F.transform(inner, lambda x: make(k, i2, d2, x["k"], b)).cast(LOOP_DDL))).otherwise(F.array().cast(LOOP_DDL))
-
-        return F.when(F.size(F.get(F.get(types, d), i)) > 0, F.concat(*[of(m) for m in hot])).otherwise(F.array().cast(LOOP_DDL))
-
-    types = F.col("types")
-    return let(F.array(*[fits(s) for s in strands]), lambda found: F.transform(span(0, n - 1), lambda d: F.transform(span(0, n - 1 if full else n - 1 - d), lambda i: at(found, types, i, d))))
+    bound, types = F.col("of"), F.col("types")
+
+    def fits(s: Column) -> Column:
+        """Where the strand can start: its letters match, no nick is within, and no letter but its ends is forced to pair."""
+        free = lambda i: F.isnull(bound) | ~F.exists(span(1, s["k"] - 2), lambda x: F.get(bound, F.pmod(i + x, n)) >= 0)
+        return F.transform(span(0, n - 1), lambda i: (n >= s["k"]) & F.rlike(F.substring(text, i + 1, s["k"]), s["re"]) & _joined(bare, i, s["k"] - 1) & free(i))
+
+    def at(found, i, d):
+        here = F.get(F.get(types, d), i)
+        strand = lambda m, which, k: F.get(F.get(found, m[which]), F.pmod(k, n))
+        fit = F.filter(rows, lambda m: strand(m, "first", i) & F.when(m["b"] == 0, d == m["a"] - 1).otherwise((d >= m["a"] + m["b"] - 1) & strand(m, "second", i + d - m["b"] + 1)))
+
+        def make(t, m, i2, d2, u):
+            return F.struct(t.alias("t"), m["m"].alias("m"), m["c"].alias("c"), i2.alias("i"), d2.alias("d"), u.alias("u"), F.when(m["b"] == 0, m["a"]).otherwise(m["b"]).alias("span"))
+
+        def closed(m, k):
+            i2, d2 = F.pmod(i + m["a"] - 1, n), d - m["a"] - m["b"] + 2
+            inner = F.filter(F.transform(F.get(F.get(types, d2), i2), lambda t, u: F.struct(t.alias("t"), u.alias("u"))), lambda x: F.array_contains(m["inner"], x["t"]))
+            none = F.lit(-1)
+            return F.when(m["b"] == 0, F.array(make(k, m, none, none, none)).cast(LOOP_DDL)).otherwise(F.transform(inner, lambda x: make(k, m, i2, d2, x["u"])).cast(LOOP_DDL))
+
+        own = lambda m: F.flatten(F.transform(here, lambda t, k: F.when(F.array_contains(m["closing"], t), closed(m, k)).otherwise(F.array().cast(LOOP_DDL))))
+        return F.when(F.size(here) > 0, F.flatten(F.transform(fit, own))).otherwise(F.array().cast(LOOP_DDL))
+
+    return let(F.transform(shapes, fits), lambda found: F.transform(span(0, n - 1), lambda d: F.transform(span(0, n - 1 if full else n - 1 - d), lambda i: at(found, i, d))))
 
 
 def families(mol: Molecule, kind: int, i, d, t=None, q=None) -> list[Family]:
@@ -381,7 +388,9 @@ def fill(molecules: DataFrame, p: Params, full: bool = False, strands: bool = Tr
         return F.concat(state, F.array(row)).cast(f"array<array<{CELL_DDL}>>")
 
     cells = F.aggregate(span(1, mol.n - 1), F.array(_diagonal(mol, full)).cast(f"array<array<{CELL_DDL}>>"), step)
-    m = m.withColumn("cells", F.when(F.col("n") > 0, cells))
+    # Each column that the aggregate reads is named beside it once more: one that is used once would be computed anew for every cell.
+    known = (F.col("n") > 0) & (F.size("types") >= 0) & (F.size("motifs") >= 0) & (F.size("lig") >= 0) & (F.size("nicks") >= 0) & (F.size("seq") >= 0)
+    m = m.withColumn("cells", F.when(known, cells))
     done = molecule(p, full, F.col("cells"))
     if full:
         z = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(sum_of(_z_final(done, F.lit(0))))
