@@ -6,6 +6,8 @@ import json
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,14 @@ def slices(batches, rows: int = 256):
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+def by_bytes(batches, column: str, size: int):
+    """Arrow batches in pieces with about size bytes in a text column; a longer text is a piece of its own."""
+    for b in batches:
+        n = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        k = 0
+        while k < b.num_rows:
+            to = max(k + 1, int(np.searchsorted(n, (n[k - 1] if k else 0) + size)))
+            yield b.slice(k, to - k)
+            k = to

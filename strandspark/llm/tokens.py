@@ -11,23 +11,27 @@ A file (*.tok), all integers little-endian:
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import struct
 import zlib
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import cut, shared_dir, slices
+from strandspark.llm.common import by_bytes, cut, shared_dir
 
 MAGIC, BLOCK = b"TOKPACK1", 1 << 16
-#: White space beside white space, or other than blanks and line feeds: there a text is not cut.
-RUN = re.compile(r"\s\s|[^\S \n]")
-CACHE, LONG = 600_000, 9
+#: White space beside white space, at an end, or other than blanks and line feeds: there a text is not cut.
+ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: Characters that are encoded together; a longer text goes alone.
+TOGETHER = 12 << 20
+#: Pieces of up to LONG bytes are kept for later batches, CACHE of them at most.
+CACHE, LONG = 600_000, 10
 
 
 def width(vocabulary: int) -> int:
@@ -118,9 +122,10 @@ class Reader:
 class Encoder:
     """Whole texts to ids as the tokenizer gives them.
 
-    A byte-level BPE never joins a character that is no white space with a blank or line feed after it, so a text is cut before each
-    single blank and around each single line feed, and the pieces' ids, which repeat, are kept (those of up to LONG characters, and CACHE pieces at most).
-    Texts with special tokens, runs of white space or other white space, where such cuts could change tokens, go whole.
+    A byte-level BPE never joins a character that is no white space with a blank after it, so texts are cut before each
+    blank, and each distinct piece of a batch is encoded once. Distinct pieces are encoded as one text and told apart
+    by the tokens that begin with a blank. Texts with special tokens, with white space other than single blanks and
+    line feeds, or with white space at an end go whole, as such cuts could change their tokens.
     """
 
     def __init__(self, path: str):
@@ -129,46 +134,68 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}  # of pieces as they are
-        self.after: dict[str, bytes] = {}  # of pieces with a blank before them
-        self.long: dict[str, list[str]] = {}  # pieces that are known for one call only
-        [self.feed] = self._all(["\n"])
-        self.marks = {b: np.array([str(self.tok.id_to_token(i) or "").startswith(m) for i in range(self.tok.get_vocab_size())]) for b, m in ((" ", "\u0120"), ("\n", "\u010a"))}
-
-    def _all(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], used: set[str], before: str) -> None:
-        """Adds the pieces of used that are not known. They hold no white space and are encoded as one text, parted by what stands before each, and told apart by the tokens that begin with it."""
-        for p in self.long.pop(before, ()):
-            del known[p]
-        if len(known) > CACHE:
-            known.clear()
-        if "" not in known:
-            known[""] = self._all([before])[0]
-        plain = list(used.difference(known))
-        self.long[before] = [p for p in plain if len(p) > LONG]
-        mark = before or "\n"
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            [ids] = self._all([mark + mark.join(part)])
-            at = np.flatnonzero(self.marks[mark][np.frombuffer(ids, "<u4")])
-            if len(at) != len(part):  # not a byte-level vocabulary, or it joins what it should not
-                known.update(zip(part, self._all([before + p for p in part]), strict=True))
-                continue
-            lo, hi = 4 * at + 4 * (not before), 4 * np.append(at[1:], len(ids) // 4)
-            known.update((p, ids[i:j]) for p, i, j in zip(part, lo.tolist(), hi.tolist(), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """ids as little-endian unsigned 32-bit integers."""
-        whole = [not t or bool(RUN.search(t)) or any(s in t for s in self.special) for t in texts]
-        cut_up = [None if w else [line.split(" ") for line in t.split("\n")] for t, w in zip(texts, whole, strict=True)]
-        self._learn(self.first, {line[0] for ls in cut_up if ls for line in ls}, "")
-        self._learn(self.after, {p for ls in cut_up if ls for line in ls for p in line[1:]}, " ")
-        others = iter(self._all([t for t, w in zip(texts, whole, strict=True) if w]))
-        first, after, out = self.first, self.after, []
-        for ls in cut_up:
-            out.append(next(others) if ls is None else self.feed.join([first[line[0]] + b"".join(map(after.__getitem__, line[1:])) for line in ls]))
+        self.kept, self.ids, self.begin, self.size = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.marks = np.array([str(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _after_blanks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        ids, _ = self._each([" " + " ".join(pieces[k : k + 256]) for k in range(0, len(pieces), 256)])
+        at = np.flatnonzero(self.marks[ids])
+        if len(at) != len(pieces) or at[0]:  # a vocabulary that marks blanks otherwise
+            return self._each([" " + p for p in pieces])
+        return ids, np.diff(np.append(at, len(ids)))
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each distinct piece where its own begin and how many they are. Short pieces, which come again, are kept."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.kept), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        fresh = words.take(pa.array(new))
+        ids, n = self._after_blanks(fresh.to_pylist())
+        old = len(self.kept)
+        begin, size = np.concatenate([self.begin, len(self.ids) + np.cumsum(n) - n]), np.concatenate([self.size, n])
+        place[new] = old + np.arange(len(new))
+        every = np.concatenate([self.ids, ids])
+        short = np.flatnonzero(pc.less_equal(pc.binary_length(fresh), LONG).to_numpy(zero_copy_only=False))[: max(0, CACHE - old)]
+        if len(short):
+            own = np.repeat((begin[old:] - len(self.ids))[short] - np.cumsum(n[short]) + n[short], n[short]) + np.arange(int(n[short].sum()))
+            self.kept = pa.concat_arrays([self.kept, fresh.take(pa.array(short))])
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(n[short]) - n[short]])
+            self.ids, self.size = np.concatenate([self.ids, ids[own]]), np.concatenate([self.size, n[short]])
+        return every, begin[place], size[place]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """texts: strings without nulls."""
+        whole = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, ODD))
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        out: list = [None] * len(texts)
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        ids, n = self._each(texts.take(pa.array(at)).to_pylist())
+        for k, x in zip(at, np.split(ids, np.cumsum(n)[:-1]) if len(at) else (), strict=True):
+            out[k] = x
+        rest = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if not len(rest):
+            return out
+        parts = pc.split_pattern(texts.take(pa.array(rest)), " ")
+        pieces, start = parts.flatten(), parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        known = pieces.dictionary_encode()
+        first = pieces.take(pa.array(start)).dictionary_encode()
+        a, begin, n = self._known(known.dictionary)
+        b, n_b = self._each(first.dictionary.to_pylist())
+        code = known.indices.to_numpy().astype(np.int64)
+        code[start] = first.indices.to_numpy().astype(np.int64) + len(n)
+        ids, begin, n = np.concatenate([a, b]), np.concatenate([begin, len(a) + np.cumsum(n_b) - n_b]), np.concatenate([n, n_b])
+        size = n[code]
+        ends = np.cumsum(size)
+        flat = ids[np.repeat(begin[code] - ends + size, size) + np.arange(int(ends[-1]))]
+        for k, x in zip(rest, np.split(flat, (ends - size)[start[1:]]), strict=True):
+            out[k] = x
         return out
 
 
@@ -210,12 +237,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
         writer, n = None, 0
         end = np.array([end_id], "<u4")
         keys = []
-        for b in slices(batches, 512):
+        for b in by_bytes(batches, "t", TOGETHER):
             if writer is None:
                 out, done = _open(f"{folder}/{name}")
                 writer = Writer(out, width(encode.tok.get_vocab_size()))
-            for ids in encode([t or "" for t in b.column("t").to_pylist()]):
-                writer.add(np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            for ids in encode(pc.fill_null(b.column("t"), "")):
+                writer.add(np.concatenate([ids, end]))
             n += b.num_rows
             keys.append(b.column("k"))
         if writer:
