@@ -207,7 +207,7 @@ def perplexities(docs: DataFrame, trusted: Column, keep: list[str], text: str =
     own = read.filter("_trusted is not null").select(*names, "row")
     if seen.head(1):
         probs, least = model(seen.select("gram", "c"), n)
-        said = cut(answers(every.select("gram"), probs, least, n))
+        said = bounded(cut(answers(every.select("gram"), probs, least, n)), 64)  # one row a distinct n-gram: few for an alphabet, very many for a whole web, which are joined by a shuffle
         told = asked.select("piece", "gram").join(said, "gram").select(F.col("piece").alias("of"), "gram", "s")
         texts = read.filter("packed is not null").select("piece", "row", "packed")
         scored = texts.groupBy("piece").cogroup(told.groupBy("of")).applyInArrow(_score(n), "row long, m long, t double")
