@@ -113,7 +113,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
     if unknown := [t for t in tags if t not in p.values and t != "Kd"]:
         raise ValueError(f"no such parameters: {unknown}")
     mol, z, ok = molecule(p, True, F.col("cells")), F.col("z"), _guard(filled)
-    alive = filled.filter("z > 0")
+    alive = filled.filter("z > 0").persist()  # each count reads the cells; a lost part is filled again
     # (kind, key) of each count, and with what factor it belongs to a tag
     factors: list[tuple[str, str, float, str]] = []
     parts: list[DataFrame] = []
