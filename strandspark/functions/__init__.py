@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row. The optimizer would copy an expression into whatever reads it once, even where that runs for every element of an array; it does not move one through a generator."""
+    out = df.drop(*columns)
+    row = F.struct(*[c.alias(k) for k, c in columns.items()])
+    made = df.select(*[F.col(c) for c in out.columns], F.explode(F.array(row)).alias("_settled"))
+    return made.select(*out.columns, *[F.col(f"_settled.{k}").alias(k) for k in columns])
+
+
 def span(lo: Column | int, hi: Column | int) -> Column:
     """lo to hi, both included; empty if hi < lo."""
     lo, hi = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi))

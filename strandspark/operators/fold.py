@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.functions import dotparen, let, letters, partners, span, strands_of, total
+from strandspark.functions import dotparen, let, letters, partners, settle, span, strands_of, total
 from strandspark.sources.params import C_STD, KT, Params
 
 #: What a cell holds, beside its pair weights by type: q. Kinds of cells are numbered by their place here; PAIR + t is the pair of the t-th type possible.
@@ -91,7 +91,7 @@ def prepare(molecules: DataFrame) -> DataFrame:
     m = m.withColumn("of", F.when(F.size("of") == F.col("n"), F.col("of")).when(F.isnull("of"), F.lit(None)).otherwise(F.raise_error(F.lit("a structure's length is not its molecule's")).cast("array<int>")))
     inner = lambda k: F.array_max(F.filter(span(0, k - 1), lambda a: F.get(F.col("of"), a) > k))
     m = m.withColumn("within", F.when(F.isnotnull("of"), F.transform(F.col("of"), lambda j, k: F.coalesce(inner(k), F.lit(-1)))))
-    return m.drop("_ends")
+    return settle(m.drop("_ends"), **{c: F.col(c) for c in ("n", "seq", "lig", "nicks", "of", "within")})
 
 
 def _match(p: Params, a: Column, b: Column) -> Column:
@@ -369,7 +369,7 @@ def candidates(prepared: DataFrame, p: Params, full: bool) -> DataFrame:
     """prepared with types and motifs, the pairs and motifs possible at each cell."""
     none = F.lit(None)
     bare = Molecule(p, F.col("n"), F.col("lig"), F.col("nicks"), none, none, none, full)
-    return prepared.withColumn("types", _candidates(p, full, bare)).withColumn("motifs", _loops(p, full, bare))
+    return settle(settle(prepared, types=_candidates(p, full, bare)), motifs=_loops(p, full, bare))
 
 
 def fill(molecules: DataFrame, p: Params, full: bool = False, strands: bool = True, simple: bool | None = None, finals: bool = False) -> DataFrame:
@@ -388,15 +388,13 @@ def fill(molecules: DataFrame, p: Params, full: bool = False, strands: bool = Tr
         return F.concat(state, F.array(row)).cast(f"array<array<{CELL_DDL}>>")
 
     cells = F.aggregate(span(1, mol.n - 1), F.array(_diagonal(mol, full)).cast(f"array<array<{CELL_DDL}>>"), step)
-    # Each column that the aggregate reads is named beside it once more: one that is used once would be computed anew for every cell.
-    known = (F.col("n") > 0) & (F.size("types") >= 0) & (F.size("motifs") >= 0) & (F.size("lig") >= 0) & (F.size("nicks") >= 0) & (F.size("seq") >= 0)
-    m = m.withColumn("cells", F.when(known, cells))
+    m = settle(m, cells=F.when(F.col("n") > 0, cells))
     done = molecule(p, full, F.col("cells"))
     if full:
         z = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(sum_of(_z_final(done, F.lit(0))))
     else:
         z = F.when(F.col("n") == 0, F.lit(1.0)).otherwise(done.get(LIN, F.lit(0), F.col("n") - 1))
-    m = m.withColumn("z", z).withColumn("dg", F.when(F.col("z") > 0, -KT * F.log("z")))
+    m = settle(m, z=z).withColumn("dg", F.when(F.col("z") > 0, -KT * F.log("z")))
     if finals:
         m = m.withColumn("z_final", F.transform(span(0, F.col("n") - 1), lambda i: sum_of(_z_final(done, i))))
     return m

@@ -32,15 +32,10 @@ def _pairs(mol: Molecule, z: Column) -> Column:
     return _grid(mol.n, 1, at)
 
 
-def _guard(filled: DataFrame) -> Column:
-    """True, and names what the expressions beside it read, so that none is computed anew for every cell."""
-    return (F.col("n") > 0) & (F.size("cells") >= 0) & (F.size("types") >= 0) & (F.size("motifs") >= 0) & (F.size("lig") >= 0) & (F.size("nicks") >= 0) & F.isnotnull("z")
-
-
 def typed_pairs(filled: DataFrame, p: Params) -> DataFrame:
     """(mol_id, i, j, t, p) of fully filled molecules: the probability that i and j pair as type t, for both orders of i and j."""
     mol = molecule(p, True, F.col("cells"))
-    return filled.filter("z > 0").select("mol_id", F.explode(F.when(_guard(filled), _pairs(mol, F.col("z")))).alias("x")).select("mol_id", "x.*")
+    return filled.filter("z > 0").select("mol_id", F.explode(F.when(F.col("n") > 0, _pairs(mol, F.col("z")))).alias("x")).select("mol_id", "x.*")
 
 
 def bpp(filled: DataFrame, p: Params) -> DataFrame:
@@ -112,7 +107,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
     tags = list(p.values) if tags is None else tags
     if unknown := [t for t in tags if t not in p.values and t != "Kd"]:
         raise ValueError(f"no such parameters: {unknown}")
-    mol, z, ok = molecule(p, True, F.col("cells")), F.col("z"), _guard(filled)
+    mol, z, ok = molecule(p, True, F.col("cells")), F.col("z"), F.col("n") > 0
     alive = filled.filter("z > 0").persist()  # each count reads the cells; a lost part is filled again
     # (kind, key) of each count, and with what factor it belongs to a tag
     factors: list[tuple[str, str, float, str]] = []

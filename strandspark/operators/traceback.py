@@ -73,15 +73,11 @@ def _one_path(mol: Molecule, choose) -> Column:
     return F.aggregate(span(0, mol.n * 8), _start(), step)
 
 
-def _guard() -> Column:
-    return (F.col("n") > 0) & (F.size("cells") >= 0) & (F.size("types") >= 0) & (F.size("motifs") >= 0) & (F.size("lig") >= 0) & (F.size("nicks") >= 0) & (F.col("z") > 0)
-
-
 def mfe(filled: DataFrame, p: Params, full: bool = False) -> DataFrame:
     """(mol_id, structure, p): the structure that is reached by always going on with the largest contribution, the first of equal ones. It need not be the one of least energy. full: as the cells were filled."""
     mol = molecule(p, full, F.col("cells"))
     largest = lambda alts, _all, _k: F.array_position(F.transform(alts, lambda a: a["w"]), F.array_max(F.transform(alts, lambda a: a["w"]))).cast("int") - 1
-    done = filled.filter("z > 0").select("mol_id", "n", F.when(_guard(), _one_path(mol, largest)).alias("s"))
+    done = filled.filter("z > 0").select("mol_id", "n", F.when(F.col("n") > 0, _one_path(mol, largest)).alias("s"))
     return done.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p"))
 
 
@@ -96,7 +92,7 @@ def samples(filled: DataFrame, p: Params, count: int, seed: int = 0, full: bool
         return F.least(run["at"], F.size(alts) - 1)
 
     rows = filled.filter("z > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    done = rows.select("mol_id", "sample", "n", F.when(_guard(), _one_path(mol, draw)).alias("s"))
+    done = rows.select("mol_id", "sample", "n", F.when(F.col("n") > 0, _one_path(mol, draw)).alias("s"))
     return done.select("mol_id", "sample", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"))
 
 
@@ -117,5 +113,5 @@ def enumerate_structures(filled: DataFrame, p: Params, full: bool = False) -> Da
         return F.when(F.exists(states, lambda s: F.size(s["todo"]) > 0), F.flatten(F.transform(states, expand))).otherwise(states).cast(f"array<{STATE}>")
 
     grown = F.aggregate(span(0, mol.n * 8), F.array(_start()).cast(f"array<{STATE}>"), step)
-    rows = filled.filter("z > 0").select("mol_id", "n", F.explode(F.when(_guard(), grown)).alias("s"))
+    rows = filled.filter("z > 0").select("mol_id", "n", F.explode(F.when(F.col("n") > 0, grown)).alias("s"))
     return rows.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p")).groupBy("mol_id", "structure").agg(F.sum("p").alias("p"), F.count("*").alias("ways"))
