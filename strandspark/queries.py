@@ -151,7 +151,9 @@ def q_coax_z(spark, sf_dir):
 def q_multistrand_z(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("mol_id")).filter("mol_id is not null")
     k = F.pmod("mol_id", F.lit(3)).cast("int")
-    m = docs.select("mol_id", F.array(F.concat(F.lit("G"), F.repeat(F.lit("N"), k), F.lit("C")), F.concat(F.lit("G"), F.repeat(F.lit("N"), k), F.lit("C"))).alias("strands"), F.lit(False).alias("circle"))
+    tail = F.repeat(F.lit("N"), k)
+    strands = F.when(k == 0, F.array(F.lit("GC"), F.lit("GC"))).otherwise(F.array(F.concat(F.lit("G"), tail), F.concat(tail, F.lit("C"))))
+    m = docs.select("mol_id", strands.alias("strands"), F.lit(False).alias("circle"))
     return fold.partition(m, packaged("minimal")).select("mol_id", F.round(F.log("z"), 6).alias("log_z"))
 
 
@@ -260,7 +262,7 @@ SELECT mol_id, tag, round(v, 5) AS d FROM (UNPIVOT d ON COLUMNS(* EXCLUDE mol_id
     "q_score_structure": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT e.mol_id, round({_DG} * ln(e.w), 5) AS dg FROM e WHERE {_TARGET}",
     "q_circular_z": f"WITH {_H} SELECT mol_id, round(ln(pow(0.5, a + b + 2) * (1 + 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
     "q_coax_z": f"WITH {_H}, h AS (SELECT *, pow(0.5, a + 1) * 0.2 / 0.0002 AS x, pow(0.5, b + 1) * 0.2 / 0.0002 AS y FROM a) SELECT mol_id, round(ln((1 + x) * (1 + y) + pow(0.5, a + b + 3) * 0.2 / 0.0002 + x * y * 100), 6) AS log_z FROM h",
-    "q_multistrand_z": "WITH h AS (SELECT doc_id AS mol_id, doc_id % 3 AS k FROM documents WHERE doc_id IS NOT NULL) SELECT mol_id, round(ln(CASE WHEN k = 0 THEN 1 / 0.0002 * (2 + 0.5 * 0.5 * 0.2 * 0.2 / 0.0002 + 10000 / 0.0002) ELSE 1 / 0.0002 * (2 + pow(0.5, 2 * k + 2) * 0.2 * 0.2 / 0.0002 + 2 * pow(0.5, k + 1) * 0.2 / 0.0002) END), 6) AS log_z FROM h",
+    "q_multistrand_z": "WITH h AS (SELECT doc_id AS mol_id, doc_id % 3 AS k FROM documents WHERE doc_id IS NOT NULL) SELECT mol_id, round(ln(CASE WHEN k = 0 THEN 1 / 0.0002 * (2 + 0.5 * 0.5 * 0.2 * 0.2 / 0.0002 + 10000 / 0.0002) ELSE 1 / 0.0002 END), 6) AS log_z FROM h",
     "q_defects": f"WITH RECURSIVE {_DEF} SELECT mol_id, n, n_bp, round((2 * miss + stray) / n, 5) AS ensemble_defect, round(CASE WHEN n_bp > 0 THEN miss / n_bp END, 5) AS bpp_defect FROM per",
     "q_defect_overall": f"WITH RECURSIVE {_DEF} SELECT 'own' AS package, round(sum(2 * miss + stray) / sum(n), 4) AS ensemble_defect, round(sum(miss) / sum(n_bp), 4) AS bpp_defect FROM per",
     "q_bounds": f"""WITH v(tag, val) AS (VALUES {_TAGS}), b AS (SELECT tag, ln(val) AS x, CASE WHEN tag LIKE 'Kd%' THEN ln(100.0) ELSE ln(0.1) END AS lo, CASE WHEN tag LIKE 'Kd%' OR tag LIKE 'C_eff%' THEN ln(100000.0) WHEN tag IN ('C_init', 'K_coax') THEN ln(100.0) ELSE ln(10.0) END AS hi FROM v)
