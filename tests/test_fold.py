@@ -105,7 +105,7 @@ def test_structures(filled):
 
 
 def test_loops_and_score(spark):
-    mols = spark.createDataFrame([("a", ["GGGAACGAAAGAACCC"], False, "(((..(....)..)))", False), ("b", ["GGGAAAC", "GAAAGCCC"], False, "(((...()....)))", False), ("c", ["AAGGGAAAACCCAA"], True, "..(((....)))..", False)], DDL)
+    mols = spark.createDataFrame([("a", ["GGGAACGAAAGAACCC"], False, "(((..(....)..)))", False), ("b", ["GGGAAAC", "GAAAGCCC"], False, "(((...()....)))", False), ("c", ["AAGGGAAAACCCAA"], True, "..(((....)))..", False), ("d", ["ACGUA"], True, ".....", False), ("e", ["ACGUA"], False, ".....", False)], DDL)
     p = packaged("v0.31")
     own = {r["mol_id"]: r["z"] for r in scoring.score(mols, p).collect()}
     for r in fold.fill(mols, p, full=True).select("mol_id", "z").collect():
