@@ -29,9 +29,9 @@ MAGIC, BLOCK = b"TOKPACK1", 1 << 16
 #: White space beside white space, at an end, or other than blanks and line feeds: there a text is not cut.
 ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: Characters that are encoded together; a longer text goes alone.
-TOGETHER = 12 << 20
+TOGETHER = 4 << 20
 #: Pieces of up to LONG bytes are kept for later batches, CACHE of them at most.
-CACHE, LONG = 600_000, 10
+CACHE, LONG = 300_000, 9
 
 
 def width(vocabulary: int) -> int:
