@@ -2,8 +2,8 @@
 
 Pages are put in the order of their URL paths within each host, each page is paired with the nearer of its two
 neighbours there, and the pair's text lines are aligned by their longest common subsequence: what both have is the
-site's, not the page's. Structure comes first: lines within menus, headers, footers, forms and the like go whatever the
-neighbour has, and where a page marks its article, its lines are the text, so that what two pages quote is kept.
+site's, not the page's. Structure comes first and last: lines within menus, headers, footers, forms and the like go
+whatever the neighbour has, and lines that a page marks as its article stay, so that text which two pages quote is kept.
 """
 
 from __future__ import annotations
@@ -179,10 +179,16 @@ def near(a: str, b: str) -> int:
 
 
 def choose(ls: list[tuple[int, str]], other: np.ndarray | None, own: np.ndarray) -> str:
-    """The page's text: its article's lines, if it marks any; otherwise its lines less those of the surroundings and those that the neighbour has too."""
-    marked = any(kind == KEEP for kind, _ in ls)
-    shared = common(own, other) if other is not None and len(other) and not marked else np.zeros(len(own), bool)
-    return "\n".join(t for (kind, t), s in zip(ls, shared, strict=True) if kind == (KEEP if marked else ASK) and not s)
+    """The page's text: its lines less those of the surroundings and those that the neighbour has too, but for its article's, which may be quoted. Without a neighbour's lines, its article's lines, if it marks any."""
+    return "\n".join(t for (_, t), x in zip(ls, taken([kind for kind, _ in ls], common(own, other) if other is not None and len(other) else None), strict=True) if x)
+
+
+def taken(kinds: list[int], shared: np.ndarray | None) -> list[bool]:
+    """Which lines are the page's text; shared: those that a neighbour has too, None without a neighbour."""
+    if shared is None:
+        marked = KEEP in kinds
+        return [kind == (KEEP if marked else ASK) for kind in kinds]
+    return [kind == KEEP or kind == ASK and not s for kind, s in zip(kinds, shared.tolist(), strict=True)]
 
 
 #: Copies in a row that wait for the page after them; more are told by the page before.
