@@ -12,13 +12,14 @@ import html as entities
 import re
 import zlib
 from collections import defaultdict
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import slices
+from strandspark.llm.common import cut, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*>", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -191,39 +192,60 @@ def taken(kinds: list[int], shared: np.ndarray | None) -> list[bool]:
     return [kind == KEEP or kind == ASK and not s for kind, s in zip(kinds, shared.tolist(), strict=True)]
 
 
-#: Copies in a row that wait for the page after them; more are told by the page before.
-WAITING = 100_000
+def _parse(keep: list[str], text: bool):
+    """Host, path and a digest of all lines of each page; with text, keep and the lines outside surroundings, otherwise the hashes of all lines."""
 
-
-def _step(keep: list[str]):
     def run(batches):
-        fields = None
-        before = page = None  # (host, path, lines, hashes): the last page of other lines, and the one whose next neighbour is awaited
-        copies: list[list] = []  # what is kept of that page and of its copies
+        for b in slices(batches, 128):
+            parsed = [lines(x) for x in b.column("_html").to_pylist()]
+            own = [hashes(ls).tobytes() for ls in parsed]
+            sigs = pa.array([blake2b(x, digest_size=16).digest() for x in own], pa.binary())
+            if text:
+                kinds = pa.array([bytes(kind for kind, _ in ls) for ls in parsed], pa.binary())
+                bare = pa.array(["\n".join(t for kind, t in ls if kind != DROP) for ls in parsed], pa.string())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("_host"), sigs, kinds, bare], [*keep, "_host", "_sig", "_kinds", "_text"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("_host"), b.column("_path"), sigs, pa.array(own, pa.binary())], ["_host", "_path", "_sig", "_own"])
+
+    return run
+
 
-        def told(after):
-            nearest = max([x for x in (before, after) if x and x[0] == page[0]], key=lambda x: near(x[1], page[1]), default=None)
-            text = choose(page[2], nearest and nearest[3], page[3])
-            cols = [*zip(*copies, strict=True), [text] * len(copies)]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(cols, fields, strict=True)], [*keep, "text"])
+def _align(batches):
+    """Which lines of each page the nearer of its neighbours has too, as bits; null without a neighbour on the host."""
+    for b in slices(batches, 128):
+        out = []
+        for host, path, own, *sides in zip(*(b.column(c).to_pylist() for c in ("_host", "_path", "_own", "_before", "_after")), strict=True):
+            nearest = max([x for x in sides if x and x["_host"] == host], key=lambda x: near(x["_path"], path), default=None)
+            out.append(nearest and np.packbits(common(np.frombuffer(own, np.uint64), np.frombuffer(nearest["_own"], np.uint64))).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("_host"), b.column("_sig"), pa.array(out, pa.binary())], ["_host", "_sig", "_shared"])
 
+
+def shared_lines(parsed: DataFrame, parts: int) -> DataFrame:
+    """(_host, _sig, _shared) of each distinct page, that is, of all pages of a host with the same lines; pages without lines are left out.
+
+    Distinct pages are put in the order of their least paths, dealt by ranges. The ranges are written with their
+    numbers, and the first and last page of each are handed to the ranges before and after it.
+    """
+    pages = parsed.filter("length(_own) > 0").groupBy("_host", "_sig").agg(F.min(F.struct("_path", "_own")).alias("x")).select("_host", "x._path", "_sig", "x._own")
+    order = ["_host", "_path", "_sig"]
+    dealt = cut(pages.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
+    page = F.struct(*order, "_own")
+    ends = dealt.groupBy("_range").agg(F.min(page).alias("first"), F.max(page).alias("last"))
+    by_range, within = Window.orderBy("_range"), Window.partitionBy("_range").orderBy(*order)  # as many rows as ranges
+    ends = cut(ends.select("_range", F.lag("last").over(by_range).alias("ahead"), F.lead("first").over(by_range).alias("behind")))
+    sides = dealt.join(ends, "_range").withColumns({"_before": F.coalesce(F.lag(page).over(within), "ahead"), "_after": F.coalesce(F.lead(page).over(within), "behind")})
+    return cut(sides.select("_host", "_path", "_sig", "_own", "_before", "_after").mapInArrow(_align, "_host string, _sig binary, _shared binary"))
+
+
+def _told(keep: list[str]):
+    def run(batches):
         for b in slices(batches, 128):
-            fields = [*(b.schema.field(c).type for c in keep), pa.string()]
-            for host, path, text, *rest in zip(*(b.column(c).to_pylist() for c in ("_host", "_path", "_html", *keep)), strict=True):
-                ls = lines(text)
-                own = hashes(ls)
-                if page and page[0] == host and np.array_equal(page[3], own):  # a copy does not tell what is the site's
-                    copies.append(rest)
-                    if len(copies) >= WAITING:
-                        yield told(None)
-                        copies = []
-                    continue
-                now = host, path, ls, own
-                if copies:
-                    yield told(now)
-                before, page, copies = page, now, [rest]
-        if copies:
-            yield told(None)
+            out = []
+            for kinds, text, shared in zip(*(b.column(c).to_pylist() for c in ("_kinds", "_text", "_shared")), strict=True):
+                bits = None if shared is None else np.unpackbits(np.frombuffer(shared, np.uint8), count=len(kinds)).astype(bool)
+                own = (x for kind, x in zip(kinds, taken(list(kinds), bits), strict=True) if kind != DROP)
+                out.append("\n".join(t for t, x in zip(text.split("\n"), own, strict=True) if x) if text else "")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
 
     return run
 
@@ -231,9 +253,10 @@ def _step(keep: list[str]):
 def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """keep (all columns but html, if not given) with text: the main text of each page, "" if there is none.
 
-    One shuffle puts pages in the order of host and path, dealt by ranges so that a host with a third of all pages
-    fills as many tasks as it takes. A page at the end of a task's range is paired with its neighbour on the other side.
-    Copies next to each other share their neighbours. A page without a neighbour on its host is told by structure alone.
+    Which lines are shared is decided once for each distinct page of a host, over all of its distinct pages in the
+    order of their paths, and joined back to the copies: the text depends neither on how rows are dealt nor on how many
+    copies there are. Pages are read twice, so that only hashes of lines are sorted and only their text is shuffled.
+    A page that is the only one of its host with lines is told by structure alone.
 
     A null or empty html has no text. A null url is a host of its own. Repeated rows get a row each. Unclosed and
     stray tags, cut character references and pages cut short are read as far as they go. An empty table stays empty.
@@ -241,12 +264,13 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", h
     keep = [c for c in (keep or [c for c in pages.columns if c != html]) if c != "text"]
     bare = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
     rows = pages.select(*[F.col(c) for c in keep], F.lower(F.regexp_extract(bare, r"^[^/]*", 0)).alias("_host"), F.regexp_extract(bare, r"^[^/]*(.*)$", 1).alias("_path"), F.col(html).alias("_html"))
-    spark = pages.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    tie = F.xxhash64("_html")
-    dealt = rows.repartitionByRange(parts, "_host", "_path", tie).sortWithinPartitions("_host", "_path", tie)
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    shared = shared_lines(rows.select("_host", "_path", "_html").mapInArrow(_parse([], False), "_host string, _path string, _sig binary, _own binary"), parts)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return dealt.mapInArrow(_step(keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string"]))
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
+    texts = rows.drop("_path").mapInArrow(_parse(keep, True), ", ".join([*([own] if own else []), "_host string, _sig binary, _kinds binary, _text string"]))
+    joined = texts.join(shared, ["_host", "_sig"], "left").select(*keep, "_kinds", "_text", "_shared")
+    return joined.mapInArrow(_told(keep), ", ".join([*([own] if own else []), "text string"]))
 
 
 def digests(pages: DataFrame) -> DataFrame:

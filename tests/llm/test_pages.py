@@ -1,5 +1,7 @@
 """Main text of pages whose neighbours lie in other tasks, of marked pages with lines outside their article, and by attributes of real sites."""
 
+import pytest
+
 from strandspark.llm import pages
 
 
@@ -8,3 +10,30 @@ def test_pairs_decide_marked_pages_too():
     a, b = pages.lines(page.format("mine")), pages.hashes(pages.lines(page.format("other")))
     assert pages.choose(a, b, pages.hashes(a)) == "mine\nquoted\nnote mine"
     assert pages.choose(a, None, pages.hashes(a)) == "mine\nquoted"
+
+
+@pytest.fixture
+def parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_neighbours_in_other_tasks(spark, parts):
+    page = "<div>Site</div><p>text {}</p><div>Foot</div>"
+    rows = [(k, f"http://h.com/{k:03}", page.format(k)) for k in range(40)] + [(100 + k, f"http://g.com/{k}", page.format(k)) for k in range(2)] + [(200, "http://solo.com/", page.format(0)), (201, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 3, 50):
+        parts(n)
+        got = {r["page_id"]: r["text"] for r in pages.digests(table.repartition(5)).collect()}
+        assert got == {k: f"text {k % 100}" for k in got if k < 200} | {200: "Site\ntext 0\nFoot", 201: ""}
+        assert len(got) == 44
+
+
+def test_copies_get_one_text(spark, parts):
+    page = "<div>Site</div><p>text {}</p><div>Foot</div>"
+    rows = [(k, f"http://h.com/{k:04}", page.format(0)) for k in range(600)] + [(600, "http://h.com/zz", page.format(1))]
+    parts(5)
+    got = pages.digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 601
+    assert {(r["page_id"] == 600, r["text"]) for r in got} == {(False, "text 0"), (True, "text 1")}
