@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import cut, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*>", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Their content is no text at all.
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea", "title"}
 #: Their text is never the article's.
@@ -33,33 +33,51 @@ BLOCKS = {
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of class, id or role by which sites name what surrounds an article.
+#: Names in class, id or role by which sites mark what surrounds an article, each the whole of a name between blanks.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|sidebar|side-bar|aside|complementary|footer|masthead|site-header|page-header|topbar|toolbar|"
-    r"cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|signup|login|search|comments?|disqus|replies|respond|share|sharing|social|related|recommended|contentinfo|copyright|alert|skip-link|sr-only|hidden)(?=$|[\s_-])",
+    r"(?:(?:site|page|main|global|top|bottom|primary|secondary|left|right|post|entry|article|user|wp)[_-])?(?:ads?|advert|advertisement|advertising|adverts|adsense|banner|sponsor|sponsored|sponsors|promo|promos|promotion|nav|navbar|navigation|menu|menus|menubar|"
+    r"breadcrumbs?|pagination|pager|sidebar|side[_-]bar|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|signup|login|search|comments?|disqus|replies|respond|"
+    r"share|sharing|social|related|recommended|copyright|alert)(?:[_-](?:banner|bar|block|box|buttons?|container|form|icons?|inner|items?|links?|list|notice|posts?|area|section|slot|unit|widget|wrapper|wrap|thread|top|bottom|left|right|\d+))?"
+    r"|site[_-]header|page[_-]header|aside|complementary|contentinfo|skip-link|sr-only|hidden",
     re.I,
 )
 KEEP, DROP, ASK = 0, 1, 2
 SPACES = re.compile(r"\s+")
 
 
-def _named(attrs: str) -> bool:
-    for name, a, b, c in ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id", "role") and NAMED.search(value):
-            return True
-    return False
+def _attrs(text: str) -> dict[str, str]:
+    """Values by whole lower-case names; of repeated names the first, as browsers have it."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTR.findall(text):
+        out.setdefault(name.lower(), entities.unescape(a or b or c))
+    return out
+
+
+def _unseen(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or "display:none" in SPACES.sub("", attrs.get("style", "")).lower()
+
+
+def _named(attrs: dict[str, str]) -> bool:
+    return any(NAMED.fullmatch(x) for k in ("class", "id", "role") for x in attrs.get(k, "").split())
 
 
 def lines(page: str | None) -> list[tuple[int, str]]:
-    """(KEEP, DROP or ASK, text) of each block of the page in its order: in an article, in what surrounds one, or neither."""
+    """(KEEP, DROP or ASK, text) of each block of the page in its order: in an article, in what surrounds one, or neither.
+
+    An article goes if it or what it is in is not shown. In an element that only its tag or name makes surroundings (a
+    form, class="comments") it stays if it is the page's main element, or if the page marks no other article.
+    """
+    out, lost = _lines(page or "", False)
+    return _lines(page or "", True)[0] if "main" in lost or lost and all(kind != KEEP for kind, _ in out) else out
+
+
+def _lines(page: str, rescue: bool) -> tuple[list[tuple[int, str]], set[str]]:
+    """Lines, and which kinds of article, "main" or "article", are within surroundings that are shown. rescue: these are kept."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements that matter, with what they make of text
-    state, at = ASK, 0
-    page = page or ""
+    stack: list[tuple[str, int, bool]] = []  # open elements that matter, with what they make of text and whether it is shown
+    state, shown, at = ASK, True, 0
+    lost: set[str] = set()
 
     def flush():
         text = SPACES.sub(" ", entities.unescape("".join(held))).strip()
@@ -81,11 +99,11 @@ def lines(page: str | None) -> list[tuple[int, str]]:
         if m["end"]:
             if tag in BLOCKS:
                 flush()
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 flush()
                 while stack.pop()[0] != tag:
                     pass
-                state = stack[-1][1] if stack else ASK
+                state, shown = stack[-1][1:] if stack else (ASK, True)
             continue
         if tag == "br":
             held.append(" ")
@@ -98,19 +116,27 @@ def lines(page: str | None) -> list[tuple[int, str]]:
             continue
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
             continue
-        new = state
-        if state != DROP and (tag in CHROME and not (tag == "header" and state == KEEP) or tag not in ("html", "body") and _named(m["attrs"])):
+        new, seen = state, shown
+        attrs = _attrs(m["attrs"]) if len(m["attrs"]) > 1 and tag not in ("html", "body") else {}
+        main = tag == "main" or attrs.get("role", "").strip().lower() == "main"
+        article = main or tag in ARTICLE or attrs.get("itemprop", "").strip().lower() == "articlebody"
+        if shown and _unseen(attrs):
+            new, seen = DROP, False
+        elif article:
+            if shown and state == DROP:
+                lost.add("main" if main else "article")
+            if shown and (state != DROP or rescue):
+                new = KEEP
+        elif state != DROP and (tag in CHROME and not (tag == "header" and state == KEEP) or _named(attrs)):
             new = DROP
-        elif state == ASK and (tag in ARTICLE or re.search(r"""(?:role\s*=\s*["']?main|itemprop\s*=\s*["']?articleBody)""", m["attrs"], re.I)):
-            new = KEEP
-        if new != state or any(t == tag for t, _ in stack):  # elements of the same name are counted, so that the right end tag closes
+        if new != state or seen != shown or any(t == tag for t, *_ in stack):  # elements of the same name are counted, so that the right end tag closes
             if new != state:
                 flush()
-            stack.append((tag, new))
-            state = new
+            stack.append((tag, new, seen))
+            state, shown = new, seen
     held.append(page[at:])
     flush()
-    return out
+    return out, lost
 
 
 def _lengths(a: np.ndarray, b: np.ndarray, keep: bool = True) -> tuple[int, list[int]]:

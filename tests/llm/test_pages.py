@@ -37,3 +37,20 @@ def test_copies_get_one_text(spark, parts):
     got = pages.digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 601
     assert {(r["page_id"] == 600, r["text"]) for r in got} == {(False, "text 0"), (True, "text 1")}
+
+
+@pytest.mark.parametrize(
+    "tag", ['article class="card overflow-hidden"', 'article class="has-sidebar"', 'article class="post category-social"', 'article class="related"', 'article data-id="menu" data-id=\'nav\'', 'article data-title="the hidden valley"', 'main data-x="a class=hidden"']
+)
+def test_attributes_of_an_article(tag):
+    assert (pages.KEEP, "text") in pages.lines(f"<nav>x</nav><div class='no-comments'><{tag}><p>text</p></{tag.split()[0]}></div>")
+
+
+def test_surroundings_of_an_article():
+    kept = lambda page: [t for kind, t in pages.lines(page) if kind == pages.KEEP]
+    assert kept("<form><div class=sidebar>x<article>text</article></div>y</form>") == ["text"]
+    assert kept("<article>text</article><div class='comments'><article>reply</article></div>") == ["text"]
+    assert kept("<article>card</article><div id=search><main>text</main></div>") == ["card", "text"]
+    for gone in ("hidden", "aria-hidden=true", "style='color:red; display : none'"):
+        assert kept(f"<div {gone}><article>text</article></div><p>x</p>") == kept(f"<article {gone}>text</article><p>x</p>") == []
+    assert pages.lines("<div class='main-menu'>x</div><div class='ad'>y</div><div class='post-text'>z</div><p data-role=main>u") == [(1, "x"), (1, "y"), (2, "z"), (2, "u")]
