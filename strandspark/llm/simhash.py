@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.llm.common import cut, fresh, slices
@@ -74,11 +74,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     return rows.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def marks(key: str, text: str) -> dict[str, Column]:
+    """What tells rows apart and orders them: the key, nulls last, then a hash of the text."""
+    return {"_null": F.isnull(key), "_key": F.coalesce(F.col(key), F.lit(0)), "_text": F.xxhash64(text)}
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
     """Of each class of near-duplicates the row with the smallest key (nulls last; then the smallest text hash), as it is. Of rows with the same key and text one stays."""
-    marks = {"_null": F.isnull(key), "_key": F.coalesce(F.col(key), F.lit(0)), "_text": F.xxhash64(text)}
-    rows = cut(fingerprints(docs.select(F.col(text).alias("t"), *[c.alias(k) for k, c in marks.items()]), [*marks], "fp", "t"))
-    of = cut(classes(rows, radius=radius))
+    own = marks(key, text)
+    rows = cut(fingerprints(docs.select(F.col(text).alias("t"), *[c.alias(k) for k, c in own.items()]), [*own], "fp", "t"))
+    return keep_least(docs, own, rows, cut(classes(rows, radius=radius)))
+
+
+def keep_least(docs: DataFrame, marks: dict[str, Column], rows: DataFrame, of: DataFrame) -> DataFrame:
+    """Of each root of (fp, root) the row of docs with the least marks, once; rows: marks and fp."""
     first = rows.groupBy("fp").agg(F.min(F.struct(*marks)).alias("best")).join(of, "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.*")
     names = fresh(docs, *marks)
     [n] = fresh(docs, "_n")
