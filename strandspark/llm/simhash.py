@@ -45,8 +45,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     Those that share a variant are within the radius of each other by way of it, so linking each to the smallest of
     them joins the same classes as all pairs would, with no more edges than variants. Every edge is verified.
     """
-    if radius not in (2, 3):
-        raise ValueError("the half-radius ball is that of one bit: radius 2 or 3")
+    if radius != 2:
+        raise ValueError("the half-radius ball is that of one bit: radius 2")
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64) * (k == 63)).cast("long") for k in range(64)])
     balls = fps.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("variant"))
     met = balls.withColumn("v", F.min("fp").over(Window.partitionBy("variant"))).filter("fp <> v")
