@@ -32,7 +32,10 @@ class Grams:
         out = []
         for k in range(0, max(1, len(text)), PIECE):
             points = np.frombuffer(text[k : k + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
-            c = np.concatenate([[32], self.fold[np.minimum(points, len(self.fold) - 1)], [32]]).astype(np.uint64)
+            folded = self.fold[np.minimum(points, len(self.fold) - 1)]
+            for j in np.flatnonzero(points >= len(self.fold)):  # rare letters beyond the table
+                folded[j] = points[j] if chr(points[j]).isalpha() else 32
+            c = np.concatenate([[32], folded, [32]]).astype(np.uint64)
             c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
             if len(c) < 3:
                 continue
@@ -45,6 +48,11 @@ class Grams:
             inner = np.ones(len(h), bool)
             for j in range(1, self.n - 1):
                 inner &= c[j : j + len(h)] != 32
+            at = self.n - 2  # a word of one letter, which is too short for that, is one n-gram: the letter between blanks
+            if self.n > 3:
+                alone = (c[at : at + len(h)] != 32) & (c[at - 1 : at - 1 + len(h)] == 32) & (c[at + 1 : at + 1 + len(h)] == 32)
+                inner |= alone
+                h = np.where(alone, c[at : at + len(h)] * ODD[1], h)
             out.append((h[inner] >> np.uint64(32)).astype(np.uint32))
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
