@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 import zlib
 from urllib.parse import urlparse
@@ -23,13 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import by_bytes, cut, shared_dir
+from strandspark.llm.common import bounded, by_bytes, cut, shared_dir
 
 MAGIC, BLOCK = b"TOKPACK1", 1 << 16
 #: White space beside white space, at an end, or other than blanks and line feeds: there a text is not cut.
 ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-#: Characters that are encoded together; a longer text goes alone.
+#: Bytes of text that are split into pieces together; a longer text goes alone.
 TOGETHER = 4 << 20
+#: Characters that the tokenizer is given at once: what it returns takes some hundred bytes a token.
+AT_ONCE = 1 << 18
+#: Between ASCII letters or digits a blank always begins a piece, whatever else is in the text.
+SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 #: Pieces of up to LONG bytes are kept for later batches, CACHE of them at most.
 CACHE, LONG = 300_000, 9
 
@@ -93,30 +98,70 @@ class Writer:
 
 
 class Reader:
-    """One file's bytes: documents in order, or any of them."""
+    """One file: documents in order, or any of them. source: a stream that can seek, or the file's bytes. Only the parts of the footer and the blocks that are asked for are read; one block is held."""
 
-    def __init__(self, data: bytes):
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, source):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        size = self.source.size()
+        if size < len(MAGIC) + 40 or self._at(0, len(MAGIC)) != MAGIC:
             raise ValueError("not a token file")
-        self.data = data
-        self.bits, self.block, self.n, docs, blocks = struct.unpack_from("<5Q", data, len(data) - 40)
-        at = len(data) - 40 - 8 * (docs + blocks)
-        self.ends = np.frombuffer(data, "<u8", docs, at).astype(np.int64)
-        self.blocks = np.frombuffer(data, "<u8", blocks, at + 8 * docs).astype(np.int64)
+        self.bits, self.block, self.n, self.docs, self.blocks = struct.unpack("<5Q", self._at(size - 40, 40))
+        self.footer = size - 40 - 8 * (self.docs + self.blocks)
+        self.held, self.data = -1, b""
 
-    def ids(self, first: int, n: int) -> np.ndarray:
-        """n ids from the first-th of the file on; only the blocks that hold them are read."""
-        parts = []
+    def _at(self, at: int, n: int) -> bytes:
+        return self.source.read_at(n, at)
+
+    def _numbers(self, first: int, n: int) -> np.ndarray:
+        return np.frombuffer(self._at(self.footer + 8 * first, 8 * n), "<u8").astype(np.int64)
+
+    def ends(self, first: int, n: int) -> np.ndarray:
+        """Ids of the file up to the end of each of n documents from the first-th on."""
+        return self._numbers(first, n)
+
+    def parts(self, first: int, n: int):
+        """n ids from the first-th of the file on, block by block."""
         while n > 0:
             b, k = divmod(first, self.block)
+            if b != self.held:
+                at = int(self._numbers(self.docs + b, 1)[0])
+                self.held, self.data = b, self._at(at, min(-(-self.block * self.bits // 8), self.footer - at))
             m = min(n, self.block - k)
-            parts.append(unpack(self.data[self.blocks[b] : self.blocks[b] + -(-self.block * self.bits // 8)], self.bits, k, m))
+            yield unpack(self.data, self.bits, k, m)
             first, n = first + m, n - m
-        return np.concatenate(parts) if parts else np.empty(0, "<u4")
+
+    def ids(self, first: int, n: int) -> np.ndarray:
+        """n ids from the first-th of the file on."""
+        got = list(self.parts(first, n))
+        return np.concatenate(got) if got else np.empty(0, "<u4")
 
     def doc(self, k: int) -> np.ndarray:
-        start = int(self.ends[k - 1]) if k else 0
-        return self.ids(start, int(self.ends[k]) - start)
+        start, end = (0, *self.ends(0, 1)) if k == 0 else self.ends(k - 1, 2)
+        return self.ids(int(start), int(end - start))
+
+    def checks(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Of n documents from the first-th on: where they begin, their ids and the crc32 of these as little-endian 32-bit numbers. A long document is never held whole."""
+        ends = self.ends(first, n)
+        starts = np.concatenate([self.ends(first - 1, 1) if first else [0], ends[:-1]]).astype(np.int64)
+        crc = []
+        for a, size in zip(starts.tolist(), (ends - starts).tolist(), strict=True):
+            c = 0
+            for part in self.parts(a, size):
+                c = zlib.crc32(part, c)
+            crc.append(c)
+        return starts, ends - starts, crc
+
+
+def _parts(text: str) -> list[str]:
+    """A long text cut at blanks where its tokens are cut too; a stretch without such a blank stays whole."""
+    out, at = [], 0
+    while len(text) - at > AT_ONCE:
+        cut_at = SAFE.search(text, at + AT_ONCE // 2)
+        if not cut_at:
+            break
+        out.append(text[at : cut_at.start()])
+        at = cut_at.start()
+    return [*out, text[at:]]
 
 
 class Encoder:
@@ -139,8 +184,16 @@ class Encoder:
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got))
+        parts = [(k, x) for k, t in enumerate(texts) for x in _parts(t)]
+        ends = np.cumsum([len(x) for _, x in parts])
+        ids, sizes, at = [np.empty(0, "<u4")], np.zeros(len(texts), np.int64), 0
+        while at < len(parts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - len(parts[at][1]) + AT_ONCE, "right")))
+            got = [e.ids for e in self.tok.encode_batch_fast([x for _, x in parts[at:to]], add_special_tokens=False)]
+            ids.append(np.fromiter(itertools.chain.from_iterable(got), "<u4"))
+            np.add.at(sizes, [k for k, _ in parts[at:to]], [len(x) for x in got])
+            at = to
+        return np.concatenate(ids), sizes
 
     def _after_blanks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not pieces:
@@ -218,6 +271,13 @@ def _open(uri: str):
     return store.open_output_stream(temporary), lambda: store.move(temporary, path)
 
 
+def _input(uri: str):
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri) if urlparse(uri).scheme else (fs.LocalFileSystem(), uri)
+    return store.open_input_file(path)
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, key: str = "doc_id", text: str = "text", file_chars: int = 64 << 20) -> DataFrame:
     """Writes the ids of docs to files in folder, ascending by key (nulls first), and returns their manifest: file, row, key.
 
@@ -254,20 +314,21 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
     return cut(dealt.mapInArrow(run, f"file string, row long, `{key}` {kind}"))
 
 
-def read(spark, folder: str) -> DataFrame:
-    """(file, row, first, n_tokens, ids_crc32) of each document of the files in folder, from their bytes; first: ids of the same file before it."""
+def read(manifest: DataFrame, folder: str, docs: int = 8192) -> DataFrame:
+    """(file, row, first, n_tokens, ids_crc32) of each document of the manifest's files in folder, from their bytes; first: ids of the same file before it.
+
+    A task reads runs of docs documents, block by block, so that neither a file nor a document is ever held whole.
+    """
 
     def run(batches):
         for b in batches:
-            for path, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                r = Reader(data.as_buffer().to_pybytes())
-                starts = np.concatenate([[0], r.ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(r.doc(k).tobytes()) for k in range(len(r.ends))]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]] * n), pa.array(range(n), pa.int64()), pa.array(starts), pa.array(r.ends - starts), pa.array(crc, pa.int64())], ["file", "row", "first", "n_tokens", "ids_crc32"])
+            for name, first, n in zip(*(b.column(c).to_pylist() for c in ("file", "first", "n")), strict=True):
+                with _input(f"{folder}/{name}") as source:
+                    starts, sizes, crc = Reader(source).checks(first, n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(first, first + n)), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())], ["file", "row", "first", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").load(f"{folder}/*.tok").select("path", "content")
-    return files.mapInArrow(run, "file string, row long, first long, n_tokens long, ids_crc32 long")
+    runs = manifest.groupBy("file", F.floor(F.col("row") / docs).alias("_run")).agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    return runs.select("file", "first", "n").mapInArrow(run, "file string, row long, first long, n_tokens long, ids_crc32 long")
 
 
 def digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -276,13 +337,12 @@ def digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int =
     A null text is empty and has the end id alone; an empty table writes no file and returns no row. Rows with equal
     keys or that repeat are all written. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    folder = folder or shared_dir(spark)
+    folder = folder or shared_dir(docs.sparkSession)
     manifest = write(docs, folder, tokenizer, end_id, key, text)
     if not manifest.head(1):
         return manifest.select(key, *[F.col("row").alias(c) for c in ("start", "n_tokens", "ids_crc32")])
-    rows = cut(read(spark, folder))
+    rows = cut(read(manifest, folder))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.join(F.broadcast(files), "file")  # one row a file of many MB
+    rows = rows.join(bounded(files, 64), "file")  # one row a file of many MB
     return manifest.join(rows, ["file", "row"]).select(key, (F.col("_before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
