@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import cut, slices
+from strandspark.llm.common import bounded, cut, slices
 
 #: Letters read at once, so that a very long text takes no more memory than this.
 PIECE = 1 << 20
@@ -28,33 +28,44 @@ class Grams:
         self.n, self.fold = n, letters()
 
     def of(self, text: str) -> np.ndarray:
-        """All n-grams, repeats included, as 32-bit hashes; empty for a text without letters."""
+        """All n-grams, repeats included, as 32-bit hashes; empty for a text without letters. A long text is read in pieces, each with the last letters of the one before."""
         out = []
-        for k in range(0, max(1, len(text)), PIECE):
-            points = np.frombuffer(text[k : k + PIECE].encode("utf-32-le", "surrogatepass"), "<u4")
-            folded = self.fold[np.minimum(points, len(self.fold) - 1)]
-            for j in np.flatnonzero(points >= len(self.fold)):  # rare letters beyond the table
-                folded[j] = points[j] if chr(points[j]).isalpha() else 32
-            c = np.concatenate([[32], folded, [32]]).astype(np.uint64)
-            c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
-            if len(c) < 3:
-                continue
-            c = np.concatenate([np.full(self.n - 2, 32, np.uint64), c])
-            h = np.zeros(len(c) - self.n + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(self.n):
-                    h = (h + c[j : j + len(h)]) * ODD[0]
-                    h ^= h >> np.uint64(29)
-            inner = np.ones(len(h), bool)
-            for j in range(1, self.n - 1):
-                inner &= c[j : j + len(h)] != 32
-            at = self.n - 2  # a word of one letter, which is too short for that, is one n-gram: the letter between blanks
+        c = np.full(self.n - 1, 32, np.uint64)
+        for k in range(0, len(text), PIECE):
+            c = np.concatenate([c, self._letters(text[k : k + PIECE])])
+            c = c[np.concatenate([np.ones(self.n - 1, bool), (c[self.n - 1 :] != 32) | (c[self.n - 2 : -1] != 32)])]
+            out.append(self._hashes(c))
+            c = c[len(c) - self.n + 1 :]
+        if c[-1] != 32:
+            out.append(self._hashes(np.append(c, np.uint64(32))))
+        return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+    def _letters(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        folded = self.fold[np.minimum(points, len(self.fold) - 1)]
+        for j in np.flatnonzero(points >= len(self.fold)):  # rare letters beyond the table
+            folded[j] = points[j] if chr(points[j]).isalpha() else 32
+        return folded.astype(np.uint64)
+
+    def _hashes(self, c: np.ndarray) -> np.ndarray:
+        """Of the n-grams that lie within c: none has a blank between letters, and a word of one letter, too short for that, is one n-gram."""
+        if len(c) < self.n:
+            return np.empty(0, np.uint32)
+        size = len(c) - self.n + 1
+        h = np.zeros(size, np.uint64)
+        inner = np.ones(size, bool)
+        with np.errstate(over="ignore"):
+            for j in range(self.n):
+                h = (h + c[j : j + size]) * ODD[0]
+                h ^= h >> np.uint64(29)
+                if 0 < j < self.n - 1:
+                    inner &= c[j : j + size] != 32
             if self.n > 3:
-                alone = (c[at : at + len(h)] != 32) & (c[at - 1 : at - 1 + len(h)] == 32) & (c[at + 1 : at + 1 + len(h)] == 32)
+                at = self.n - 2
+                alone = (c[at : at + size] != 32) & (c[at - 1 : at - 1 + size] == 32) & (c[at + 1 : at + 1 + size] == 32)
                 inner |= alone
-                h = np.where(alone, c[at : at + len(h)] * ODD[1], h)
-            out.append((h[inner] >> np.uint64(32)).astype(np.uint32))
-        return np.concatenate(out) if out else np.empty(0, np.uint32)
+                h = np.where(alone, c[at : at + size] * ODD[1], h)
+        return (h[inner] >> np.uint64(32)).astype(np.uint32)
 
 
 @dataclass
@@ -128,19 +139,16 @@ def counts(rows: DataFrame, n: int = 4) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, n: int = 4, rate: float = 2e-5, share: float = 0.2, slots: int = 1 << 20, hashes: int = 3) -> Filters | None:
+def fit(rows: DataFrame, n: int = 4, rate: float = 1e-4, slots: int = 1 << 20, hashes: int = 3) -> Filters | None:
     """Filters of the languages of rows (text, lang); None without any n-gram.
 
-    A language contains the n-grams that make up at least rate of its own, so there are at most 1 / rate a language
-    however large the corpus is, and whose rate is at least share of their highest rate in any language, so that
-    foreign passages do not count. The counts behind it are over all rows.
+    A language contains the n-grams that make up at least rate of its own, whatever other languages do, so there are at
+    most 1 / rate a language however large the corpus is, and what its texts quote from others is too rare to count. The
+    counts behind it are over all rows.
     """
     c = cut(counts(rows, n))
     totals = c.groupBy("lang").agg(F.sum("n").alias("all"))
-    rated = c.join(F.broadcast(totals), "lang").withColumn("r", F.col("n") / F.col("all")).filter(F.col("r") >= rate)
-    best = rated.groupBy("gram").agg(F.collect_list(F.struct("lang", "r")).alias("in"), F.max("r").alias("top"))
-    kept = best.select("gram", F.explode(F.filter("in", lambda x: x["r"] >= share * F.col("top"))["lang"]).alias("lang"))
-    got = kept.toArrow()
+    got = c.join(bounded(totals, 64), "lang").filter(F.col("n") >= F.lit(rate) * F.col("all")).select("gram", "lang").toArrow()
     if not got.num_rows:
         return None
     langs = sorted(set(got.column("lang").to_pylist()))
