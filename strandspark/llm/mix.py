@@ -33,24 +33,27 @@ def targets(per_source: DataFrame, weights=(1, 2, 3), cap: float = 3.0) -> DataF
     return t.withColumn("level", level).select("source", "source_size", F.least("full", F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weights=(1, 2, 3), cap: float = 3.0, key: str = "doc_id", source: str = "source", cells: int = 32, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weights=(1, 2, 3), cap: float = 3.0, key: str = "doc_id", source: str = "source", cell_rows: int = 4_000_000, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the row); a column of docs with such a name is replaced.
 
     Within a source every row expects target / source_size copies. The running sum of that expectation, shifted by one
     random offset of the source, passes whole numbers; a row is taken once for each one passed within it. Rows run in
     order of about their size, so that the taken sizes follow the target too: the sum is off by about one row.
 
-    The running sum is dealt by (source, size class, hash cell): a cell's start is the number of rows in the cells
-    before it, so no window holds a whole source, and a source with a third of all rows fills as many cells as others do.
+    The running sum is dealt by (source, size class, hash cell), with a cell for every cell_rows rows of the table: a
+    cell's start is the number of rows in the cells before it, so no window holds a whole source, and a source with a
+    third of all rows fills as many cells as others do. Cells come from the hash of all columns, so that rows with a
+    null key or the same key are dealt too.
 
     Nulls: a null source is a source of its own, a null size counts 0, null keys are keys. An empty table stays empty.
     Equal rows are counted singly. Sources whose sizes are all 0 have target 0 and are not taken.
     """
+    cells = max(32, -(-docs.count() // cell_rows))
     docs = docs.drop(*[c for c in ("size", "source_size", "target", "copies") if c not in (key, source)])
     sk, sn, cls, cell, at, off, h = fresh(docs, "_s", "_null", "_class", "_cell", "_at", "_off", "_h")
     dealt = [sk, sn, cls, cell]
     rows = docs.withColumn("size", F.coalesce(size, F.lit(0)).cast("long")).withColumns({
-        sk: F.coalesce(F.col(source), F.lit("")), sn: F.isnull(source), cls: F.floor(8 * F.log2(F.col("size") + 1)).cast("int"), h: F.xxhash64(F.col(key), F.lit(seed)),
+        sk: F.coalesce(F.col(source), F.lit("")), sn: F.isnull(source), cls: F.floor(8 * F.log2(F.col("size") + 1)).cast("int"), h: F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind], F.lit(seed)),
     }).withColumn(cell, F.pmod(F.col(h), F.lit(cells)).cast("int"))
     stats = cut(rows.groupBy(*dealt).agg(F.count("*").alias(at), F.sum("size").alias("size")))
     goal = targets(stats.groupBy(F.when(~F.col(sn), F.col(sk)).alias("source")).agg(F.sum("size").alias("source_size")), weights, cap)

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import cut, literal_table
+from strandspark.llm.common import cut, fresh, literal_table
 
 
 def ring(shards: int, vnodes: int, cells: int) -> list[tuple[int, int, int]]:
@@ -55,31 +55,36 @@ def shard(rows: DataFrame, size: str, shards: int = 8, slack: float = 0.002, vno
     A key's hash gives its cell on the ring, the next virtual node its shard. No shard holds more than (1 + slack)
     times the mean size and one row: the rows of an arc run in hash order, and those that begin beyond what the owner
     holds continue clockwise. Only the arcs' sizes (shards * vnodes numbers, whatever the data) come to the driver.
-    Rows are dealt by cell, so a window holds 1 / cells of them. A null size counts 1, null keys share a cell, equal
-    rows are placed singly. An empty table stays empty.
+    Rows are dealt by cell, so a window holds 1 / cells of them; rows with a null key, and rows of the same key, are
+    dealt over all cells by all columns' hash, so that no hot key fills one cell. A null size counts 1, equal rows are
+    placed singly. An empty table stays empty. Other columns stay, whatever their names.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
+    columns = rows.columns
+    _h, _size, _cell, _arc, _lo, _hi, _off, _start, _n, _by = fresh(rows, "_h", "_size", "_cell", "_arc", "_lo", "_hi", "_off", "_start", "_n", "_by")
     arcs = ring(shards, vnodes, cells)
-    by_arc = literal_table(spark, [(a, lo, hi) for a, (lo, hi, _) in enumerate(arcs)], "_arc int, lo int, hi int")
-    arc_of = F.broadcast(by_arc.select("_arc", F.explode(F.sequence("lo", "hi")).alias("_cell")))  # cells rows, a parameter
-    h = F.xxhash64(F.col(key))
-    rows = rows.withColumns({"_h": h, "_size": F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("long")}).withColumn("_cell", F.pmod(F.shiftrightunsigned("_h", 20), F.lit(cells)).cast("int"))
-    per_cell = cut(rows.groupBy("_cell").agg(F.sum("_size").alias("_bytes")).join(arc_of, "_cell"))
-    load = {r[0]: r[1] for r in per_cell.groupBy("_arc").agg(F.sum("_bytes")).collect()}
+    by_arc = literal_table(spark, [(a, lo, hi) for a, (lo, hi, _) in enumerate(arcs)], f"{_arc} int, {_lo} int, {_hi} int")
+    arc_of = F.broadcast(by_arc.select(_arc, F.explode(F.sequence(_lo, _hi)).alias(_cell)))  # cells rows, a parameter
+    often = rows.groupBy(key).agg(F.count("*").alias(_n)).filter(F.col(_n) > 1).select(F.col(key).alias(_by))
+    every = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
+    rows = rows.join(often, F.col(key) == F.col(_by), "left").withColumn(_h, F.when(F.isnull(key) | F.isnotnull(_by), every).otherwise(F.xxhash64(key))).drop(_by)
+    rows = rows.withColumn(_size, F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("long")).withColumn(_cell, F.pmod(F.shiftrightunsigned(_h, 20), F.lit(cells)).cast("int"))
+    per_cell = cut(rows.groupBy(_cell).agg(F.sum(_size).alias(_n)).join(arc_of, _cell))
+    load = {r[0]: r[1] for r in per_cell.groupBy(_arc).agg(F.sum(_n)).collect()}
     capacity = int((1 + slack) * sum(load.values()) / shards) + 1
-    pieces = F.broadcast(literal_table(spark, place(arcs, load, capacity), "_arc int, lo long, hi long, shard int"))
-    before = lambda by, order: F.coalesce(F.sum("_bytes").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cell_starts = per_cell.select("_cell", "_arc", before("_arc", "_cell").alias("_off"))
-    order = ["_h", key, "_size"]
-    start = F.col("_off") + F.coalesce(F.sum("_size").over(Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(cell_starts, "_cell").withColumn("_start", start)
-    placed = placed.join(pieces, "_arc").filter("_start >= lo and _start < hi")
-    placed = cut(placed.drop("lo", "hi", "_off", "_start", "_arc"))
-    counts = placed.groupBy("shard", "_cell").agg(F.count("*").alias("_bytes"))
-    firsts = counts.select("shard", "_cell", before("shard", "_cell").alias("_off"))
-    slot = F.col("_off") + F.row_number().over(Window.partitionBy("shard", "_cell").orderBy(*order)) - 1
-    return placed.join(firsts, ["shard", "_cell"]).withColumn("slot", slot.cast("long")).drop("_h", "_size", "_cell", "_off")
+    pieces = F.broadcast(literal_table(spark, place(arcs, load, capacity), f"{_arc} int, {_lo} long, {_hi} long, shard int"))
+    before = lambda by, order: F.coalesce(F.sum(_n).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cell_starts = per_cell.select(_cell, _arc, before(_arc, _cell).alias(_off))
+    order = [_h, key, _size]
+    start = F.col(_off) + F.coalesce(F.sum(_size).over(Window.partitionBy(_cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(cell_starts, _cell).withColumn(_start, start)
+    placed = placed.join(pieces, _arc).filter((F.col(_start) >= F.col(_lo)) & (F.col(_start) < F.col(_hi)))
+    placed = cut(placed.select(*columns, "shard", _h, _size, _cell))
+    counts = placed.groupBy("shard", _cell).agg(F.count("*").alias(_n))
+    firsts = counts.select("shard", _cell, before("shard", _cell).alias(_off))
+    slot = F.col(_off) + F.row_number().over(Window.partitionBy("shard", _cell).orderBy(*order)) - 1
+    return placed.join(firsts, ["shard", _cell]).withColumn("slot", slot.cast("long")).select(*columns, "shard", "slot")
 
 
 def text_size(text: Column) -> Column:
