@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import fresh, slices
+from strandspark.llm.common import cut, fresh, slices
 
 #: Bytes as they are compared: A-Z lower-cased, other ASCII than letters and digits to blanks, the rest (all of it within non-ASCII letters) kept.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -104,8 +104,9 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", keep: list[str]
     """keep (all columns of docs, if not given) with n_words, ranges (merged word ranges that are hit), spans (the same in the text's characters) and items (ids).
 
     bench has item_id and text. It is dealt into parts of about part_chars characters; each part is one automaton in
-    each task, and the documents run through one map step after another, with no shuffle. part_chars bounds what the
-    driver sends and a task holds, however large the benchmark is.
+    each task, and the documents run through one map step after another, with no shuffle. Between parts they are
+    written, so that a task holds one automaton at a time: part_chars bounds what the driver sends and a task holds,
+    however large the benchmark is.
 
     A null text, document's or item's, has no words. A null item id marks words, but is not among the items. Items
     with the same id are one item. An empty benchmark hits nothing. A column of docs of an added name is replaced.
@@ -122,6 +123,7 @@ def find(docs: DataFrame, bench: DataFrame, text: str = "text", keep: list[str]
         part = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == p).sort("item_id", "t").collect()]
         names = keep if p == parts - 1 else rest
         out = out.mapInArrow(_step(docs.sparkSession.sparkContext.broadcast(part), text, width, [*names, *_TYPES], not p), of(names))
+        out = out if names is keep else cut(out)
     return out
 
 
