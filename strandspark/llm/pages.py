@@ -289,14 +289,15 @@ def extract(pages: DataFrame, keep: list[str] | None = None, url: str = "url", h
     """
     keep = [c for c in (keep or [c for c in pages.columns if c != html]) if c != "text"]
     bare = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://|[?#].*$", "")
-    rows = pages.select(*[F.col(c) for c in keep], F.lower(F.regexp_extract(bare, r"^[^/]*", 0)).alias("_host"), F.regexp_extract(bare, r"^[^/]*(.*)$", 1).alias("_path"), F.col(html).alias("_html"))
+    names = [f"k{i}" for i in range(len(keep))]  # no clash with the names here
+    rows = pages.select(*[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)], F.lower(F.regexp_extract(bare, r"^[^/]*", 0)).alias("_host"), F.regexp_extract(bare, r"^[^/]*(.*)$", 1).alias("_path"), F.col(html).alias("_html"))
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     shared = shared_lines(rows.select("_host", "_path", "_html").mapInArrow(_parse([], False), "_host string, _path string, _sig binary, _own binary"), parts)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    own = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    texts = rows.drop("_path").mapInArrow(_parse(keep, True), ", ".join([*([own] if own else []), "_host string, _sig binary, _kinds binary, _text string"]))
-    joined = texts.join(shared, ["_host", "_sig"], "left").select(*keep, "_kinds", "_text", "_shared")
-    return joined.mapInArrow(_told(keep), ", ".join([*([own] if own else []), "text string"]))
+    own = [f"{k} {kinds[k]}" for k in names]
+    texts = rows.drop("_path").mapInArrow(_parse(names, True), ", ".join([*own, "_host string, _sig binary, _kinds binary, _text string"]))
+    joined = texts.join(shared, ["_host", "_sig"], "left").select(*names, "_kinds", "_text", "_shared")
+    return joined.mapInArrow(_told(names), ", ".join([*own, "text string"])).toDF(*keep, "text")
 
 
 def digests(pages: DataFrame) -> DataFrame:
