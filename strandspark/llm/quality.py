@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import bounded, by_bytes, cut
 
 START, END = "\x02", "\x03"
-SPACES = re.compile(r"[\s\x02\x03\x00]+")
+SPACES, DIGITS = re.compile(r"[\s\x02\x03\x00]+"), re.compile(r"[1-9]")
 #: Bytes of text that are compressed together.
 BLOCK = 4 << 20
 #: Characters read at once, so that a very long text takes no more memory than this.
@@ -28,8 +28,8 @@ PIECE = 1 << 20
 
 
 def normal(text: str | None) -> str:
-    """White space as one blank, case kept."""
-    return SPACES.sub(" ", text or "").strip()
+    """Lower case, white space as one blank, digits as 0."""
+    return DIGITS.sub("0", SPACES.sub(" ", text or "").strip().lower())
 
 
 def windows(text: str, n: int) -> list[np.ndarray]:
@@ -126,7 +126,8 @@ def model(counts: DataFrame, n: int) -> tuple[list[DataFrame], float]:
     """For each order 1 to n (gram, p: interpolated probability of the last character, after the others) and, where the order is below n, (ctx, back: weight of what is below the order after the gram); and the probability of a character that was never seen.
 
     counts: (gram of n characters, c) of trusted text. Lower orders count in how many ways a gram is continued to
-    the left; the discounts of counts 1, 2 and more come from the numbers of grams with counts 1 to 4.
+    the left; the discounts of counts 1, 2 and more come from the numbers of grams with counts 1 to 4, and are 0.1 at least, so that no
+    probability is 0.
     """
     order: dict[int, DataFrame] = {n: counts}
     for k in range(n - 1, 0, -1):
@@ -140,7 +141,7 @@ def model(counts: DataFrame, n: int) -> tuple[list[DataFrame], float]:
         of = {r["c"]: r["n"] for r in now.filter("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
         n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
-        d = [min(max(i - (i + 1) * y * b / a, 0.0), float(i)) if a and b else min(0.5 * i, 1.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        d = [min(max(i - (i + 1) * y * b / a, 0.1), float(i)) if a and b else min(0.5 * i, 1.0) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         ctx = F.expr(f"substring(gram, 1, {k - 1})")
         sums = now.groupBy(ctx.alias("ctx")).agg(F.sum("c").alias("all"), (F.sum(less) / F.sum("c")).alias("back"))
@@ -207,7 +208,7 @@ def perplexities(docs: DataFrame, trusted: Column, keep: list[str], text: str =
     own = read.filter("_trusted is not null").select(*names, "row")
     if seen.head(1):
         probs, least = model(seen.select("gram", "c"), n)
-        said = bounded(cut(answers(every.select("gram"), probs, least, n)), 64)  # one row a distinct n-gram: few for an alphabet, very many for a whole web, which are joined by a shuffle
+        said = answers(every.select("gram"), probs, least, n)  # as many rows as distinct n-grams, very many for a whole web: always joined by a shuffle
         told = asked.select("piece", "gram").join(said, "gram").select(F.col("piece").alias("of"), "gram", "s")
         texts = read.filter("packed is not null").select("piece", "row", "packed")
         scored = texts.groupBy("piece").cogroup(told.groupBy("of")).applyInArrow(_score(n), "row long, m long, t double")
