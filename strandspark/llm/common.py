@@ -16,9 +16,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); where that is unset, as in tests, a temporary one."""
+    """A new path in the folder that all executors share (spark.checkpoint.dir). Where that is unset, a temporary one if Spark runs in one process, as in tests; otherwise an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/strandspark-{uuid.uuid4().hex}"
