@@ -34,9 +34,9 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 
 
 class Ftrl:
-    """Per-coordinate rates and L1 sparsity; the last coordinate is the bias, which is not shrunk."""
+    """Per-coordinate rates and L1 sparsity; the last coordinate is the bias, which is not shrunk. alpha and l1 had the least logarithmic loss of some twenty settings on a fifth of the rows to learn from, the held-out fold aside."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1):
+    def __init__(self, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
