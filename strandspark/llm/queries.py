@@ -70,9 +70,20 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP9_SQL = """
+WITH RECURSIVE s AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM s WHERE list_dot_product(e, e) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.v FROM r JOIN l ON r.reached = l.u),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = e.vec_id AS kept FROM embeddings e JOIN c USING (vec_id) LEFT JOIN k ON k.u = e.vec_id
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_languages, op3_decontaminate, op4_simhash_dedup, op5_shards, op6_token_ids, op7_toxicity, op8_main_text, op9_embedding_dedup, op10_quality)}
-SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
+SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op9_embedding_dedup": OP9_SQL}
