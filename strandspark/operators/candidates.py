@@ -1,4 +1,4 @@
-"""Which pairs and motifs a molecule can form, as joins of letters with the small tables of a parameter set."""
+"""Which pairs and motifs a molecule can form: each molecule is a row, and what it can form is listed within it, with no join and no shuffle."""
 
 from __future__ import annotations
 
@@ -6,71 +6,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.functions import pairs_of, span
-from strandspark.operators.fold import prepare, strand_pattern
+from strandspark.operators.fold import candidates, joined, prepare, strand_pattern
 from strandspark.sources.params import Params
 
 
-def _nick_free(n: Column, nicks: Column, i: Column, d: Column) -> Column:
-    return ~F.exists(nicks, lambda x: F.pmod(x - i, n) < d)
-
-
-def type_table(molecules: DataFrame, p: Params) -> DataFrame:
-    """(t, tag, nt1, nt2, lower, kd, flip), to be broadcast: a set has a dozen types."""
-    rows = [(k, t.tag, *t.ends, t.lower, t.kd, p.types[t.flip].tag) for k, t in enumerate(p.types)]
-    return F.broadcast(molecules.sparkSession.createDataFrame(rows, "t int, tag string, nt1 string, nt2 string, lower boolean, kd double, flip string"))
-
-
 def stack_table(molecules: DataFrame, p: Params) -> DataFrame:
     """(bpt1, bpt2, c_eff) of all stacks, 0 where none is given."""
     size = range(len(p.types))
     return F.broadcast(molecules.sparkSession.createDataFrame([(p.types[a].tag, p.types[b].tag, p.stack.get((a, b), 0.0)) for a in size for b in size], "bpt1 string, bpt2 string, c_eff double"))
 
 
-def letters_at(prepared: DataFrame) -> DataFrame:
-    return prepared.select("mol_id", F.posexplode("seq").alias("pos", "nt"))
+def _tags(p: Params) -> Column:
+    return F.array(*[F.lit(t.tag) for t in p.types]) if p.types else F.array().cast("array<string>")
+
+
+def _cells(of: Column, use) -> Column:
+    """use(i, d, what stands there) for all offsets and starts of an array of rows of arrays, flattened."""
+    return F.flatten(F.flatten(F.transform(of, lambda row, d: F.transform(row, lambda here, i: use(i, d, here)))))
 
 
 def pairs(molecules: DataFrame, p: Params) -> DataFrame:
     """(mol_id, i, j, tag): every ordered pair of letters of a type, neither too close on an unbroken strand nor barred by a forced structure."""
-    m = prepare(molecules)
-    at, types = letters_at(m), type_table(molecules, p)
-    first = at.join(types, (F.col("nt") == F.col("nt1")) | (F.col("lower") & F.col("nt").rlike("^[a-z]$"))).select("mol_id", F.col("pos").alias("i"), "tag", F.when(F.col("lower"), F.col("nt")).otherwise(F.col("nt2")).alias("nt"))
-    both = first.join(at.withColumnRenamed("pos", "j"), ["mol_id", "nt"]).filter("i <> j")
-    both = both.join(m.select("mol_id", "n", "nicks", "of", "within", "allow_extra"), "mol_id")
-    i, j, n = F.col("i"), F.col("j"), F.col("n")
-    d, e = F.pmod(j - i, n), F.pmod(i - j, n)
-    short = ((d - 1 < p.min_loop_length) & _nick_free(n, F.col("nicks"), i, d)) | ((e - 1 < p.min_loop_length) & _nick_free(n, F.col("nicks"), j, e))
-    x, y = F.get("of", i), F.get("of", j)
-    allowed = F.isnull("of") | (x == j) | (F.col("allow_extra") & (x == -1) & (y == -1) & (F.get("within", i) == F.get("within", j)))
-    return both.filter(~short & allowed).select("mol_id", "i", "j", "tag")
+    m = candidates(prepare(molecules), p.without_motifs(), True)
+    at = lambda i, d, here: F.transform(here, lambda t: F.struct(i.alias("i"), F.pmod(i + d, F.col("n")).alias("j"), F.get(_tags(p), t).alias("tag")))
+    return m.select("mol_id", F.explode(_cells(F.col("types"), at)).alias("x")).select("mol_id", "x.*")
+
+
+def _starts(strand: str, n: Column, of: Column) -> Column:
+    k = len(strand)
+    free = lambda i: F.isnull(of) | ~F.exists(span(1, k - 2), lambda x: F.get(of, F.pmod(i + x, n)) >= 0)
+    fits = lambda i: (n >= k) & F.substring(F.col("_text"), i + 1, F.lit(k)).rlike(f"^{strand_pattern(strand)}$") & joined(F.col("nicks"), n, i, F.lit(k - 1)) & free(i)
+    return F.transform(F.filter(span(0, n - 1), fits), lambda i: F.struct(F.lit(strand).alias("strand"), i.alias("i")))
 
 
 def strand_matches(molecules: DataFrame, p: Params) -> DataFrame:
     """(mol_id, strand, i): where the strands of the set's motifs can start: on matching letters, with no nick and no forced letter within."""
-    m = prepare(molecules).filter("n > 0")
+    n, of = F.col("n"), F.col("of")
     text = F.array_join(F.concat("seq", "seq"), "")
-    strands = sorted({s for x in p.motifs for s in x.strands})
-    table = F.broadcast(molecules.sparkSession.createDataFrame([(s, f"^{strand_pattern(s)}$", len(s)) for s in strands], "strand string, shape string, k int"))
-    at = m.select("mol_id", "n", "nicks", "of", text.alias("text"), F.explode(span(0, F.col("n") - 1)).alias("i"))
-    fits = at.join(table, (F.col("n") >= F.col("k")) & F.rlike(F.substring("text", F.col("i") + 1, F.col("k")), F.col("shape")))
-    free = F.isnull("of") | ~F.exists(span(1, F.col("k") - 2), lambda x: F.get(F.col("of"), F.pmod(F.col("i") + x, F.col("n"))) >= 0)
-    return fits.filter(_nick_free(F.col("n"), F.col("nicks"), F.col("i"), F.col("k") - 1) & free).select("mol_id", "strand", "i")
+    found = [_starts(s, n, of) for s in sorted({s for x in p.motifs for s in x.strands})]
+    every = F.concat(*found) if found else F.array().cast("array<struct<strand:string,i:int>>")
+    m = prepare(molecules).filter("n > 0").withColumn("_text", text)
+    return m.select("mol_id", F.explode(every).alias("x")).select("mol_id", "x.*")
 
 
 def motif_matches(molecules: DataFrame, p: Params) -> DataFrame:
     """(mol_id, motif, i, j, tag, i_next, j_next, tag_next): where a motif is closed by the pair (i, j), with the pair at its other end, null for hairpins."""
-    spark = molecules.sparkSession
-    own = [(m.tag, m.strands[0], m.strands[-1] if len(m.strands) > 1 else None, len(m.strands[0]), len(m.strands[1]) if len(m.strands) > 1 else 0, [p.types[p.types[k].flip].tag for k in m.pairs[-1]], [p.types[k].tag for k in m.pairs[0]]) for m in p.motifs if len(m.strands) <= 2]
-    motifs = F.broadcast(spark.createDataFrame(own, "motif string, first string, second string, a int, b int, closing array<string>, inner array<string>"))
-    can, fits = pairs(molecules, p), strand_matches(molecules, p)
-    m = prepare(molecules).select("mol_id", "n")
-    closed = can.join(m, "mol_id").join(fits.withColumnRenamed("strand", "first"), ["mol_id", "i"]).join(motifs, "first").filter(F.array_contains("closing", F.col("tag")))
-    d = F.pmod(F.col("j") - F.col("i"), F.col("n"))
-    hairpins = closed.filter((F.col("b") == 0) & (d == F.col("a") - 1)).select("mol_id", "motif", "i", "j", "tag", *[F.lit(None).cast(k).alias(c) for c, k in (("i_next", "int"), ("j_next", "int"), ("tag_next", "string"))])
-    loops = closed.filter((F.col("b") > 0) & (d >= F.col("a") + F.col("b") - 1)).withColumns({"i_next": F.pmod(F.col("i") + F.col("a") - 1, F.col("n")), "j_next": F.pmod(F.col("j") - F.col("b") + 1, F.col("n"))})
-    loops = loops.join(fits.select("mol_id", F.col("strand").alias("second"), F.col("i").alias("j_next")), ["mol_id", "second", "j_next"])
-    loops = loops.join(can.select("mol_id", F.col("i").alias("i_next"), F.col("j").alias("j_next"), F.col("tag").alias("tag_next")), ["mol_id", "i_next", "j_next"]).filter(F.array_contains("inner", F.col("tag_next")))
-    return hairpins.unionByName(loops.select("mol_id", "motif", "i", "j", "tag", "i_next", "j_next", "tag_next"))
+    m = candidates(prepare(molecules), p, True)
+    n, types, names = F.col("n"), F.col("types"), F.array(*[F.lit(x.tag) for x in p.motifs]) if p.motifs else F.array().cast("array<string>")
+    tag = lambda i, d, k: F.get(_tags(p), F.get(F.get(F.get(types, d), i), k))
+
+    def at(i, d, here):
+        def one(x):
+            loop = x["d"] >= 0
+            return F.struct(
+                F.get(names, x["m"]).alias("motif"), i.alias("i"), F.pmod(i + d, n).alias("j"), tag(i, d, x["t"]).alias("tag"),
+                F.when(loop, x["i"]).alias("i_next"), F.when(loop, F.pmod(x["i"] + x["d"], n)).alias("j_next"), F.when(loop, tag(x["i"], x["d"], x["u"])).alias("tag_next"),
+            )
+
+        return F.transform(here, one)
+
+    return m.select("mol_id", F.explode(_cells(F.col("motifs"), at)).alias("x")).select("mol_id", "x.*")
 
 
 def structure_pairs(molecules: DataFrame) -> DataFrame:

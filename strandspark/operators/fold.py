@@ -100,9 +100,13 @@ def _match(p: Params, a: Column, b: Column) -> Column:
     return F.array_compact(F.array(*own)) if own else F.array().cast("array<int>")
 
 
-def _joined(mol: Molecule, i, d):
+def joined(nicks: Column, n: Column, i, d) -> Column:
     """No nick from i on over d bonds."""
-    return ~F.exists(mol.nicks, lambda x: F.pmod(x - i, mol.n) < d)
+    return ~F.exists(nicks, lambda x: F.pmod(x - i, n) < d)
+
+
+def _joined(mol: Molecule, i, d):
+    return joined(mol.nicks, mol.n, i, d)
 
 
 def _candidates(p: Params, full: bool, bare: Molecule) -> Column:

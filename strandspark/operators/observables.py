@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandspark.functions import span, total
 from strandspark.operators.fold import BP, C, COAX, CUT, NB, NC, Molecule, fill, molecule
-from strandspark.sources.params import C_STD, KT, Params
+from strandspark.sources.params import C_STD, KT, Params, stack_of_motif
 
 
 def _grid(n: Column, least: int, use) -> Column:
@@ -101,25 +101,23 @@ def _motif_counts(mol: Molecule, z: Column) -> Column:
 def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None) -> DataFrame:
     """(mol_id, tag, dlogz_dlogp) of fully filled molecules for the given tags, all of the set if none are given.
 
-    Each derivative is an expected count: of loops, linkages, pairs, stacks, motifs. An unknown tag raises an error.
+    Each derivative is an expected count: of loops, linkages, pairs, stacks, motifs. A molecule lists all its counts in
+    one pass over its cells. An unknown tag raises an error.
     """
-    spark = filled.sparkSession
     tags = list(p.values) if tags is None else tags
     if unknown := [t for t in tags if t not in p.values and t != "Kd"]:
         raise ValueError(f"no such parameters: {unknown}")
-    mol, z, ok = molecule(p, True, F.col("cells")), F.col("z"), F.col("n") > 0
-    alive = filled.filter("z > 0").persist()  # each count reads the cells; a lost part is filled again
+    mol, z = molecule(p, True, F.col("cells")), F.col("z")
     # (kind, key) of each count, and with what factor it belongs to a tag
-    factors: list[tuple[str, str, float, str]] = []
-    parts: list[DataFrame] = []
-    scalar = [t for t in tags if t in p.scalars]
-    if scalar:
+    factors: list[tuple[str, str, float, str]] = [("none", t, 0.0, t) for t in tags]
+    count = lambda kind, key, x: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), x.cast("double").alias("x"))
+    parts: list[Column] = []
+    if scalar := [t for t in tags if t in p.scalars]:
         own = _scalars(mol, z)
-        rows = F.array(*[F.struct(F.lit(t).alias("key"), own.get(t, F.lit(0.0)).alias("x")) for t in scalar])
-        parts.append(alive.select("mol_id", F.explode(F.when(ok, rows)).alias("r")).select("mol_id", F.lit("scalar").alias("kind"), "r.key", "r.x"))
+        parts.append(F.array(*[count("scalar", F.lit(t), own.get(t, F.lit(0.0))) for t in scalar]))
         factors += [("scalar", t, 1.0, t) for t in scalar]
     if pairs := [t for t in tags if t.startswith("Kd")]:
-        parts.append(typed_pairs(alive, p).filter("i < j").select("mol_id", F.lit("pair").alias("kind"), F.col("t").cast("string").alias("key"), F.col("p").alias("x")))
+        parts.append(F.transform(F.filter(_pairs(mol, z), lambda x: x["i"] < x["j"]), lambda x: count("pair", x["t"], x["p"])))
         for tag in pairs:
             own = set(range(len(p.types))) if tag == "Kd" else {k for a in p.of_tag(tag[3:]) for k in (a, p.types[a].flip)}
             factors += [("pair", str(k), -1.0, tag) for k in own]
@@ -129,8 +127,6 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
         if tag == "C_eff_stacked_pair":
             stacks[tag] = [(a, b) for a in range(len(p.types)) for b in range(len(p.types))]
         elif tag.startswith(("C_eff_stack_", "C_eff_motif_")):
-            from strandspark.sources.params import stack_of_motif
-
             pair = tag[12:] if tag.startswith("C_eff_stack_") else stack_of_motif(tag[12:])
             if pair:
                 first, second = (p.of_tag(x) for x in pair.split("_"))
@@ -138,7 +134,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
             else:
                 motifs.append(tag)
     if stacks:
-        parts.append(alive.select("mol_id", F.explode(F.when(ok, _stack_counts(mol, z))).alias("r")).select("mol_id", F.lit("stack").alias("kind"), F.concat_ws("_", "r.a", "r.b").alias("key"), "r.x"))
+        parts.append(F.transform(_stack_counts(mol, z), lambda x: count("stack", F.concat_ws("_", x["a"], x["b"]), x["x"])))
         for tag, cells in stacks.items():
             mirrored: set[tuple[int, int]] = set()
             for a, b in cells:
@@ -147,20 +143,17 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
                     mirrored |= {(a, b), mirror}
                     factors.append(("stack", f"{a}_{b}", 0.5 if mirror == (a, b) else 1.0, tag))
     if motifs:
-        parts.append(alive.select("mol_id", F.explode(F.when(ok, _motif_counts(mol, z))).alias("r")).select("mol_id", F.lit("motif").alias("kind"), F.col("r.m").cast("string").alias("key"), "r.x"))
+        parts.append(F.transform(_motif_counts(mol, z), lambda x: count("motif", x["m"], x["x"])))
         for tag in motifs:
             own = [k for k, m in enumerate(p.motifs) if m.given == m.tag == tag[12:]]
             turned = [m for m in p.motifs if m.given == tag[12:]]
             half = len(turned[0].strands) == 2 and len(turned) == 1  # turned round it is the same: both sides count it
             factors += [("motif", str(k), 0.5 if half else 1.0, tag) for k in own]
-    counts = parts[0]
-    for x in parts[1:]:
-        counts = counts.unionByName(x)
-    counts = counts.groupBy("mol_id", "kind", "key").agg(F.sum("x").alias("x"))
-    of = F.broadcast(spark.createDataFrame(factors or [("", "", 0.0, "")], "kind string, key string, f double, tag string"))  # a row for each parameter and type
-    found = counts.join(of, ["kind", "key"]).groupBy("mol_id", "tag").agg(F.sum(F.col("x") * F.col("f")).alias("v"))
-    every = alive.select("mol_id", F.explode(F.array(*[F.lit(t) for t in tags])).alias("tag"))
-    return every.join(found, ["mol_id", "tag"], "left").select("mol_id", "tag", F.coalesce("v", F.lit(0.0)).alias("dlogz_dlogp"))
+    none = F.array(*[count("none", F.lit(t), F.lit(0.0)) for t in tags])
+    every = F.when(F.col("n") > 0, F.concat(none, *parts)).otherwise(none)
+    of = F.broadcast(filled.sparkSession.createDataFrame(factors, "kind string, key string, f double, tag string"))  # a row for each parameter and type
+    counts = filled.filter("z > 0").select("mol_id", F.explode(every).alias("r")).select("mol_id", "r.*")
+    return counts.join(of, ["kind", "key"]).groupBy("mol_id", "tag").agg(F.coalesce(F.sum(F.col("x") * F.col("f")), F.lit(0.0)).alias("dlogz_dlogp"))
 
 
 def derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None) -> DataFrame:
@@ -194,3 +187,20 @@ def energy_gap(molecules: DataFrame, p: Params, **how) -> DataFrame:
 
 def free_energy(z: Column) -> Column:
     return F.when(z > 0, -KT * F.log(z))
+
+
+def results(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> DataFrame:
+    """One row a molecule: n, z, dg, dg_structure and dg_gap (null without a structure), structure (the greedy one), p (its probability) and log_derivatives, a map by tag (all of the set if none are given).
+
+    The ensemble is that of all structures; a molecule's own structure counts for the gap only. Null where nothing is possible.
+    """
+    from strandspark.operators.traceback import mfe
+
+    given = "structure" in {c.lower() for c in molecules.columns}
+    bare = molecules.drop("structure", "allow_extra")
+    filled = fill(bare, p, full=True)
+    slopes = log_derivatives(filled, p, tags).groupBy("mol_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "dlogz_dlogp")))).alias("log_derivatives"))
+    out = filled.select("mol_id", "n", "z", "dg").join(mfe(filled, p, full=True), "mol_id", "left").join(slopes, "mol_id", "left")
+    own = fill(molecules.filter("structure is not null"), p).select("mol_id", F.col("dg").alias("dg_structure")) if given else None
+    out = out.join(own, "mol_id", "left") if given else out.withColumn("dg_structure", F.lit(None).cast("double"))
+    return out.select("mol_id", "n", "z", "dg", "dg_structure", (F.col("dg_structure") - F.col("dg")).alias("dg_gap"), "structure", "p", "log_derivatives")

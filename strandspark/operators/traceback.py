@@ -6,7 +6,7 @@ contributions it was made of and goes on with one of them, or with all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.functions import let, span, structure_of
@@ -47,8 +47,8 @@ def alternatives(mol: Molecule, node: Column) -> Column:
     return out.when(kind >= PAIR, pair).otherwise(F.array().cast(ALTS))
 
 
-def _start() -> Column:
-    return F.struct(F.array(F.struct(F.lit(FINAL).alias("k"), F.lit(0).alias("i"), F.lit(0).alias("d"))).alias("todo"), F.array().cast("array<struct<i:int,j:int>>").alias("pairs"), F.lit(1.0).alias("p")).cast(STATE)
+def _start(i: Column | None = None) -> Column:
+    return F.struct(F.array(F.struct(F.lit(FINAL).alias("k"), (F.lit(0) if i is None else i).alias("i"), F.lit(0).alias("d"))).alias("todo"), F.array().cast("array<struct<i:int,j:int>>").alias("pairs"), F.lit(1.0).alias("p")).cast(STATE)
 
 
 def _next(mol: Molecule, state: Column, alt: Column, share: Column) -> Column:
@@ -58,8 +58,8 @@ def _next(mol: Molecule, state: Column, alt: Column, share: Column) -> Column:
     return F.struct(F.concat(F.slice(state["todo"], 1, F.size(state["todo"]) - 1), alt["kids"]).alias("todo"), pairs.alias("pairs"), (state["p"] * share).alias("p")).cast(STATE)
 
 
-def _one_path(mol: Molecule, choose) -> Column:
-    """The final state when choose(alternatives, step) gives the place of the one to follow."""
+def _one_path(mol: Molecule, choose, start: Column | None = None) -> Column:
+    """The final state when choose(alternatives, step) gives the place of the one to follow; start: where the molecule is cut open."""
 
     def step(state, k):
         node = F.get(state["todo"], F.size(state["todo"]) - 1)
@@ -70,17 +70,30 @@ def _one_path(mol: Molecule, choose) -> Column:
 
         return F.when(F.size(state["todo"]) == 0, state).otherwise(let(alternatives(mol, node), follow)).cast(STATE)
 
-    return F.aggregate(span(0, mol.n * 8), _start(), step)
+    return F.aggregate(span(0, mol.n * 8), _start(start), step)
+
+
+def _largest(alts: Column, _all: Column, _k: Column) -> Column:
+    weights = F.transform(alts, lambda a: a["w"])
+    return F.array_position(weights, F.array_max(weights)).cast("int") - 1
 
 
 def mfe(filled: DataFrame, p: Params, full: bool = False) -> DataFrame:
     """(mol_id, structure, p): the structure that is reached by always going on with the largest contribution, the first of equal ones. It need not be the one of least energy. full: as the cells were filled."""
     mol = molecule(p, full, F.col("cells"))
-    largest = lambda alts, _all, _k: F.array_position(F.transform(alts, lambda a: a["w"]), F.array_max(F.transform(alts, lambda a: a["w"]))).cast("int") - 1
-    done = filled.filter("z > 0").select("mol_id", "n", F.when(F.col("n") > 0, _one_path(mol, largest)).alias("s"))
+    done = filled.filter("z > 0").select("mol_id", "n", F.when(F.col("n") > 0, _one_path(mol, _largest)).alias("s"))
     return done.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p"))
 
 
+def mfe_starts(filled: DataFrame, p: Params) -> DataFrame:
+    """(mol_id, start, structure, p, agrees) of fully filled molecules: the greedy structure from each place where the molecule can be cut open, and whether it is that from the first. They can differ, as greedy choices are not the structure of least energy."""
+    mol = molecule(p, True, F.col("cells"))
+    rows = filled.filter("z > 0 and n > 0").withColumn("start", F.explode(span(0, F.col("n") - 1)))
+    done = rows.select("mol_id", "start", "n", _one_path(mol, _largest, F.col("start")).alias("s")).select("mol_id", "start", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p"))
+    first = F.first("structure").over(Window.partitionBy("mol_id").orderBy("start"))  # as many rows as letters
+    return done.withColumn("agrees", F.col("structure") == first)
+
+
 def samples(filled: DataFrame, p: Params, count: int, seed: int = 0, full: bool = False) -> DataFrame:
     """(mol_id, sample, structure): count structures a molecule, each as likely as its weight. The same seed gives the same structures; each sample is a row of work of its own."""
     mol = molecule(p, full, F.col("cells"))

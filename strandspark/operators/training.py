@@ -83,15 +83,34 @@ def loss(examples: DataFrame, p: Params, spark: SparkSession) -> DataFrame:
 
 
 def slope(examples: DataFrame, p: Params, tags: list[str]) -> DataFrame:
-    """(tag, slope): derivatives of the loss by the parameters' logarithms, summed over the examples."""
-    _, bound = scoring.score(examples.drop("force", "allow_extra"), p, tags)
-    held = examples.drop("structure", "allow_extra")
+    """(tag, slope): derivatives of the loss by the parameters' logarithms, summed over the examples whose structure is possible."""
+    scored, bound = scoring.score(examples.drop("force", "allow_extra"), p, tags)
+    possible = scored.filter("dg is not null").select("mol_id")
+    held = examples.drop("structure", "allow_extra").join(possible, "mol_id", "left_semi")
     held = held.withColumnRenamed("force", "structure").withColumn("allow_extra", F.lit(True)) if "force" in examples.columns else held
     free = observables.log_derivatives(fold.fill(held, p, full=True), p, tags)
+    bound = bound.join(possible, "mol_id", "left_semi")
     both = free.select("tag", F.col("dlogz_dlogp").alias("d")).unionByName(bound.select("tag", (-F.col("dlogz_dlogp")).alias("d")))
     return both.groupBy("tag").agg((KT * F.sum("d")).alias("slope"))
 
 
+def step(examples: DataFrame, p: Params, tags: list[str], rate: float) -> DataFrame:
+    """(tag, x, slope, x_next): one step of rate down the loss's slope from the set's logarithms."""
+    now = examples.sparkSession.createDataFrame([(t, math.log(p.values[t])) for t in tags], "tag string, x double")
+    return now.join(slope(examples, p, tags), "tag", "left").select("tag", "x", F.coalesce("slope", F.lit(0.0)).alias("slope")).withColumn("x_next", F.col("x") - rate * F.col("slope"))
+
+
+def slope_check(examples: DataFrame, p: Params, tags: list[str], h: float = 1e-5) -> DataFrame:
+    """(tag, slope, numeric): the loss's slopes beside its differences, two losses for each parameter."""
+    spark = examples.sparkSession
+    out = None
+    for t in tags:
+        up, down = (loss(examples, p.updated({t: p.values[t] * math.exp(s * h)}), spark).select(F.col("loss").alias(c)) for s, c in ((1, "a"), (-1, "b")))
+        own = up.crossJoin(down).select(F.lit(t).alias("tag"), ((F.col("a") - F.col("b")) / (2 * h)).alias("numeric"))  # one row each
+        out = own if out is None else out.unionByName(own)
+    return slope(examples, p, tags).join(out, "tag")
+
+
 def minimize(f, grad, x: np.ndarray, steps: int = 20, tol: float = 1e-5) -> tuple[np.ndarray, float, list[tuple[float, np.ndarray]]]:
     """Quasi-Newton descent with backtracking; the trace has each accepted value and point."""
     h, y, g = np.eye(len(x)), f(x), grad(x)
@@ -131,3 +150,8 @@ def train(examples: DataFrame, p: Params, tags: list[str], x: np.ndarray | None
 
     best, _, trace = minimize(f, grad, start(p, tags) if x is None else x, steps)
     return at(best), trace
+
+
+def trace_table(spark: SparkSession, trace: list[tuple[float, np.ndarray]], tags: list[str]) -> DataFrame:
+    """(step, loss, tag, x): a training's accepted steps, to be kept as a table."""
+    return spark.createDataFrame([(k, float(y), t, float(v)) for k, (y, x) in enumerate(trace) for t, v in zip(tags, x, strict=True)], "step int, loss double, tag string, x double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandspark.functions import connections, pairs_of, partners, strands_of, structure_of
 from strandspark.operators import candidates, defects, fold, observables, scoring, traceback, training
+from strandspark.sources import known
 from strandspark.sources.params import KT, Params, packaged, resolve
 
 #: The set of the queries that SQL enumerates: stacks, a bulge motif and a hairpin motif, no coaxial stacking.
@@ -16,7 +17,8 @@ PLAIN = [
     ("name", "plain"), ("version", "1"), ("min_loop_length", "3"), ("allow_strained_3WJ", "False"), ("Kd_CG", "0.002"), ("Kd_AU", "0.02"), ("Kd_GU", "0.2"),
     ("C_init", "1.5"), ("l", "0.5"), ("l_BP", "0.2"), ("C_eff_stacked_pair", "10.0"), ("C_eff_motif_NN_NNN", "0.7"), ("C_eff_motif_NNNNN", "0.05"),
 ]
-N = 10
+#: Letters a molecule. There are at most 4 ** 8 + 4 ** 7 + ... + 4 different ones, so that SQL can enumerate their structures.
+N = 8
 
 
 def plain() -> Params:
@@ -24,13 +26,15 @@ def plain() -> Params:
 
 
 def sequences(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    """(mol_id, sequence): the first n letters of each document that are nucleotides; documents without any are left out."""
+    """(mol_id, sequence, copies): the nucleotide letters of each whole text, cut into consecutive molecules of n letters (the last may be shorter). Each different molecule is one row, named by its sequence, with the number of times that it occurs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("mol_id"), F.substring(F.regexp_replace(F.upper("text"), "[^ACGU]", ""), 1, n).alias("sequence")).filter("length(sequence) >= 1")
+    each = docs.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.upper("text"), "[^ACGU]", ""), F.lit(f"(.{{1,{n}}})"))).alias("sequence"))
+    return each.groupBy("sequence").agg(F.count("*").alias("copies")).select(F.col("sequence").alias("mol_id"), "sequence", "copies")
 
 
 def molecules(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    return fold.linear(sequences(spark, sf_dir, n))
+    """Repartitioned, as a fold takes far longer than it takes to read a molecule."""
+    return fold.linear(sequences(spark, sf_dir, n)).repartition(spark.sparkContext.defaultParallelism * 4)
 
 
 def _hairpin(n):
@@ -45,8 +49,8 @@ def with_structure(spark: SparkSession, sf_dir: str, extra: bool = False) -> Dat
 
 
 def q_strand_parse(spark, sf_dir):
-    s = sequences(spark, sf_dir, 12).select("mol_id", strands_of(F.concat(F.substring("sequence", 1, 5), F.lit("+"), F.substring("sequence", 6, 7))).alias("strands"), F.lit(False).alias("circle"))
-    return fold.prepare(s).select("mol_id", F.size("strands").alias("n_strands"), "n", connections(F.col("strands"), F.col("circle")).alias("joints"), F.array_join(F.transform("nicks", lambda k: k.cast("string")), ",").alias("nicks"))
+    s = sequences(spark, sf_dir).select("mol_id", "copies", strands_of(F.concat(F.substring("sequence", 1, 5), F.lit("+"), F.substring("sequence", 6, N))).alias("strands"), F.lit(False).alias("circle"))
+    return fold.prepare(s).select("mol_id", "copies", F.size("strands").alias("n_strands"), "n", connections(F.col("strands"), F.col("circle")).alias("joints"), F.array_join(F.transform("nicks", lambda k: k.cast("string")), ",").alias("nicks"))
 
 
 def q_pair_candidates(spark, sf_dir):
@@ -58,7 +62,8 @@ def q_pair_constraint_mask(spark, sf_dir):
 
 
 def q_strand_match(spark, sf_dir):
-    return candidates.strand_matches(molecules(spark, sf_dir), packaged("v0.31")).filter(F.length("strand") > 5)
+    got = candidates.strand_matches(molecules(spark, sf_dir), packaged("v0.31"))
+    return got.groupBy("mol_id", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i.cast("string")), ",").alias("starts"))
 
 
 def q_motif_match(spark, sf_dir):
@@ -106,9 +111,8 @@ def q_logderiv(spark, sf_dir):
 
 
 def q_final_spread(spark, sf_dir):
-    p = packaged("minimal")
-    m = molecules(spark, sf_dir).withColumn("circle", F.col("mol_id") % 2 == 0)
-    return observables.final_spread(fold.fill(m, p, full=True, finals=True)).select("mol_id", (F.abs("spread") < 1e-9).alias("equal"))
+    filled = fold.fill(molecules(spark, sf_dir), plain(), full=True, finals=True)
+    return filled.select("mol_id", F.round(F.log(F.array_min("z_final")), 6).alias("least"), F.round(F.log(F.array_max("z_final")), 6).alias("most"))
 
 
 def q_energy_gap(spark, sf_dir):
@@ -134,27 +138,36 @@ def _ring(a, b):
     return F.concat(F.lit("C"), F.repeat(F.lit("N"), a), F.lit("G"), F.repeat(F.lit("N"), b))
 
 
+def _spacers(spark, sf_dir):
+    """(mol_id, a, b, documents): spacers of 1 to 12 letters, from how often a whole text holds the letters a and e."""
+    text = F.coalesce("text", F.lit(""))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[(F.pmod(F.regexp_count(text, F.lit(c)), F.lit(12)) + 1).cast("int").alias(k) for k, c in (("a", "[aA]"), ("b", "[eE]"))])
+    return docs.groupBy("a", "b").agg(F.count("*").alias("documents")).select(F.concat_ws("-", "a", "b").alias("mol_id"), "a", "b", "documents")
+
+
 def q_circular_z(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("mol_id")).filter("mol_id is not null")
-    a, b = (F.pmod("mol_id", F.lit(4)) + 1).cast("int"), (F.pmod("mol_id", F.lit(3)) + 1).cast("int")
-    m = docs.select("mol_id", F.array(_ring(a, b)).alias("strands"), F.lit(True).alias("circle"))
-    return fold.partition(m, packaged("minimal"), full=True).select("mol_id", F.round(F.log("z"), 6).alias("log_z"))
+    m = _spacers(spark, sf_dir).select("mol_id", "documents", F.array(_ring(F.col("a"), F.col("b"))).alias("strands"), F.lit(True).alias("circle"))
+    return fold.fill(m, packaged("minimal"), full=True).select("mol_id", "documents", F.round(F.log("z"), 6).alias("log_z"))
+
+
+def _pair_of_hairpins(spark, sf_dir):
+    return _spacers(spark, sf_dir).select("mol_id", "documents", F.array(F.concat(_ring(F.col("a"), F.lit(0)), _ring(F.col("b"), F.lit(0)))).alias("strands"), F.lit(False).alias("circle"))
 
 
 def q_coax_z(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("mol_id")).filter("mol_id is not null")
-    a, b = (F.pmod("mol_id", F.lit(4)) + 1).cast("int"), (F.pmod("mol_id", F.lit(3)) + 1).cast("int")
-    m = docs.select("mol_id", F.array(F.concat(_ring(a, F.lit(0)), _ring(b, F.lit(0)))).alias("strands"), F.lit(False).alias("circle"))
-    return fold.partition(m, packaged("minimal")).select("mol_id", F.round(F.log("z"), 6).alias("log_z"))
+    return fold.fill(_pair_of_hairpins(spark, sf_dir), packaged("minimal")).select("mol_id", "documents", F.round(F.log("z"), 6).alias("log_z"))
+
+
+def q_logderiv_coax(spark, sf_dir):
+    got = observables.log_derivatives(fold.fill(_pair_of_hairpins(spark, sf_dir), packaged("minimal"), full=True), packaged("minimal"), ["K_coax", "l_coax", "l", "l_BP", "C_init", "Kd_CG"])
+    return got.select("mol_id", "tag", F.round("dlogz_dlogp", 5).alias("d"))
 
 
 def q_multistrand_z(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("mol_id")).filter("mol_id is not null")
-    k = F.pmod("mol_id", F.lit(3)).cast("int")
-    tail = F.repeat(F.lit("N"), k)
-    strands = F.when(k == 0, F.array(F.lit("GC"), F.lit("GC"))).otherwise(F.array(F.concat(F.lit("G"), tail), F.concat(tail, F.lit("C"))))
-    m = docs.select("mol_id", strands.alias("strands"), F.lit(False).alias("circle"))
-    return fold.partition(m, packaged("minimal")).select("mol_id", F.round(F.log("z"), 6).alias("log_z"))
+    """Two strands whose spacers face each other within a loop of two pairs, C N^a C and G N^b G."""
+    strand = lambda x, k: F.concat(F.lit(x), F.repeat(F.lit("N"), k), F.lit(x))
+    m = _spacers(spark, sf_dir).select("mol_id", "documents", F.array(strand("C", F.col("a")), strand("G", F.col("b"))).alias("strands"), F.lit(False).alias("circle"))
+    return fold.fill(m, packaged("minimal").without_coax()).select("mol_id", "documents", F.round(F.log("z"), 6).alias("log_z"))
 
 
 def _measured(spark, sf_dir):
@@ -178,10 +191,26 @@ def q_loss(spark, sf_dir):
     return training.loss(with_structure(spark, sf_dir), plain(), spark).select("examples", F.round("loss", 3).alias("loss"))
 
 
+def q_train_step(spark, sf_dir):
+    tags = ["Kd_CG", "Kd_AU", "Kd_GU", "C_init", "l", "l_BP", "C_eff_stacked_pair", "C_eff_motif_NNNNN"]
+    examples = with_structure(spark, sf_dir).select("mol_id", "strands", "circle", "structure")
+    got = training.step(examples, plain(), tags, 1e-4)
+    return got.select("tag", F.round("x", 6).alias("x"), F.round("slope", 3).alias("slope"), F.round("x_next", 5).alias("x_next"))
+
+
+def q_favorites(spark, sf_dir):
+    """Defects of the known natural structures, molecule by molecule and over all."""
+    p = packaged("v0.18")
+    m = known.molecules(spark, "favorites").drop("force").repartition(9, "mol_id")
+    measured = defects.defects(m, observables.bpp(fold.fill(m.drop("structure"), p, full=True), p)).withColumns({"package": F.lit("v0.18"), "name": F.col("mol_id")})
+    rows = measured.select("package", "name", "ensemble_defect", "bpp_defect").unionByName(defects.overall(measured, ["package"]).select("package", F.lit("OVERALL").alias("name"), "ensemble_defect", "bpp_defect"))
+    return rows.select("package", "name", F.round("ensemble_defect", 4).alias("ensemble_defect"), F.round("bpp_defect", 4).alias("bpp_defect"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
 
-_SEQ = "SELECT doc_id AS mol_id, substr(regexp_replace(upper(text), '[^ACGU]', '', 'g'), 1, {n}) AS s FROM documents"
-_MOLS = f"m AS MATERIALIZED (SELECT mol_id, s, length(s)::INT AS n FROM ({_SEQ.format(n=N)}) WHERE length(s) >= 1)"
+_SEQ = f"SELECT unnest(regexp_extract_all(regexp_replace(upper(text), '[^ACGU]', '', 'g'), '.{{1,{N}}}')) AS s FROM documents"
+_MOLS = f"m AS MATERIALIZED (SELECT s AS mol_id, s, length(s)::INT AS n, count(*) AS copies FROM ({_SEQ}) GROUP BY s)"
 _TYPES = "t(tag, nt1, nt2, kd) AS (VALUES ('CG','C','G',0.002),('GC','G','C',0.002),('AU','A','U',0.02),('UA','U','A',0.02),('GU','G','U',0.2),('UG','U','G',0.2))"
 _POS = "pos AS (SELECT mol_id, n, k::INT AS k, s[k + 1] AS nt FROM (SELECT mol_id, s, n, unnest(range(0, n)) AS k FROM m))"
 _CAN = "can AS (SELECT a.mol_id, a.n, a.k AS i, b.k AS j, t.tag FROM pos a JOIN t ON a.nt = t.nt1 JOIN pos b ON a.mol_id = b.mol_id AND b.nt = t.nt2 WHERE abs(a.k - b.k) - 1 >= 3)"
@@ -231,19 +260,19 @@ _DEF = f"""{_BPP}, {_STRUCT}, tp AS (SELECT mol_id, i, j FROM ({_matched('st')})
 per AS (SELECT st.mol_id, st.n::INT AS n, (SELECT count(*) FROM tp WHERE tp.mol_id = st.mol_id)::INT AS n_bp,
   (SELECT coalesce(sum(1 - coalesce(bp.p, 0)), 0) FROM tp LEFT JOIN bp ON tp.mol_id = bp.mol_id AND tp.i = bp.i AND tp.j = bp.j WHERE tp.mol_id = st.mol_id) AS miss,
   (SELECT coalesce(sum(bp.p * ((NOT EXISTS (SELECT 1 FROM tp WHERE tp.mol_id = bp.mol_id AND bp.i IN (tp.i, tp.j)))::INT + (NOT EXISTS (SELECT 1 FROM tp WHERE tp.mol_id = bp.mol_id AND bp.j IN (tp.i, tp.j)))::INT)), 0) FROM bp WHERE bp.mol_id = st.mol_id) AS stray FROM st)"""
-_H = "a AS (SELECT doc_id AS mol_id, doc_id % 4 + 1 AS a, doc_id % 3 + 1 AS b FROM documents WHERE doc_id IS NOT NULL)"
+_H = """a AS (SELECT a || '-' || b AS mol_id, a, b, count(*) AS documents FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '[aA]')) % 12 + 1 AS a, len(regexp_extract_all(coalesce(text, ''), '[eE]')) % 12 + 1 AS b FROM documents) GROUP BY a, b),
+h AS (SELECT *, pow(0.5, a + 1) * 0.2 / 0.0002 AS x, pow(0.5, b + 1) * 0.2 / 0.0002 AS y, pow(0.5, a + b + 3) * 0.2 / 0.0002 AS w FROM a)"""
 _DG = f"(-{KT!r})"
 _TARGET = f"(e.structure = (SELECT structure FROM st WHERE st.mol_id = e.mol_id))"
 
 _STACKS = ", ".join(f"('{t[12:14]}','{t[15:]}',{v!r})" for t, v in packaged("v0.31").values.items() if t.startswith("C_eff_stack_"))
 _TAGS = ", ".join(f"('{t}',{v!r}::DOUBLE)" for t, v in packaged("v0.31").values.items())
-_LONG = ", ".join(f"('{s}','^{fold.strand_pattern(s)}$')" for s in sorted({s for m in packaged("v0.31").motifs for s in m.strands}) if len(s) > 5)
-
+_SHAPES = ", ".join(f"('{s}','^{fold.strand_pattern(s)}$')" for s in sorted({s for m in packaged("v0.31").motifs for s in m.strands}))
 SQL: dict[str, str] = {
-    "q_strand_parse": f"SELECT mol_id, CASE WHEN n > 5 THEN 2 ELSE 1 END AS n_strands, n, CASE WHEN n > 5 THEN 1 ELSE 0 END AS joints, CASE WHEN n > 5 THEN '4,' || (n - 1) ELSE '' || (n - 1) END AS nicks FROM (SELECT mol_id, length(s)::INT AS n FROM ({_SEQ.format(n=12)}) WHERE length(s) >= 1)",
+    "q_strand_parse": f"WITH {_MOLS} SELECT mol_id, copies, CASE WHEN n > 5 THEN 2 ELSE 1 END AS n_strands, n, CASE WHEN n > 5 THEN 1 ELSE 0 END AS joints, CASE WHEN n > 5 THEN '4,' || (n - 1) ELSE '' || (n - 1) END AS nicks FROM m",
     "q_pair_candidates": f"WITH {_MOLS}, {_TYPES}, {_POS}, {_CAN} SELECT mol_id, i, j, tag FROM can",
     "q_pair_constraint_mask": f"WITH {_MOLS}, {_TYPES}, {_POS}, {_CAN}, x AS (SELECT *, {_PAIRS} AS h FROM can) SELECT mol_id, i, j, tag FROM x WHERE (i + j = n - 1 AND least(i, j) < h) OR (least(i, j) >= h AND greatest(i, j) < n - h)",
-    "q_strand_match": f"WITH {_MOLS}, v(strand, re) AS (VALUES {_LONG}) SELECT mol_id, strand, k::INT AS i FROM (SELECT mol_id, s, n, unnest(range(0, n)) AS k FROM m) JOIN v ON regexp_matches(substr(s, (k + 1)::INT, length(strand)::INT), re)",
+    "q_strand_match": f"WITH {_MOLS}, v(strand, re) AS (VALUES {_SHAPES}) SELECT mol_id, strand, string_agg(k, ',' ORDER BY k) AS starts FROM (SELECT mol_id, s, unnest(range(0, n)) AS k FROM m) JOIN v ON regexp_matches(substr(s, (k + 1)::INT, length(strand)::INT), re) GROUP BY mol_id, strand",
     "q_motif_match": f"""WITH {_MOLS}, {_TYPES}, {_POS}, {_CAN}
 SELECT mol_id, 'NNNNN' AS motif, i, j, tag, -1 AS i_next, -1 AS j_next, '-' AS tag_next FROM can WHERE j = i + 4
 UNION ALL SELECT a.mol_id, v.motif, a.i, a.j, a.tag, b.i, b.j, b.tag FROM can a JOIN can b ON a.mol_id = b.mol_id JOIN (VALUES ('NN_NNN', 1, 2), ('NNN_NN', 2, 1)) v(motif, p, q)
@@ -257,15 +286,22 @@ SELECT bpt1, bpt2, arg_max(c, o)::DOUBLE AS c_eff FROM u GROUP BY bpt1, bpt2""",
     "q_enumerate": f"WITH RECURSIVE {_ENUM} SELECT e.mol_id, e.structure, round(e.w / z.z, 6) AS p FROM e JOIN z USING (mol_id)",
     "q_logderiv": f"""WITH RECURSIVE {_ENUM}, d AS (SELECT e.mol_id, sum(-w / z * cg) AS "Kd_CG", sum(-w / z * au) AS "Kd_AU", sum(-w / z * gu) AS "Kd_GU", sum(w / z * xc) AS "C_init", sum(w / z * xl) AS "l", sum(w / z * xb) AS "l_BP", sum(w / z * xs) AS "C_eff_stacked_pair", sum(w / z * xh) AS "C_eff_motif_NNNNN", sum(w / z * xm) AS "C_eff_motif_NN_NNN" FROM e JOIN z USING (mol_id) GROUP BY e.mol_id)
 SELECT mol_id, tag, round(v, 5) AS d FROM (UNPIVOT d ON COLUMNS(* EXCLUDE mol_id) INTO NAME tag VALUE v)""",
-    "q_final_spread": f"WITH {_MOLS} SELECT mol_id, true AS equal FROM m",
+    "q_final_spread": f"WITH RECURSIVE {_ENUM} SELECT mol_id, round(ln(z), 6) AS least, round(ln(z), 6) AS most FROM z",
     "q_energy_gap": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT e.mol_id, round({_DG} * ln(e.w), 5) AS dg_structure, round({_DG} * ln(e.w) - {_DG} * ln(z.z), 5) AS dg_gap FROM e JOIN z USING (mol_id) WHERE {_TARGET}",
     "q_score_structure": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT e.mol_id, round({_DG} * ln(e.w), 5) AS dg FROM e WHERE {_TARGET}",
-    "q_circular_z": f"WITH {_H} SELECT mol_id, round(ln(pow(0.5, a + b + 2) * (1 + 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
-    "q_coax_z": f"WITH {_H}, h AS (SELECT *, pow(0.5, a + 1) * 0.2 / 0.0002 AS x, pow(0.5, b + 1) * 0.2 / 0.0002 AS y FROM a) SELECT mol_id, round(ln((1 + x) * (1 + y) + pow(0.5, a + b + 3) * 0.2 / 0.0002 + x * y * 100), 6) AS log_z FROM h",
-    "q_multistrand_z": "WITH h AS (SELECT doc_id AS mol_id, doc_id % 3 AS k FROM documents WHERE doc_id IS NOT NULL) SELECT mol_id, round(ln(CASE WHEN k = 0 THEN 1 / 0.0002 * (2 + 0.5 * 0.5 * 0.2 * 0.2 / 0.0002 + 10000 / 0.0002) ELSE 1 / 0.0002 END), 6) AS log_z FROM h",
+    "q_circular_z": f"WITH {_H} SELECT mol_id, documents, round(ln(pow(0.5, a + b + 2) * (1 + 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
+    "q_coax_z": f"WITH {_H} SELECT mol_id, documents, round(ln((1 + x) * (1 + y) + w + x * y * 100), 6) AS log_z FROM h",
+    "q_logderiv_coax": f"""WITH {_H}, z AS (SELECT *, (1 + x) * (1 + y) + w + x * y * 100 AS z, x + y + 2 * x * y + w + 200 * x * y AS pairs FROM h),
+d AS (SELECT mol_id, x * y * 100 / z AS "K_coax", 0.0::DOUBLE AS "l_coax", ((a + 1) * x * (1 + y) + (b + 1) * y * (1 + x) + (a + b + 3) * w + (a + b + 2) * x * y * 100) / z AS "l", pairs / z AS "l_BP", pairs / z AS "C_init", -pairs / z AS "Kd_CG" FROM z)
+SELECT mol_id, tag, round(v, 5) AS d FROM (UNPIVOT d ON COLUMNS(* EXCLUDE mol_id) INTO NAME tag VALUE v)""",
+    "q_multistrand_z": f"WITH {_H} SELECT mol_id, documents, round(ln(1 / 0.0002 * (4 + pow(0.5, a + b + 2) * 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
     "q_defects": f"WITH RECURSIVE {_DEF} SELECT mol_id, n, n_bp, round((2 * miss + stray) / n, 5) AS ensemble_defect, round(CASE WHEN n_bp > 0 THEN miss / n_bp END, 5) AS bpp_defect FROM per",
     "q_defect_overall": f"WITH RECURSIVE {_DEF} SELECT 'own' AS package, round(sum(2 * miss + stray) / sum(n), 4) AS ensemble_defect, round(sum(miss) / sum(n_bp), 4) AS bpp_defect FROM per",
     "q_bounds": f"""WITH v(tag, val) AS (VALUES {_TAGS}), b AS (SELECT tag, ln(val) AS x, CASE WHEN tag LIKE 'Kd%' THEN ln(100.0) ELSE ln(0.1) END AS lo, CASE WHEN tag LIKE 'Kd%' OR tag LIKE 'C_eff%' THEN ln(100000.0) WHEN tag IN ('C_init', 'K_coax') THEN ln(100.0) ELSE ln(10.0) END AS hi FROM v)
 SELECT tag, round(lo, 6) AS lo, round(hi, 6) AS hi, round(CASE WHEN x < lo THEN (x - lo) * (x - lo) WHEN x > hi THEN (x - hi) * (x - hi) ELSE 0 END, 6) AS prior, round(CASE WHEN x < lo THEN 2 * (x - lo) WHEN x > hi THEN 2 * (x - hi) ELSE 0 END, 6) AS prior_slope FROM b""",
     "q_loss": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT count(*) AS examples, round(sum({_DG} * ln(e.w) - {_DG} * ln(z.z)), 3) AS loss FROM e JOIN z USING (mol_id) WHERE {_TARGET}",
+    "q_train_step": f"""WITH RECURSIVE {_ENUM}, {_STRUCT}, tags(tag, x) AS (VALUES {", ".join(f"('{t}', ln({v}))" for t, v in PLAIN[4:] if t != "C_eff_motif_NN_NNN")}),
+c AS (SELECT e.mol_id, w / z AS share, {_TARGET} AS own, UNNEST([-cg, -au, -gu, xc, xl, xb, xs, xh]) AS v, UNNEST(['Kd_CG', 'Kd_AU', 'Kd_GU', 'C_init', 'l', 'l_BP', 'C_eff_stacked_pair', 'C_eff_motif_NNNNN']) AS tag FROM e JOIN z USING (mol_id)),
+d AS (SELECT tag, {KT!r} * sum(v * (share - own::INT)) AS slope FROM c WHERE mol_id IN (SELECT mol_id FROM e WHERE {_TARGET}) GROUP BY tag)
+SELECT tag, round(x, 6) AS x, round(slope, 3) AS slope, round(x - 1e-4 * slope, 5) AS x_next FROM tags JOIN d USING (tag)""",
 }

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandspark.sources.sets import SETS
+
 #: kcal/mol at 37 degrees C, and the standard state in M.
 KT = 0.61633135471
 C_STD = 1.0
@@ -97,7 +100,7 @@ C_eff_stack_UG_GU 468.38453632072145
 C_eff_stack_UG_AU 12007.183735590115
 """
 
-PACKAGED = {"minimal": MINIMAL, "v0.31": DEFAULT}
+PACKAGED = {"minimal": MINIMAL, **SETS, "v0.31": DEFAULT}
 STRICT = ("CG", "GC", "AU", "UA")
 SCALARS = ("C_init", "l", "l_BP", "l_coax", "K_coax")
 
@@ -148,6 +151,9 @@ class Params:
     def without_coax(self) -> Params:
         return replace(self, scalars=self.scalars | {"K_coax": 0.0})
 
+    def without_motifs(self) -> Params:
+        return replace(self, motifs=())
+
     def updated(self, values: dict[str, float]) -> Params:
         """The same set with other values of some tags, resolved anew in the same order."""
         if missing := set(values) - set(self.values):
@@ -273,20 +279,29 @@ def latest(spark: SparkSession, path: str) -> str | None:
 
 
 def load(spark: SparkSession, which: str | Params | None = None) -> Params:
-    """A packaged set by its name, a file by its path, a resolved set as it is; the default set if nothing is given."""
+    """A resolved set as it is; the default set if nothing is given; else a file by its path, a file by its path without .params, or a packaged set by its name, in this order. Nothing found: an error that lists the packaged names."""
     if isinstance(which, Params):
         return which
-    if not which or which in PACKAGED:
-        return packaged(which or "v0.31")
-    rows = read(spark, which).orderBy("ord").limit(10_000).collect()
-    if not rows:
-        raise ValueError(f"no parameters in {which}")
-    if len({r["param_set"] for r in rows}) > 1:
-        raise ValueError(f"{which} holds several parameter sets")
-    return resolve([(r["tag"], r["val"]) for r in rows])
+    if not which:
+        return packaged("v0.31")
+    for path in (which, f"{which}.params"):
+        try:
+            rows = read(spark, path).orderBy("ord").limit(10_000).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        if not rows:
+            raise ValueError(f"no parameters in {path}")
+        if len({r["param_set"] for r in rows}) > 1:
+            raise ValueError(f"{path} holds several parameter sets")
+        return resolve([(r["tag"], r["val"]) for r in rows])
+    return packaged(which)
 
 
 def packaged(name: str) -> Params:
+    if name not in PACKAGED:
+        raise ValueError(f"no parameters {name!r}; there are {', '.join(PACKAGED)}")
     return resolve([tuple(line.split()[:2]) for line in PACKAGED[name].splitlines() if line.strip()])
 
 

@@ -104,6 +104,16 @@ def fasta(table: DataFrame, name: str = "name", sequence: str = "sequence") -> D
     return table.select(F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), F.col(sequence)).alias("value"))
 
 
+def plain_input(table: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """(value) one line a row: the sequence alone, as .in files have it."""
+    return table.select(F.col(sequence).alias("value"))
+
+
+def seq_input(table: DataFrame, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """(value) a record a row as .seq files have it: a comment mark, the name, an empty line, and the sequence with a 1 that ends it."""
+    return table.select(F.concat(F.lit(";\n"), F.col(name).cast("string"), F.lit("\n\n"), F.col(sequence), F.lit("1")).alias("value"))
+
+
 def shown_pairs(bpp: DataFrame, least: float = 0.2) -> DataFrame:
     """The pairs that a plot of probabilities shows."""
     return bpp.filter(F.col("p") > least)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandspark.operators import candidates, defects, fold, observables, scoring, traceback, training
 from strandspark.sources.params import MINIMAL, check_stacks, packaged, resolve
 
+#: The minimal set's numbers and the closed forms of its partition functions.
 C, L, B, K, S, X, Y = 1.0, 0.5, 0.2, 0.0002, 10000.0, 100.0, 200.0
 H = C * L**2 * B / K
 CASES = {
@@ -164,3 +165,108 @@ def test_minimize_finds_a_minimum():
     x, y, trace = training.minimize(lambda v: float(((v - 3) ** 2).sum()), lambda v: 2 * (v - 3), np.zeros(3), 30)
     assert np.allclose(x, 3, atol=1e-3)
     assert y == trace[-1][0]
+
+
+def test_training_lowers_the_loss_step_by_step(spark):
+    p = packaged("v0.18").without_coax()
+    ex = spark.createDataFrame([("a", ["GGGAAAUCC"], False, "((.....))"), ("b", ["GGCGAAAGCC"], False, "(((....)))"), ("c", ["AAAAAAA"], False, "(.....)")], "mol_id string, strands array<string>, circle boolean, structure string")
+    tags = ["C_init", "l_BP"]
+    best, trace = training.train(ex, p, tags, steps=2)
+    assert trace[-1][0] < trace[0][0]
+    assert best.values["C_init"] != p.values["C_init"]
+    rows = training.trace_table(spark, trace, tags).collect()
+    assert len(rows) == 2 * len(trace)
+    assert rows[0]["loss"] == pytest.approx(trace[0][0])
+    got = training.slope_check(ex, p, tags).collect()
+    assert {r["tag"] for r in got} == set(tags)
+    assert all(r["slope"] == pytest.approx(r["numeric"], abs=1e-4) for r in got)
+
+
+def test_start_values_and_tags():
+    p = packaged("v0.18")
+    assert "K_coax" not in training.train_tags(p, no_coax=True)
+    assert training.train_tags(p, include=["l"]) == ["l"]
+    with pytest.raises(ValueError, match="no such"):
+        training.train_tags(p, exclude=["Kd_XX"])
+    assert training.start(p, ["l", "K_coax"])[1] == -math.inf
+    assert training.start(p, ["K_coax"], use_bounds=True)[0] == pytest.approx(math.log(0.1) - 1)
+    with pytest.raises(ValueError, match="values"):
+        training.start(p, ["l"], values=[1.0, 2.0])
+
+
+def test_greedy_structures_from_every_start(spark, filled):
+    got = traceback.mfe_starts(filled.filter("mol_id in ('enum', 'lin3', 'circ1')"), packaged("minimal")).collect()
+    first = {r["mol_id"]: r["structure"] for r in got if r["start"] == 0}
+    assert first == {"enum": "(.)(.)", "lin3": "(.)", "circ1": "(...).."}
+    assert {r["mol_id"]: sum(x["mol_id"] == r["mol_id"] for x in got) for r in got} == {"enum": 6, "lin3": 3, "circ1": 7}
+    assert all(r["agrees"] == (r["structure"] == first[r["mol_id"]]) for r in got)
+
+
+def test_one_row_a_result(spark):
+    p = packaged("minimal")
+    mols = spark.createDataFrame([("lin5a", ["CNGGC"], False, "(..)."), ("lin3", ["CNG"], False, None), ("none", ["CNG"], False, "(.)")], "mol_id string, strands array<string>, circle boolean, structure string")
+    got = {r["mol_id"]: r for r in observables.results(mols, p, ["l", "Kd_CG"]).collect()}
+    assert got["lin5a"]["z"] == pytest.approx(1 + H * (2 + L))
+    assert got["lin5a"]["dg_gap"] == pytest.approx(-0.61633135471 * (math.log(H * L) - math.log(1 + H * (2 + L))))
+    assert got["lin3"]["dg_gap"] is None
+    assert got["lin3"]["structure"] == "(.)"
+    assert got["lin3"]["log_derivatives"]["l"] == pytest.approx(2 * H / (1 + H))
+    assert got["lin3"]["log_derivatives"]["Kd_CG"] == pytest.approx(-H / (1 + H))
+
+
+def test_strained_three_way_junctions_and_their_derivatives(spark):
+    from dataclasses import replace
+
+    p = replace(packaged("minimal"), strained=True)
+    mols = spark.createDataFrame([("a", ["xy", "yz", "zx"], False, None, False)], DDL)
+    full = fold.fill(mols, p, full=True).cache()
+    a, b, c = 3 * (1 / K) ** 2 * (1 + X), (1 / K) ** 2 * (C / K) * L**3 * B**3, 3 * (1 / K) ** 2 * (C / K) * X * Y * L**2 * B
+    assert full.select("z").first()[0] == pytest.approx(a + b + c)
+    got = {r["tag"]: r["dlogz_dlogp"] for r in observables.log_derivatives(full, p, ["l", "K_coax", "l_coax"]).collect()}
+    assert got["l"] == pytest.approx((3 * b + 2 * c) / (a + b + c))
+    assert got["K_coax"] == pytest.approx((3 * (1 / K) ** 2 * X + c) / (a + b + c))
+    assert got["l_coax"] == pytest.approx(c / (a + b + c))
+
+
+@pytest.mark.parametrize(("name", "sequence"), [("v0.18", "GCUCAGUGAGAGC"), ("v0.20", "GCGACGUUG"), ("v0.31", "GCUCAGUGAGAGC")])
+def test_derivatives_of_named_sets_are_slopes(spark, name, sequence):
+    p = packaged(name)
+    mols = spark.createDataFrame([("a", [sequence], False, None, False)], DDL)
+    tags = ["Kd_CG", "C_init", "l", *[t for t in p.values if t.startswith("C_eff")][:2]]
+    got = {r["tag"]: r["dlogz_dlogp"] for r in observables.log_derivatives(fold.fill(mols, p, full=True), p, tags).collect()}
+    for r in observables.numeric_log_derivatives(mols, p, tags, 1e-5).collect():
+        assert got[r["tag"]] == pytest.approx(r["numeric"], abs=1e-5)
+
+
+def test_energy_of_a_molecule_twice_in_a_row(spark):
+    from strandspark.sources import known
+
+    one = known.molecules(spark, "tRNA").select("mol_id", "strands", "circle", "structure")
+    two = one.select(F.lit("two").alias("mol_id"), F.array(F.concat(F.col("strands")[0], F.col("strands")[0])).alias("strands"), "circle", F.concat("structure", "structure").alias("structure"))
+    got = {r["mol_id"]: r["dg"] for r in scoring.score(one.unionByName(two), packaged("v0.31")).collect()}
+    assert got["two"] == pytest.approx(2 * got["tRNA"], rel=1e-9)
+
+
+def test_names_of_parameter_sets(tmp_path, spark):
+    from strandspark.sources import params
+
+    assert [params.packaged(n).version for n in ("v0.1", "v0.15", "v0.16", "v0.17", "v0.171", "v0.18", "v0.20", "v0.30", "v0.31")] == ["0.1", "0.15", "0.16", "0.17", "0.171", "0.18", "0.20", "0.30", "0.31"]
+    (tmp_path / "mine.params").write_text("name mine\nversion 7\nKd_CG 5.0\n")
+    assert params.load(spark, str(tmp_path / "mine")).version == params.load(spark, str(tmp_path / "mine.params")).version == "7"
+    assert params.load(spark, "v0.18").version == "0.18"
+    assert params.load(spark).version == "0.31"
+    with pytest.raises(ValueError, match=r"there are minimal, v0\.1"):
+        params.load(spark, "v9")
+
+
+def test_molecules_are_cut_from_whole_texts(spark, tmp_path):
+    from strandspark import queries
+
+    texts = [(1, "A long text: Guacamole, cumin and sugar. " * 50), (2, None), (3, "xyz"), (4, "u"), (5, "A long text: Guacamole, cumin and sugar. " * 50)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for _, t in texts:
+        own = "".join(c for c in (t or "").upper() if c in "ACGU")
+        for k in range(0, len(own), queries.N):
+            want[own[k : k + queries.N]] = want.get(own[k : k + queries.N], 0) + 1
+    assert {r["mol_id"]: r["copies"] for r in queries.sequences(spark, str(tmp_path)).collect()} == want

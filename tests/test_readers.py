@@ -37,3 +37,22 @@ def test_probabilities(spark, tmp_path, name, text, expected):
 
 def test_fasta(spark):
     assert readers.fasta(spark.createDataFrame([("a", "GC")], "name string, sequence string")).first()[0] == ">a\nGC"
+
+
+def test_inputs_of_other_packages(spark):
+    table = spark.createDataFrame([("a", "GC")], "name string, sequence string")
+    assert readers.plain_input(table).first()[0] == "GC"
+    assert readers.seq_input(table).first()[0] == ";\na\n\nGC1"
+
+
+def test_known_molecules(spark):
+    from strandspark.sources import known
+
+    every = known.examples(spark).collect()
+    assert len(every) == 12
+    assert all(len(r["sequence"]) == len(r["structure"]) for r in every)
+    assert [r["name"] for r in known.examples(spark, "tRNA").collect()] == ["tRNA"]
+    assert len(known.examples(spark, "favorites").collect()) == 9
+    assert next(r for r in every if r["name"] == "P4P6_outerjunction")["force_base_pairs"].count("(") == 2
+    with pytest.raises(ValueError, match="no set"):
+        known.examples(spark, "other")
