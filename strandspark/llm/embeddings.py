@@ -1,12 +1,14 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
 Unit vectors with a cosine of at least t are within the chord sqrt(2 - 2 t). The tree has two parts. Its upper levels,
-nets with halving radii, are built from a bounded sample and broadcast; every vector goes down to the nearest lowest
-node, and the nodes' covering radii are measured over all vectors. A pair of nodes is pruned if the distance of their
-centres less both covering radii is beyond the chord, and a vector is sent to another node only if its own distance
-less that node's radius is within it. Each surviving pair of nodes, large ones parted into blocks, is a task's group;
-the task builds the lower levels of both and goes down both at once, pruning by the same bounds. Nodes that
-lie within the chord altogether are linked without comparing their vectors; all others are compared in double precision.
+nested nodes with halving radii, are built from a bounded sample and broadcast; every vector goes down from the root,
+at each node to the nearest child, and every node's covering radius is measured over all vectors below it. Vectors
+then go down once more, to every node whose ball they may have links in: a node, and all below it, is left out if the
+vector's distance from its centre less its covering radius is beyond the chord, and so is a lowest node if the
+distance of its centre from that of the vector's own less both covering radii is. Each pair of lowest nodes that is
+left, large ones parted into blocks, is a task's group; the task builds the lower levels of both and goes down both at
+once, pruning by the same bounds. Nodes that lie within the chord altogether are linked without comparing their
+vectors; all others are compared in double precision.
 """
 
 from __future__ import annotations
@@ -142,34 +144,89 @@ def join(p: np.ndarray, q: np.ndarray, n_p: np.ndarray, n_q: np.ndarray, at_leas
     return got_p, got_q, edges
 
 
-def _assign(keep: list[str], vec: str, centres):
+def upper(points: np.ndarray, want: int, fan: int = 32) -> tuple[np.ndarray, list[list[int]]]:
+    """Centres and children of nested nodes, parents before children, until want nodes are lowest ones or the radius is 1/64. A node has fan children at most; what lies beyond their radius goes to the nearest."""
+    centres, kids = [points[0]], [[]]
+    level, radius, lowest = [(0, np.arange(len(points)))], 2.0, 1
+    while lowest < want and radius > 1 / 64:
+        radius /= 2
+        below = []
+        for node, at in level:
+            c, _ = net(points[at], radius, min(fan, want - lowest + 1)) if lowest < want else (np.empty(0, np.int64), True)
+            if len(c) < 2:
+                below.append((node, at))
+                continue
+            nearest = np.argmin(distances(points[at], points[at[c]]), 1)
+            for k in range(len(c)):
+                below.append((len(centres), at[nearest == k]))
+                kids[node].append(len(centres))
+                centres.append(points[at[c[k]]])
+                kids.append([])
+            lowest += len(c) - 1
+        level = below
+    return np.array(centres), kids
+
+
+def _unit(column) -> np.ndarray:
+    return unit(np.stack(column.to_numpy(zero_copy_only=False)))
+
+
+def _assign(keep: list[str], vec: str, tree):
+    """keep with the lowest node of each vector, and the nodes on its way with its distances from their centres."""
+
     def run(batches):
-        c = centres.value
+        centres, kids = tree.value
         for b in slices(batches, 1024):
-            d = distances(unit(np.stack(b.column(vec).to_numpy(zero_copy_only=False))), c)
-            leaf = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), pa.array(leaf.astype(np.int32)), pa.array(d[np.arange(len(d)), leaf])], [*keep, "leaf", "d"])
+            v = _unit(b.column(vec))
+            below = {0: np.arange(len(v))}
+            leaf = np.zeros(len(v), np.int32)
+            who, node, d = [below[0]], [leaf.copy()], [distances(v, centres[:1])[:, 0]]
+            for k, own in enumerate(kids):
+                rows = below.pop(k, ())
+                if not own or not len(rows):
+                    continue
+                apart = distances(v[rows], centres[own])
+                nearest = apart.argmin(1)
+                leaf[rows] = np.array(own, np.int32)[nearest]
+                below |= {x: rows[nearest == i] for i, x in enumerate(own)}
+                who, node, d = [*who, rows], [*node, leaf[rows]], [*d, apart[np.arange(len(rows)), nearest]]
+            who, node, d = np.concatenate(who), np.concatenate(node), np.concatenate(d)
+            order = np.argsort(who, kind="stable")
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(v)))]).astype(np.int32))
+            way = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (node, d)]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), pa.array(leaf), *way], [*keep, "leaf", "nodes", "d"])
 
     return run
 
 
-def _send(centres, radii, blocks, chord: float):
+def _send(tree, radii: list[float], blocks: list[int], chord: float):
     """Each vector once for every group of two blocks that it may have links in."""
 
     def run(batches):
-        c, r, nb = centres.value, np.array(radii), np.array(blocks)
-        apart = distances(c, c) - r[:, None] - r[None] <= chord + EPS
+        (c, kids), r, nb = tree.value, np.array(radii), np.array(blocks)
+        base = np.concatenate([[0], np.cumsum(nb)])
+        lowest = np.array([k for k, own in enumerate(kids) if not own])
+        near = np.zeros((len(kids), len(kids)), bool)
+        near[np.ix_(lowest, lowest)] = distances(c[lowest], c[lowest]) - r[lowest][:, None] - r[lowest][None] <= chord + EPS
         for b in slices(batches, 256):
-            v = unit(np.stack(b.column("v").to_numpy(zero_copy_only=False)))
+            v = _unit(b.column("v"))
             leaf, h = b.column("leaf").to_numpy(), b.column("h").to_numpy()
-            may = (distances(v, c) - r[None] <= chord + EPS) & apart[leaf]
-            may[np.arange(len(leaf)), leaf] = True
-            who, to = np.nonzero(may)
-            who, to = np.repeat(who, nb[to]), np.repeat(to, nb[to])
-            first = np.concatenate([[True], (who[1:] != who[:-1]) | (to[1:] != to[:-1])]) if len(who) else np.empty(0, bool)
-            start = np.flatnonzero(first)
-            block = np.arange(len(who)) - np.repeat(start, np.diff(np.append(start, len(who))))
-            base = np.concatenate([[0], np.cumsum(nb)])
+            below, who, to = {0: np.arange(len(v))}, [], []
+            for k, own in enumerate(kids):
+                rows = below.pop(k, np.empty(0, np.int64))
+                if not own:
+                    rows = rows[near[leaf[rows], k] | (leaf[rows] == k)]
+                    who.append(rows)
+                    to.append(np.full(len(rows), k))
+                elif len(rows):
+                    may = (distances(v[rows], c[own]) - r[own][None] <= chord + EPS).T
+                    below |= {x: rows[m] for x, m in zip(own, may, strict=True)}
+            who, to = np.concatenate(who), np.concatenate(to)
+            order = np.lexsort((to, who))
+            who, to = who[order], to[order]
+            n = nb[to]
+            block = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            who, to = np.repeat(who, n), np.repeat(to, n)
             own = base[leaf[who]] + h[who] % nb[leaf[who]]
             other = base[to] + block
             picked = b.take(pa.array(who))
@@ -180,6 +237,9 @@ def _send(centres, radii, blocks, chord: float):
     return run
 
 
+LINKS = "u long, v long, n long"
+
+
 def _group(at_least: float):
     def run(key, table):
         side = table.column("side").to_numpy()
@@ -190,7 +250,7 @@ def _group(at_least: float):
         empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not len(left) or not same and not len(right):
             return empty
-        v = unit(np.stack(table.column("v").combine_chunks().to_numpy(zero_copy_only=False)))
+        v = _unit(table.column("v").combine_chunks())
         p, q = (left, left) if same else (left, right)
         got_p, got_q, edges = join(v[p], v[q], n[p], n[q], at_least, same)
         u, w, c = [rep[p][got_p > 0]], [rep[p][got_p > 0]], [got_p[got_p > 0]]
@@ -211,27 +271,23 @@ def links(reps: DataFrame, at_least: float = 0.9, leaf: int = 2048, most_leaves:
     """
     spark = reps.sparkSession
     total = reps.count()
-    schema = "u long, v long, n long"
     if not total:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], LINKS)
     drawn = reps.select("rep", "v", F.xxhash64("rep", F.lit(5)).alias("h")).orderBy("h", "rep").limit(sample).toArrow()
-    points = unit(np.stack(drawn.column("v").combine_chunks().to_numpy(zero_copy_only=False)))
-    want, radius, centres = min(most_leaves, -(-total // leaf)), 2.0, np.zeros(1, np.int64)
-    while len(centres) < min(want, len(points)) and radius > 1 / 64:  # the lowest level that has enough nodes, at most want of them
-        radius /= 2
-        centres, _ = net(points, radius, want)
-    sent = spark.sparkContext.broadcast(points[centres])
+    centres, kids = upper(_unit(drawn.column("v").combine_chunks()), min(most_leaves, -(-total // leaf)))
+    sent = spark.sparkContext.broadcast((centres, kids))  # at most sample vectors
     kind = reps.schema["v"].dataType.simpleString()
-    rows = cut(reps.withColumn("h", F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 31))).mapInArrow(_assign(["rep", "n", "v", "h"], "v", sent), f"rep long, n long, v {kind}, h long, leaf int, d double"))
-    sizes, radii = [0] * len(centres), [0.0] * len(centres)
-    for r in rows.groupBy("leaf").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect():
-        sizes[r["leaf"]], radii[r["leaf"]] = r["n"], r["d"] + EPS
-    blocks = [max(1, -(-s // leaf)) for s in sizes]
-    dealt = rows.mapInArrow(_send(sent, radii, blocks, float(np.sqrt(2 - 2 * at_least))), f"lo long, hi long, side boolean, rep long, n long, v {kind}")
-    return dealt.groupBy("lo", "hi").applyInArrow(_group(at_least), schema)
+    keep = ["rep", "n", "v", "h"]
+    rows = cut(reps.withColumn("h", F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1 << 31))).mapInArrow(_assign(keep, "v", sent), f"rep long, n long, v {kind}, h long, leaf int, nodes array<int>, d array<double>"))
+    sizes, radii = [0] * len(kids), [-np.inf] * len(kids)
+    for r in rows.select(F.explode(F.arrays_zip("nodes", "d")).alias("x")).groupBy("x.nodes").agg(F.count("*").alias("n"), F.max("x.d").alias("d")).collect():
+        sizes[r["nodes"]], radii[r["nodes"]] = r["n"], r["d"] + EPS
+    blocks = [0 if own else max(1, -(-n // leaf)) for own, n in zip(kids, sizes, strict=True)]
+    dealt = rows.select(*keep, "leaf").mapInArrow(_send(sent, radii, blocks, float(np.sqrt(2 - 2 * at_least))), f"lo long, hi long, side boolean, rep long, n long, v {kind}")
+    return dealt.groupBy("lo", "hi").applyInArrow(_group(at_least), LINKS)
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", at_least: float = 0.9, **how) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", at_least: float = 0.9, leaf: int = 2048, **how) -> DataFrame:
     """(key, n_links, component_id, kept) of each row: other rows linked to it, the smallest key reachable, and whether that is its own.
 
     Vectors that are null or zero, or have null or non-finite components, link with nothing. Vectors of another length
@@ -239,7 +295,6 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     thousands of copies cost what one does. A null key has no name to reach: such a row is in no component and gets a null. Rows that repeat count as
     others of the same key. An empty table stays empty. Keys are integers. Other columns are ignored.
     """
-    spark = rows.sparkSession
     v = F.col("v")
     sound = F.coalesce(F.size(v) > 0, F.lit(False)) & ~F.exists(v, lambda x: F.isnull(x) | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     marked = rows.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).withColumn("ok", F.coalesce(sound, F.lit(False)))
@@ -247,11 +302,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     marked = marked.withColumn("v", F.when(F.col("ok"), v)).withColumns({"a": F.when(F.col("ok"), same[0]), "b": F.when(F.col("ok"), same[1])})
     good = marked.filter("ok and k is not null")
     reps = cut(good.groupBy("a", "b").agg(F.min("k").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
-    found = None
-    for r in reps.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # embeddings of a table have one length, or a few
-        part = links(reps.filter(F.size("v") == r["d"]).select("rep", "n", "v"), at_least, **how)
-        found = part if found is None else found.unionByName(part)
-    found = cut(found if found is not None else spark.createDataFrame([], "u long, v long, n long"))
+    lengths = reps.groupBy(F.size("v").alias("d")).count()
+    few = lengths.filter(F.col("count") <= leaf).select("d")  # all vectors of such a length are one task's group, whatever the number of lengths
+    found = reps.join(few, F.size("v") == F.col("d"), "left_semi").select(F.size("v").cast("long").alias("lo"), F.size("v").cast("long").alias("hi"), F.lit(False).alias("side"), "rep", "n", "v").groupBy("lo", "hi").applyInArrow(_group(at_least), LINKS)
+    for r in lengths.filter(F.col("count") > leaf).orderBy("d").collect():  # at most one for each leaf vectors; embeddings of a table have one length, or a few
+        found = found.unionByName(links(reps.filter(F.size("v") == r["d"]).select("rep", "n", "v"), at_least, leaf, **how))
+    found = cut(found)
     n = found.filter("n > 0").groupBy("u").agg(F.sum("n").alias("others")).withColumnRenamed("u", "rep")
     roots = components(found.filter("n = 0").select("u", "v")).withColumnsRenamed({"node": "rep", "root": "component_id"})
     told = cut(reps.select("a", "b", "rep", "n").join(n, "rep", "left").join(roots, "rep", "left").select("a", "b", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")))
