@@ -1,5 +1,9 @@
 """Main text of pages whose neighbours lie in other tasks, of marked pages with lines outside their article, and by attributes of real sites."""
 
+import hashlib
+import os
+import random
+
 import pytest
 
 from strandspark.llm import pages
@@ -54,3 +58,33 @@ def test_surroundings_of_an_article():
     for gone in ("hidden", "aria-hidden=true", "style='color:red; display : none'"):
         assert kept(f"<div {gone}><article>text</article></div><p>x</p>") == kept(f"<article {gone}>text</article><p>x</p>") == []
     assert pages.lines("<div class='main-menu'>x</div><div class='ad'>y</div><div class='post-text'>z</div><p data-role=main>u") == [(1, "x"), (1, "y"), (2, "z"), (2, "u")]
+
+
+def test_texts_are_those_of_a_plain_loop(spark, parts):
+    """Pages of several hosts, with copies, against each page's nearest neighbour found by a loop. Lines keep one order on a host, so that what two pages have in common is their longest common subsequence."""
+    r = random.Random(9)
+    rows = []
+    for k in range(160):
+        host = r.choice(["a.com", "b.org", "c.net"])
+        path = "/" + "/".join(r.choice("xyz") * r.randrange(1, 4) for _ in range(r.randrange(1, 4)))
+        own = sorted([f"{j:02} line of {host}" for j in r.sample(range(12), r.randrange(2, 9))] + [f"{r.randrange(12):02} own {r.randrange(60)}"])
+        rows.append((k, f"https://{host}{path}?q={k}", own))
+    rows += [(200 + k, url, own) for k, url, own in rows[:30]]
+    distinct = {}
+    for _, url, own in rows:
+        host, path = url.split("//")[1].split("?")[0].split("/", 1)
+        key = host, tuple(own)
+        distinct[key] = min(distinct.get(key, "~"), "/" + path)
+    sig = lambda own: hashlib.blake2b(pages.hashes([(2, x) for x in own]).tobytes(), digest_size=16).digest()
+    order = sorted((host, path, sig(own), own) for (host, own), path in distinct.items())
+    want = {}
+    for at, (host, path, _, own) in enumerate(order):
+        sides = [order[j] for j in (at - 1, at + 1) if 0 <= j < len(order) and order[j][0] == host]
+        nearest = max(sides, key=lambda s: len(os.path.commonprefix([s[1], path])))
+        want[host, own] = "\n".join(x for x in own if x not in nearest[3])
+    table = spark.createDataFrame([(k, url, "<body>" + "".join(f"<p>{x}</p>" for x in own) + "</body>", "h", "p") for k, url, own in rows], "page_id long, url string, html string, _host string, _html string")
+    for n in (1, 4, 8, 61):
+        parts(n)
+        got = {x["page_id"]: x for x in pages.extract(table).collect()}
+        assert {k: got[k]["text"] for k in got} == {k: want[url.split("//")[1].split("/")[0], tuple(own)] for k, url, own in rows}
+        assert (got[0]["_host"], got[0]["_html"]) == ("h", "p")
