@@ -58,8 +58,8 @@ def score(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> Dat
     """(mol_id, z, dg) of molecules with a structure: the product of their loops, each a fold that is forced to its pairs.
 
     Each end of a pair takes half of what sets its type apart from the first type, so that it is counted once over the
-    two loops that share it; joining strands costs as much within a loop as for the whole molecule. Molecules without
-    pairs are folded as they are. With tags, also (mol_id, tag, dlogz_dlogp).
+    two loops that share it; joining strands costs as much within a loop as for the whole molecule. With tags, also
+    (mol_id, tag, dlogz_dlogp), without a row where that is 0 as nothing counts.
     """
     kd0 = p.types[0].kd
     own = loops(molecules)
@@ -73,10 +73,12 @@ def score(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> Dat
     paired = of_loop.withColumn("fix", F.aggregate("ends", F.lit(0.0), lambda s, e: s + end(e)) + (F.size("strands") - 1) * float(_log(kd0 / C_STD)))
     logs = paired.join(folded.select(F.col("mol_id").alias("mini"), F.log("z").alias("log_z")), "mini").groupBy("mol_id").agg(F.sum(F.col("fix") + F.col("log_z")).alias("s"), F.sum(F.isnull("log_z").cast("int")).alias("none"))
     m = prepare(molecules)
-    joined = m.select("mol_id", connections(F.col("strands"), F.col("circle")).alias("c"), (F.coalesce(F.array_max("of"), F.lit(-1)) >= 0).alias("has"))
-    bare = molecules.join(joined.filter("not has").select("mol_id"), "mol_id", "left_semi")
+    joined = m.select("mol_id", "n", F.size("nicks").alias("nicks"), connections(F.col("strands"), F.col("circle")).alias("c"), (F.coalesce(F.array_max("of"), F.lit(-1)) >= 0).alias("has"))
+    # Without pairs a circle is one loop, what has one end is as it is, and more strands are not one molecule.
+    ring = (F.col("n") > 0) & (F.col("nicks") == 0)
+    unpaired = joined.filter("not has").select("mol_id", F.when(ring, p.scalars["C_init"] * F.pow(F.lit(p.scalars["l"]), F.col("n")) / C_STD).when(F.col("nicks") <= 1, 1.0).otherwise(0.0).alias("z"))
     with_pairs = joined.filter("has").join(logs, "mol_id").select("mol_id", F.when(F.col("none") == 0, F.exp(F.col("s") + F.col("c") * float(_log(C_STD / kd0)))).otherwise(F.lit(0.0)).alias("z"))
-    z = with_pairs.unionByName(fill(bare, p, full=True).select("mol_id", "z"))
+    z = with_pairs.unionByName(unpaired)
     out = z.select("mol_id", "z", F.when(F.col("z") > 0, -KT * F.log("z")).alias("dg"))
     if tags is None:
         return out
@@ -93,8 +95,9 @@ def score(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> Dat
         every = every.unionByName(ends.select("mol_id", F.lit(t).alias("tag"), F.lit(-0.5).alias("dlogz_dlogp")))
         every = every.unionByName(of_loop.select("mol_id", F.lit(t).alias("tag"), (F.size("strands") - 1).cast("double").alias("dlogz_dlogp")))
         every = every.unionByName(joined.filter("has").select("mol_id", F.lit(t).alias("tag"), (-F.col("c")).cast("double").alias("dlogz_dlogp")))
-    if bare.head(1):
-        every = every.unionByName(log_derivatives(fill(bare, p, full=True), p, tags))
+    for t, count in (("l", F.col("n").cast("double")), ("C_init", F.lit(1.0))):
+        if t in tags:
+            every = every.unionByName(joined.filter(~F.col("has") & ring).select("mol_id", F.lit(t).alias("tag"), count.alias("dlogz_dlogp")))
     return out, every.groupBy("mol_id", "tag").agg(F.sum("dlogz_dlogp").alias("dlogz_dlogp"))
 
 

@@ -106,11 +106,15 @@ def test_structures(filled):
 
 
 def test_loops_and_score(spark):
-    mols = spark.createDataFrame([("a", ["GGGAACGAAAGAACCC"], False, "(((..(....)..)))", False), ("b", ["GGGAAAC", "GAAAGCCC"], False, "(((...()....)))", False), ("c", ["AAGGGAAAACCCAA"], True, "..(((....)))..", False), ("d", ["ACGUA"], True, ".....", False), ("e", ["ACGUA"], False, ".....", False)], DDL)
+    mols = spark.createDataFrame([("a", ["GGGAACGAAAGAACCC"], False, "(((..(....)..)))", False), ("b", ["GGGAAAC", "GAAAGCCC"], False, "(((...()....)))", False), ("c", ["AAGGGAAAACCCAA"], True, "..(((....)))..", False), ("d", ["ACGUA"], True, ".....", False), ("e", ["ACGUA"], False, ".....", False), ("f", ["AC", "GUA"], True, ".....", False)], DDL)
     p = packaged("v0.31")
     own = {r["mol_id"]: r["z"] for r in scoring.score(mols, p).collect()}
     for r in fold.fill(mols, p, full=True).select("mol_id", "z").collect():
         assert own[r["mol_id"]] == pytest.approx(r["z"], rel=1e-9)
+    tags = ["l", "l_BP", "C_init", "Kd_CG", "Kd_AU"]
+    slopes = {(r["mol_id"], r["tag"]): r["dlogz_dlogp"] for r in scoring.score(mols, p, tags)[1].collect()}
+    for r in observables.log_derivatives(fold.fill(mols, p, full=True), p, tags).collect():
+        assert slopes.get((r["mol_id"], r["tag"]), 0.0) == pytest.approx(r["dlogz_dlogp"], abs=1e-9), r
     one = spark.createDataFrame([("x", ["C" * 12], False, ".(((.)(.))).", False)], DDL)
     assert sorted(r["residues"] for r in scoring.loops(one).collect()) == sorted([[[1, 2], [9, 10]], [[2, 3], [5, 6], [8, 9]], [[3, 4, 5]], [[6, 7, 8]], [[10, 11, 0, 1]]])
 
