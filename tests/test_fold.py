@@ -274,3 +274,29 @@ def test_molecules_are_cut_from_whole_texts(spark, tmp_path):
         for k in range(0, len(own), queries.N):
             want[own[k : k + queries.N]] = want.get(own[k : k + queries.N], 0) + 1
     assert {r["mol_id"]: r["copies"] for r in queries.sequences(spark, str(tmp_path)).collect()} == want
+
+
+def test_samples_are_drawn_by_weight(filled):
+    p = packaged("minimal")
+    own = filled.filter("mol_id in ('lin5a', 'circ1')")
+    drawn = traceback.samples(own, p, 400, seed=1, full=True)
+    shares = {(r["mol_id"], r["structure"]): r["n"] / 400 for r in drawn.groupBy("mol_id", "structure").agg(F.count("*").alias("n")).collect()}
+    for r in traceback.enumerate_structures(own, p, full=True).collect():
+        assert abs(shares.get((r["mol_id"], r["structure"]), 0.0) - r["p"]) < 5 * math.sqrt(max(r["p"] * (1 - r["p"]), 0.002) / 400)
+
+
+def test_text_of_matrices_and_structures(spark, filled):
+    from strandspark.functions import with_spaces
+
+    lines = observables.bpp_matrix_lines(filled.filter("mol_id = 'lin3'"), packaged("minimal")).orderBy("i").collect()
+    dense = [[float(r["line"][25 * k : 25 * k + 25]) for k in range(3)] for r in lines]
+    want = H / (1 + H)
+    assert dense == [[0, 0, pytest.approx(want)], [0, 0, 0], [pytest.approx(want), 0, 0]]
+    rows = spark.createDataFrame([("((...))", ["GC", "AAA", "GC"], False), ("..", ["A", "C"], True)], "s string, strands array<string>, circle boolean")
+    assert [r[0] for r in rows.select(with_spaces(F.col("s"), F.col("strands"), F.col("circle"))).collect()] == ["(( ... ))", ". .*"]
+
+
+def test_table_of_defects(spark):
+    rows = [("p", "a", 10, 2, 0.1, 0.5), ("p", "b", 30, 0, 0.3, None), ("q", "a", 10, 2, 0.2, 0.25), ("q", "b", 30, 0, 0.4, None)]
+    got = {r["name"]: (r["p"], r["q"]) for r in defects.table(spark.createDataFrame(rows, "package string, name string, n int, n_bp int, ensemble_defect double, bpp_defect double")).collect()}
+    assert got == {"a": (0.1, 0.2), "b": (0.3, 0.4), "OVERALL": (pytest.approx(0.25), pytest.approx(0.35))}
