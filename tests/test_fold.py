@@ -174,12 +174,12 @@ def test_minimize_finds_a_minimum():
 def test_training_lowers_the_loss_step_by_step(spark):
     p = packaged("v0.18").without_coax()
     ex = spark.createDataFrame([("a", ["GGGAAAUCC"], False, "((.....))"), ("b", ["GGCGAAAGCC"], False, "(((....)))"), ("c", ["AAAAAAA"], False, "(.....)")], "mol_id string, strands array<string>, circle boolean, structure string")
-    tags = ["C_init", "l_BP"]
-    best, trace = training.train(ex, p, tags, steps=2)
+    tags = ["C_init"]
+    best, trace = training.train(ex, p, tags, steps=1)
     assert trace[-1][0] < trace[0][0]
     assert best.values["C_init"] != p.values["C_init"]
     rows = training.trace_table(spark, trace, tags).collect()
-    assert len(rows) == 2 * len(trace)
+    assert len(rows) == len(trace)
     assert rows[0]["loss"] == pytest.approx(trace[0][0])
     got = training.slope_check(ex, p, tags).collect()
     assert {r["tag"] for r in got} == set(tags)
