@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, within an expression."""
+def let(value: Column, use: Callable[[Column], Column], kind: str | None = None) -> Column:
+    """use(value) with value computed once, within an expression. kind: the type of the result, if it is known; Spark then need not derive it anew at every evaluation, nor copy the result."""
+    if kind:
+        return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: use(x))
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 

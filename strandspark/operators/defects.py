@@ -25,9 +25,11 @@ def defects(molecules: DataFrame, bpp: DataFrame) -> DataFrame:
     return out.select("mol_id", "n", "n_bp", ((2 * zero("miss") + zero("stray")) / F.when(F.col("n") > 0, F.col("n"))).alias("ensemble_defect"), F.when(F.col("n_bp") > 0, F.col("miss") / F.col("n_bp")).alias("bpp_defect"))
 
 
-def overall(measured: DataFrame, by: list[str]) -> DataFrame:
-    """by with the defects of all molecules: ensemble defects weighted by letters, pair defects by pairs."""
-    return measured.groupBy(*by).agg((F.sum(F.col("ensemble_defect") * F.col("n")) / F.sum("n")).alias("ensemble_defect"), (F.sum(F.col("bpp_defect") * F.col("n_bp")) / F.sum(F.when(F.col("n_bp") > 0, F.col("n_bp")))).alias("bpp_defect"))
+def overall(measured: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    """by with the defects of all molecules: ensemble defects weighted by letters, pair defects by pairs. weight: a column that counts a molecule so many times."""
+    times = F.col(weight) if weight else F.lit(1)
+    share = lambda x, size: F.sum(F.col(x) * F.col(size) * times) / F.sum(F.when(F.col(size) > 0, F.col(size) * times))
+    return measured.groupBy(*by).agg(share("ensemble_defect", "n").alias("ensemble_defect"), share("bpp_defect", "n_bp").alias("bpp_defect"))
 
 
 def table(measured: DataFrame, which: str = "ensemble_defect", name: str = "name") -> DataFrame:

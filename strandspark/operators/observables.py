@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.functions import span, total
-from strandspark.operators.fold import BP, C, COAX, CUT, NB, NC, Molecule, fill, molecule
-from strandspark.sources.params import C_STD, KT, Params, stack_of_motif
+from strandspark.operators.fold import BP, C, COAX, CUT, NB, NC, Molecule, fill, molecule, nothing, possible
+from strandspark.sources.params import Params, stack_of_motif
 
 
 def _grid(n: Column, least: int, use) -> Column:
@@ -16,17 +16,17 @@ def _grid(n: Column, least: int, use) -> Column:
 
 
 def _opposite(mol: Molecule, i, d, t):
-    """Weight of the same pair seen from outside: the flipped type at (i + d, n - d)."""
+    """Logarithm of the weight of the same pair seen from outside: the flipped type at (i + d, n - d)."""
     flip = F.get(F.array(*[F.lit(x.flip) for x in mol.p.types]), t)
     j, e = i + d, mol.n - d
-    return F.coalesce(F.get(mol.cell(j, e)["q"], F.array_position(mol.possible(j, e), flip).cast("int") - 1), F.lit(0.0))
+    return F.coalesce(F.get(mol.cell(j, e)["q"], F.array_position(mol.possible(j, e), flip).cast("int") - 1), nothing())
 
 
 def _pairs(mol: Molecule, z: Column) -> Column:
-    kd = F.array(*[F.lit(t.kd) for t in mol.p.types])
+    kd = mol.par["kd"]
 
     def at(i, d):
-        weigh = lambda t, k: F.struct(i.alias("i"), F.pmod(i + d, mol.n).alias("j"), t.alias("t"), (F.get(mol.cell(i, d)["q"], k) * _opposite(mol, i, d, t) * F.get(kd, t) / z).alias("p"))
+        weigh = lambda t, k: F.struct(i.alias("i"), F.pmod(i + d, mol.n).alias("j"), t.alias("t"), F.exp(F.get(mol.cell(i, d)["q"], k) + _opposite(mol, i, d, t) + F.get(kd, t) - z).alias("p"))
         return F.transform(mol.possible(i, d), weigh)
 
     return _grid(mol.n, 1, at)
@@ -35,7 +35,7 @@ def _pairs(mol: Molecule, z: Column) -> Column:
 def typed_pairs(filled: DataFrame, p: Params) -> DataFrame:
     """(mol_id, i, j, t, p) of fully filled molecules: the probability that i and j pair as type t, for both orders of i and j."""
     mol = molecule(p, True, F.col("cells"))
-    return filled.filter("z > 0").select("mol_id", F.explode(F.when(F.col("n") > 0, _pairs(mol, F.col("z")))).alias("x")).select("mol_id", "x.*")
+    return possible(filled).select("mol_id", F.explode(F.when(F.col("n") > 0, _pairs(mol, F.col("log_z")))).alias("x")).select("mol_id", "x.*")
 
 
 def bpp(filled: DataFrame, p: Params) -> DataFrame:
@@ -53,36 +53,38 @@ def bpp_matrix_lines(filled: DataFrame, p: Params) -> DataFrame:
 
 
 def _scalars(mol: Molecule, z: Column) -> dict[str, Column]:
-    """Expected numbers of the loop parameters, each at every molecule."""
-    s, n, g = mol.p.scalars, mol.n, mol.get
+    """Expected numbers of the loop parameters, each at every molecule. z: its logarithm. Every term is a share of the whole."""
+    s, n, g = mol.par, mol.n, mol.get
     join, close = (C, C) if mol.p.strained else (NB, NC)
     bonded = lambda i, d: mol.bond(i) & mol.bond(i + d - 1)
-    cells = lambda least, weight: total(span(least, n - 1), lambda d: total(span(0, n - 1), lambda i: weight(i, d))) / z
-    inner = lambda i, d: F.when((i + d < n) & bonded(i, d), g(close, i + 1, d - 2) * g(BP, i + d, n - d)).otherwise(F.lit(0.0))
+    share = lambda cond, x: F.when(cond, F.exp(x - z)).otherwise(F.lit(0.0))
+    cells = lambda least, term: total(span(least, n - 1), lambda d: total(span(0, n - 1), lambda i: term(i, d)))
+    once = s["l"] * 2 + s["l_BP"]
+    looped = lambda i, d: g(close, i + 1, d - 2) + g(BP, i + d, n - d) + once
+    around = F.when(mol.bond(n - 1), F.coalesce(F.exp(g(NC, F.lit(0), n - 1) + s["l"] - z), F.lit(0.0))).otherwise(F.lit(0.0))
     out = {
-        "l": total(F.filter(span(0, n - 1), mol.bond), lambda i: g(NC, i + 1, n - 1)) * (s["l"] / C_STD) / z,
-        "l_BP": cells(2, lambda i, d: F.when(bonded(i, d), g(close, i + 1, d - 2) * g(BP, i + d, n - d)).otherwise(F.lit(0.0))) * (s["l"] ** 2 * s["l_BP"]),
-        "C_init": cells(2, inner) * (s["l"] ** 2 * s["l_BP"]) + F.when(mol.bond(n - 1), g(NC, F.lit(0), n - 1) * (s["l"] / C_STD) / z).otherwise(F.lit(0.0)),
+        "l": total(F.filter(span(0, n - 1), mol.bond), lambda i: F.exp(g(NC, i + 1, n - 1) + s["l"] - z)),
+        "l_BP": cells(2, lambda i, d: share(bonded(i, d), looped(i, d))),
+        "C_init": cells(2, lambda i, d: share((i + d < n) & bonded(i, d), looped(i, d))) + around,
     }
-    closed = s["l"] ** 2 * s["l_coax"] * s["K_coax"]
-    if s["K_coax"] > 0:
-        stacks = lambda i, d: total(span(2, d - 2), lambda m: F.when(mol.bond(i + m), g(BP, i + 1, m - 1) * g(join, i + m + 1, d - m - 2)).otherwise(F.lit(0.0)) + F.when(mol.bond(i + m - 1), g(join, i + 1, m - 2) * g(BP, i + m, d - 1 - m)).otherwise(F.lit(0.0)))
-        within = cells(2, lambda i, d: F.when((i + d < n) & bonded(i, d), stacks(i, d) * g(BP, i + d, n - d)).otherwise(F.lit(0.0))) * closed
-        around = total(span(1, n - 2), lambda m: total(span(m + 2, n - 2), lambda k: F.when(mol.bond(m) & mol.bond(k - 1), g(BP, F.lit(0), m) * g(join, m + 1, k - m - 2) * g(BP, k, n - 1 - k)).otherwise(F.lit(0.0)))) * closed / z
-        out["C_init"] = out["C_init"] + within + F.when(mol.bond(n - 1), around).otherwise(F.lit(0.0))
-        looped = cells(1, lambda i, d: F.when((n - d >= 2) & mol.bond(i - 1) & mol.bond(i + d), g(COAX, i, d) * g(join, i + d + 1, n - d - 2)).otherwise(F.lit(0.0))) * (s["l"] ** 2 * s["l_coax"])
-        opened = cells(1, lambda i, d: g(COAX, i, d) * g(CUT, i + d, n - d))
-        out |= {"l_coax": looped, "K_coax": looped + opened}
+    if mol.p.scalars["K_coax"] > 0:
+        closed, two = s["l"] * 2 + s["l_coax"] + s["K_coax"], s["l"] * 2 + s["l_coax"]
+        stacks = lambda i, d, x: total(span(2, d - 2), lambda m: share(mol.bond(i + m), g(BP, i + 1, m - 1) + g(join, i + m + 1, d - m - 2) + x) + share(mol.bond(i + m - 1), g(join, i + 1, m - 2) + g(BP, i + m, d - 1 - m) + x))
+        within = cells(2, lambda i, d: F.when((i + d < n) & bonded(i, d), stacks(i, d, g(BP, i + d, n - d) + closed)).otherwise(F.lit(0.0)))
+        joint = total(span(1, n - 2), lambda m: total(span(m + 2, n - 2), lambda k: share(mol.bond(m) & mol.bond(k - 1), g(BP, F.lit(0), m) + g(join, m + 1, k - m - 2) + g(BP, k, n - 1 - k) + closed)))
+        out["C_init"] = out["C_init"] + within + F.when(mol.bond(n - 1), joint).otherwise(F.lit(0.0))
+        coaxed = cells(1, lambda i, d: share((n - d >= 2) & mol.bond(i - 1) & mol.bond(i + d), g(COAX, i, d) + g(join, i + d + 1, n - d - 2) + two))
+        opened = cells(1, lambda i, d: F.exp(g(COAX, i, d) + g(CUT, i + d, n - d) - z))
+        out |= {"l_coax": coaxed, "K_coax": coaxed + opened}
     return out
 
 
 def _stack_counts(mol: Molecule, z: Column) -> Column:
     size = len(mol.p.types)
-    stacks = F.array(*[F.lit(mol.p.stack.get((a, b), 0.0)) for a in range(size) for b in range(size)])
 
     def at(i, d):
         def both(a, _k):
-            weigh = lambda b, u: F.struct(a.alias("a"), b.alias("b"), (F.get(stacks, a * size + b) * _opposite(mol, i, d, a) * F.get(mol.cell(i + 1, d - 2)["q"], u) / z).alias("x"))
+            weigh = lambda b, u: F.struct(a.alias("a"), b.alias("b"), F.exp(F.get(mol.par["stack"], a * size + b) + _opposite(mol, i, d, a) + F.get(mol.cell(i + 1, d - 2)["q"], u) - z).alias("x"))
             return F.transform(mol.possible(i + 1, d - 2), weigh)
 
         return F.when(mol.bond(i) & mol.bond(i + d - 1), F.flatten(F.transform(mol.possible(i, d), both))).otherwise(F.array().cast("array<struct<a:int,b:int,x:double>>"))
@@ -92,8 +94,8 @@ def _stack_counts(mol: Molecule, z: Column) -> Column:
 
 def _motif_counts(mol: Molecule, z: Column) -> Column:
     def at(i, d):
-        inner = lambda x: F.when(x["d"] < 0, F.lit(1.0)).otherwise(F.get(mol.cell(x["i"], x["d"])["q"], x["u"]))
-        return F.transform(mol.loops(i, d), lambda x: F.struct(x["m"].alias("m"), (x["c"] * inner(x) * _opposite(mol, i, d, F.get(mol.possible(i, d), x["t"])) / z).alias("x")))
+        inner = lambda x: F.when(x["d"] < 0, F.lit(0.0)).otherwise(F.get(mol.cell(x["i"], x["d"])["q"], x["u"]))
+        return F.transform(mol.loops(i, d), lambda x: F.struct(x["m"].alias("m"), F.exp(F.get(mol.par["motif"], x["m"]) + inner(x) + _opposite(mol, i, d, F.get(mol.possible(i, d), x["t"])) - z).alias("x")))
 
     return _grid(mol.n, 1, at)
 
@@ -107,7 +109,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
     tags = list(p.values) if tags is None else tags
     if unknown := [t for t in tags if t not in p.values and t != "Kd"]:
         raise ValueError(f"no such parameters: {unknown}")
-    mol, z = molecule(p, True, F.col("cells")), F.col("z")
+    mol, z = molecule(p, True, F.col("cells")), F.col("log_z")
     # (kind, key) of each count, and with what factor it belongs to a tag
     factors: list[tuple[str, str, float, str]] = [("none", t, 0.0, t) for t in tags]
     count = lambda kind, key, x: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), x.cast("double").alias("x"))
@@ -152,7 +154,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
     none = F.array(*[count("none", F.lit(t), F.lit(0.0)) for t in tags])
     every = F.when(F.col("n") > 0, F.concat(none, *parts)).otherwise(none)
     of = F.broadcast(filled.sparkSession.createDataFrame(factors, "kind string, key string, f double, tag string"))  # a row for each parameter and type
-    counts = filled.filter("z > 0").select("mol_id", F.explode(every).alias("r")).select("mol_id", "r.*")
+    counts = possible(filled).select("mol_id", F.explode(every).alias("r")).select("mol_id", "r.*")
     return counts.join(of, ["kind", "key"]).groupBy("mol_id", "tag").agg(F.coalesce(F.sum(F.col("x") * F.col("f")), F.lit(0.0)).alias("dlogz_dlogp"))
 
 
@@ -164,13 +166,12 @@ def derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None) ->
 
 
 def numeric_log_derivatives(molecules: DataFrame, p: Params, tags: list[str], step: float = 1e-6, **how) -> DataFrame:
-    """(mol_id, tag, numeric): derivatives by central differences, one fold for each shifted parameter."""
-    out = None
-    for t in tags:
-        up, down = (fill(molecules, p.updated({t: p.values[t] * f}), **how).select("mol_id", F.log("z").alias(c)) for f, c in ((1 + step, "a"), (1 - step, "b")))
-        own = up.join(down, "mol_id").select("mol_id", F.lit(t).alias("tag"), ((F.col("a") - F.col("b")) / (2 * step)).alias("numeric"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """(mol_id, tag, numeric): derivatives by central differences. All shifted sets are folded by one plan, whatever their number."""
+    sets = [p.updated({t: p.values[t] * f}) for t in tags for f in (1 + step, 1 - step)]
+    each = fill(molecules, p, sets=sets, **how).select("mol_id", F.col("par.set").alias("set"), "log_z")
+    sign = F.when(F.col("set") % 2 == 0, F.col("log_z")).otherwise(-F.col("log_z"))
+    tag = F.get(F.array(*[F.lit(t) for t in tags]), F.floor(F.col("set") / 2).cast("int"))
+    return possible(each).groupBy("mol_id", tag.alias("tag")).agg((F.sum(sign) / (2 * step)).alias("numeric"))
 
 
 def final_spread(filled: DataFrame) -> DataFrame:
@@ -185,10 +186,6 @@ def energy_gap(molecules: DataFrame, p: Params, **how) -> DataFrame:
     return free.join(bound, "mol_id").select("mol_id", "dg", "dg_structure", (F.col("dg_structure") - F.col("dg")).alias("dg_gap"))
 
 
-def free_energy(z: Column) -> Column:
-    return F.when(z > 0, -KT * F.log(z))
-
-
 def results(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> DataFrame:
     """One row a molecule: n, z, dg, dg_structure and dg_gap (null without a structure), structure (the greedy one), p (its probability) and log_derivatives, a map by tag (all of the set if none are given).
 

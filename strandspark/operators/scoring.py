@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.functions import connections, let, span
-from strandspark.operators.fold import fill, prepare
+from strandspark.operators.fold import fill, free_energy, nothing, prepare, sets_column
 from strandspark.operators.observables import log_derivatives
-from strandspark.sources.params import C_STD, KT, Params
+from strandspark.sources.params import Params
 
 MINI = "struct<strands:array<string>,structure:string,ends:array<string>,residues:array<array<int>>>"
 
@@ -54,32 +54,37 @@ def loops(molecules: DataFrame) -> DataFrame:
     return m.select("mol_id", F.explode(_decomposed(m)).alias("x")).select("mol_id", "x.residues", "x.strands", "x.structure", "x.ends")
 
 
-def score(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """(mol_id, z, dg) of molecules with a structure: the product of their loops, each a fold that is forced to its pairs.
+def score(molecules: DataFrame, p: Params, tags: list[str] | None = None, sets: list[Params] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """(mol_id, log_z, z, dg) of molecules with a structure: the product of their loops, each a fold that is forced to its pairs.
 
     Each end of a pair takes half of what sets its type apart from the first type, so that it is counted once over the
-    two loops that share it; joining strands costs as much within a loop as for the whole molecule. With tags, also
+    two loops that share it; joining strands costs as much within a loop as for the whole molecule. With sets (of p's
+    shape), one row a set, with set, its place; all are folded by one plan. With tags, which go with one set alone, also
     (mol_id, tag, dlogz_dlogp), without a row where that is 0 as nothing counts.
     """
-    kd0 = p.types[0].kd
+    if sets and tags is not None:
+        raise ValueError("derivatives are of one set")
     own = loops(molecules)
     key = ["strands", "structure"]
     mini = own.select(*key).distinct().withColumn("mol_id", F.xxhash64(F.concat_ws("+", "strands"), F.col("structure"))).withColumn("circle", F.lit(False))
-    folded = fill(mini, p, full=tags is not None)
-    half = F.create_map(*[x for t in p.types if not t.lower for x in (F.lit(t.tag), F.lit(0.5 * float(_log(t.kd / kd0))))]) if any(not t.lower for t in p.types) else None
-    lower = next((0.5 * float(_log(t.kd / kd0)) for t in p.types if t.lower), 0.0)
-    end = lambda e: F.coalesce(F.try_element_at(half, e) if half is not None else F.lit(None).cast("double"), F.lit(lower))
+    folded = fill(mini, p, full=tags is not None, sets=sets)
+    place = {t.tag: k for k, t in enumerate(p.types) if not t.lower}
+    lower = next((k for k, t in enumerate(p.types) if t.lower), 0)
+    known = F.create_map(*[F.lit(x) for pair in place.items() for x in pair]) if place else None
+    kd = F.col("par.kd")
+    end = lambda e: F.get(kd, F.coalesce(F.try_element_at(known, e), F.lit(lower)) if place else F.lit(lower)) - F.get(kd, F.lit(0))
     of_loop = own.withColumn("mini", F.xxhash64(F.concat_ws("+", "strands"), F.col("structure")))
-    paired = of_loop.withColumn("fix", F.aggregate("ends", F.lit(0.0), lambda s, e: s + end(e)) + (F.size("strands") - 1) * float(_log(kd0 / C_STD)))
-    logs = paired.join(folded.select(F.col("mol_id").alias("mini"), F.log("z").alias("log_z")), "mini").groupBy("mol_id").agg(F.sum(F.col("fix") + F.col("log_z")).alias("s"), F.sum(F.isnull("log_z").cast("int")).alias("none"))
+    fix = F.aggregate("ends", F.lit(0.0), lambda s, e: s + 0.5 * end(e)) + (F.size("strands") - 1) * F.get(kd, F.lit(0))
+    logs = of_loop.join(folded.select(F.col("mol_id").alias("mini"), "par", "log_z"), "mini").groupBy("mol_id", F.col("par.set").alias("set")).agg(F.sum(fix + F.col("log_z")).alias("s"), F.first(F.get(kd, F.lit(0))).alias("kd0"))
     m = prepare(molecules)
     joined = m.select("mol_id", "n", F.size("nicks").alias("nicks"), connections(F.col("strands"), F.col("circle")).alias("c"), (F.coalesce(F.array_max("of"), F.lit(-1)) >= 0).alias("has"))
     # Without pairs a circle is one loop, what has one end is as it is, and more strands are not one molecule.
     ring = (F.col("n") > 0) & (F.col("nicks") == 0)
-    unpaired = joined.filter("not has").select("mol_id", F.when(ring, p.scalars["C_init"] * F.pow(F.lit(p.scalars["l"]), F.col("n")) / C_STD).when(F.col("nicks") <= 1, 1.0).otherwise(0.0).alias("z"))
-    with_pairs = joined.filter("has").join(logs, "mol_id").select("mol_id", F.when(F.col("none") == 0, F.exp(F.col("s") + F.col("c") * float(_log(C_STD / kd0)))).otherwise(F.lit(0.0)).alias("z"))
-    z = with_pairs.unionByName(unpaired)
-    out = z.select("mol_id", "z", F.when(F.col("z") > 0, -KT * F.log("z")).alias("dg"))
+    bare = joined.filter("not has").withColumn("par", F.explode(sets_column(sets or [p])))
+    unpaired = bare.select("mol_id", "par.set", F.when(ring, F.col("par.C_init") + F.col("n") * F.col("par.l")).when(F.col("nicks") <= 1, 0.0).otherwise(nothing()).alias("log_z"))
+    with_pairs = joined.filter("has").join(logs, "mol_id").select("mol_id", "set", (F.col("s") - F.col("c") * F.col("kd0")).alias("log_z"))
+    by = ["set"] if sets else []
+    out = with_pairs.unionByName(unpaired).select("mol_id", *by, "log_z", F.exp("log_z").alias("z"), free_energy(F.col("log_z")).alias("dg"))
     if tags is None:
         return out
     deriv = log_derivatives(folded, p, tags).select(F.col("mol_id").alias("mini"), "tag", "dlogz_dlogp")
@@ -100,8 +105,3 @@ def score(molecules: DataFrame, p: Params, tags: list[str] | None = None) -> Dat
             every = every.unionByName(joined.filter(~F.col("has") & ring).select("mol_id", F.lit(t).alias("tag"), count.alias("dlogz_dlogp")))
     return out, every.groupBy("mol_id", "tag").agg(F.sum("dlogz_dlogp").alias("dlogz_dlogp"))
 
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.functions import let, span, structure_of
-from strandspark.operators.fold import BASIC, BP, C, COAX, CUT, LIN, NB, NC, PAIR, Family, Molecule, _z_final, families, molecule
+from strandspark.operators.fold import BASIC, BP, C, COAX, CUT, LIN, NB, NC, PAIR, Family, Molecule, _z_final, families, fill, log_sum, molecule, nothing, possible
 from strandspark.sources.params import Params
 
 FINAL = -1
@@ -20,19 +20,19 @@ STATE = f"struct<todo:array<{NODE}>,pairs:array<struct<i:int,j:int>>,p:double>"
 
 
 def _listed(fams: list[Family]) -> Column:
-    """All contributions above 0, with the cells of at least two letters that they are made of."""
+    """All contributions above 0, as logarithms, with the cells of at least two letters that they are made of."""
 
     def one(f: Family, x) -> Column:
         kids = [F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(c) for c, v in zip("kid", kid, strict=True)]) for kid in f.kids(x)]
         own = F.filter(F.array(*kids).cast(f"array<{NODE}>"), lambda y: y["d"] >= 1) if kids else F.array().cast(f"array<{NODE}>")
-        return F.struct(F.coalesce(f.weight(x), F.lit(0.0)).alias("w"), own.alias("kids"))
+        return F.struct(F.coalesce(f.weight(x), nothing()).alias("w"), own.alias("kids"))
 
     def of(f: Family) -> Column:
         return F.array(one(f, None)).cast(ALTS) if f.over is None else F.transform(f.over, lambda x: one(f, x)).cast(ALTS)
 
     none = F.array().cast(ALTS)
     parts = [F.when(f.when, of(f)).otherwise(none) for f in fams]
-    return F.filter(F.concat(*parts) if parts else none, lambda a: a["w"] > 0)
+    return F.filter(F.concat(*parts) if parts else none, lambda a: a["w"] > nothing())
 
 
 def alternatives(mol: Molecule, node: Column) -> Column:
@@ -43,12 +43,28 @@ def alternatives(mol: Molecule, node: Column) -> Column:
         if fams:
             out = out.when(kind == k, _listed(fams))
     t = kind - PAIR
-    pair = let(F.get(mol.possible(i, d), t), lambda q: _listed(families(mol, PAIR, i, d, t, q)))
+    pair = let(F.get(mol.possible(i, d), t), lambda q: _listed(families(mol, PAIR, i, d, t, q)), ALTS)
     return out.when(kind >= PAIR, pair).otherwise(F.array().cast(ALTS))
 
 
-def _start(i: Column | None = None) -> Column:
-    return F.struct(F.array(F.struct(F.lit(FINAL).alias("k"), (F.lit(0) if i is None else i).alias("i"), F.lit(0).alias("d"))).alias("todo"), F.array().cast("array<struct<i:int,j:int>>").alias("pairs"), F.lit(1.0).alias("p")).cast(STATE)
+def best(molecules: DataFrame, p: Params, simple: bool | None = None) -> DataFrame:
+    """(mol_id, structure, dg): the structure of least energy of each molecule that is not a circle, and its energy; circles raise an error.
+
+    Cells are filled with the largest weight, and the traceback goes on with a contribution that has it: the first of
+    equal ones, in the order in which a cell's contributions are listed. Where a stack or a motif and an open loop make
+    the same structure, its weight is their sum. With coaxial stacking a structure has as many weights as ways to stack
+    its helices; then the likeliest structure with its stacking is given, and dg is that way's.
+    """
+    open_ = F.when(F.coalesce("circle", F.lit(False)), F.raise_error(F.lit("a circle has no cells that do not wrap")).cast("boolean")).otherwise(F.col("circle"))
+    filled = fill(molecules.withColumn("circle", open_), p, simple=simple, best=True)
+    mol = molecule(p, False, F.col("cells"), True)
+    done = possible(filled).select("mol_id", "n", "dg", F.when(F.col("n") > 0, _one_path(mol, _largest, linear=True)).alias("s"))
+    return done.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), "dg")
+
+
+def _start(i: Column | None = None, whole: Column | None = None) -> Column:
+    """What is to be told apart first: everything from a start on, or only the cell of the whole molecule (whole: its offset)."""
+    return F.struct(F.array(F.struct(F.lit(FINAL if whole is None else LIN).alias("k"), (F.lit(0) if i is None else i).alias("i"), (F.lit(0) if whole is None else whole).alias("d"))).alias("todo"), F.array().cast("array<struct<i:int,j:int>>").alias("pairs"), F.lit(1.0).alias("p")).cast(STATE)
 
 
 def _next(mol: Molecule, state: Column, alt: Column, share: Column) -> Column:
@@ -58,19 +74,23 @@ def _next(mol: Molecule, state: Column, alt: Column, share: Column) -> Column:
     return F.struct(F.concat(F.slice(state["todo"], 1, F.size(state["todo"]) - 1), alt["kids"]).alias("todo"), pairs.alias("pairs"), (state["p"] * share).alias("p")).cast(STATE)
 
 
-def _one_path(mol: Molecule, choose, start: Column | None = None) -> Column:
-    """The final state when choose(alternatives, step) gives the place of the one to follow; start: where the molecule is cut open."""
+def _total(alts: Column) -> Column:
+    return log_sum(F.transform(alts, lambda a: a["w"]))
+
+
+def _one_path(mol: Molecule, choose, start: Column | None = None, linear: bool = False) -> Column:
+    """The final state when choose(alternatives, step) gives the place of the one to follow; start: where the molecule is cut open; linear: it is not closed."""
 
     def step(state, k):
         node = F.get(state["todo"], F.size(state["todo"]) - 1)
 
         def follow(alts):
-            all_w = F.aggregate(alts, F.lit(0.0), lambda s, a: s + a["w"])
-            return let(F.get(alts, choose(alts, all_w, k)), lambda a: F.when(F.isnull(a["w"]), F.struct(F.array().cast(f"array<{NODE}>").alias("todo"), state["pairs"].alias("pairs"), F.lit(0.0).alias("p")).cast(STATE)).otherwise(_next(mol, state, a, a["w"] / all_w)))
+            return let(_total(alts), lambda all_w: let(F.get(alts, choose(alts, all_w, k)), lambda a: F.when(F.isnull(a["w"]), F.struct(F.array().cast(f"array<{NODE}>").alias("todo"), state["pairs"].alias("pairs"), F.lit(0.0).alias("p")).cast(STATE)).otherwise(_next(mol, state, a, F.exp(a["w"] - all_w)))))
 
         return F.when(F.size(state["todo"]) == 0, state).otherwise(let(alternatives(mol, node), follow)).cast(STATE)
 
-    return F.aggregate(span(0, mol.n * 8), _start(start), step)
+    first = F.when(mol.n > 1, _start(whole=mol.n - 1)).otherwise(F.struct(F.array().cast(f"array<{NODE}>"), F.array().cast("array<struct<i:int,j:int>>"), F.lit(1.0)).cast(STATE)) if linear else _start(start)
+    return F.aggregate(span(0, mol.n * 8), first, step)
 
 
 def _largest(alts: Column, _all: Column, _k: Column) -> Column:
@@ -81,14 +101,14 @@ def _largest(alts: Column, _all: Column, _k: Column) -> Column:
 def mfe(filled: DataFrame, p: Params, full: bool = False) -> DataFrame:
     """(mol_id, structure, p): the structure that is reached by always going on with the largest contribution, the first of equal ones. It need not be the one of least energy. full: as the cells were filled."""
     mol = molecule(p, full, F.col("cells"))
-    done = filled.filter("z > 0").select("mol_id", "n", F.when(F.col("n") > 0, _one_path(mol, _largest)).alias("s"))
+    done = possible(filled).select("mol_id", "n", F.when(F.col("n") > 0, _one_path(mol, _largest)).alias("s"))
     return done.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p"))
 
 
 def mfe_starts(filled: DataFrame, p: Params) -> DataFrame:
     """(mol_id, start, structure, p, agrees) of fully filled molecules: the greedy structure from each place where the molecule can be cut open, and whether it is that from the first. They can differ, as greedy choices are not the structure of least energy."""
     mol = molecule(p, True, F.col("cells"))
-    rows = filled.filter("z > 0 and n > 0").withColumn("start", F.explode(span(0, F.col("n") - 1)))
+    rows = possible(filled).filter("n > 0").withColumn("start", F.explode(span(0, F.col("n") - 1)))
     done = rows.select("mol_id", "start", "n", _one_path(mol, _largest, F.col("start")).alias("s")).select("mol_id", "start", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p"))
     first = F.first("structure").over(Window.partitionBy("mol_id").orderBy("start"))  # as many rows as letters
     return done.withColumn("agrees", F.col("structure") == first)
@@ -99,12 +119,12 @@ def samples(filled: DataFrame, p: Params, count: int, seed: int = 0, full: bool
     mol = molecule(p, full, F.col("cells"))
 
     def draw(alts, all_w, k):
-        u = F.pmod(F.xxhash64(F.col("mol_id"), F.col("sample"), k, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52)) * all_w
+        u = F.pmod(F.xxhash64(F.col("mol_id"), F.col("sample"), k, F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
         start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")).cast("struct<sum:double,at:int>")
-        run = F.aggregate(alts, start, lambda s, a: F.struct((s["sum"] + a["w"]).alias("sum"), (s["at"] + (s["sum"] + a["w"] <= u).cast("int")).alias("at")).cast("struct<sum:double,at:int>"))
+        run = F.aggregate(alts, start, lambda s, a: F.struct((s["sum"] + F.exp(a["w"] - all_w)).alias("sum"), (s["at"] + (s["sum"] + F.exp(a["w"] - all_w) <= u).cast("int")).alias("at")).cast("struct<sum:double,at:int>"))
         return F.least(run["at"], F.size(alts) - 1)
 
-    rows = filled.filter("z > 0").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    rows = possible(filled).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     done = rows.select("mol_id", "sample", "n", F.when(F.col("n") > 0, _one_path(mol, draw)).alias("s"))
     return done.select("mol_id", "sample", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"))
 
@@ -118,13 +138,12 @@ def enumerate_structures(filled: DataFrame, p: Params, full: bool = False) -> Da
             node = F.get(s["todo"], F.size(s["todo"]) - 1)
 
             def every(alts):
-                all_w = F.aggregate(alts, F.lit(0.0), lambda x, a: x + a["w"])
-                return F.transform(alts, lambda a: _next(mol, s, a, a["w"] / all_w))
+                return let(_total(alts), lambda all_w: F.transform(alts, lambda a: _next(mol, s, a, F.exp(a["w"] - all_w))))
 
             return F.when(F.size(s["todo"]) == 0, F.array(s)).otherwise(let(alternatives(mol, node), every)).cast(f"array<{STATE}>")
 
         return F.when(F.exists(states, lambda s: F.size(s["todo"]) > 0), F.flatten(F.transform(states, expand))).otherwise(states).cast(f"array<{STATE}>")
 
     grown = F.aggregate(span(0, mol.n * 8), F.array(_start()).cast(f"array<{STATE}>"), step)
-    rows = filled.filter("z > 0").select("mol_id", "n", F.explode(F.when(F.col("n") > 0, grown)).alias("s"))
+    rows = possible(filled).select("mol_id", "n", F.explode(F.when(F.col("n") > 0, grown)).alias("s"))
     return rows.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p")).groupBy("mol_id", "structure").agg(F.sum("p").alias("p"), F.count("*").alias("ways"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,89 +70,170 @@ def start(p: Params, tags: list[str], values: list[float] | None = None, logs: l
     return x
 
 
-def gaps(examples: DataFrame, p: Params) -> DataFrame:
-    """(mol_id, dg_gap) of examples (molecules with structure, and if there force: pairs that the ensemble is held to)."""
-    bound = scoring.score(examples.drop("force", "allow_extra"), p).select("mol_id", F.col("dg").alias("own"))
+def _held(examples: DataFrame) -> DataFrame:
+    """The examples as their ensembles are: free, or held to the pairs in force."""
     held = examples.drop("structure", "allow_extra")
-    held = held.withColumnRenamed("force", "structure").withColumn("allow_extra", F.lit(True)) if "force" in examples.columns else held
-    return fold.fill(held, p).select("mol_id", "dg").join(bound, "mol_id").select("mol_id", (F.col("own") - F.col("dg")).alias("dg_gap"))
+    return held.withColumnRenamed("force", "structure").withColumn("allow_extra", F.lit(True)) if "force" in examples.columns else held
 
 
-def loss(examples: DataFrame, p: Params, spark: SparkSession) -> DataFrame:
+def gaps(examples: DataFrame, p: Params, sets: list[Params] | None = None) -> DataFrame:
+    """(mol_id, dg_gap) of examples (molecules with structure, and if there force: pairs that the ensemble is held to); with sets (of p's shape) one row a set, with set, its place."""
+    by = ["mol_id", "set"] if sets else ["mol_id"]
+    bound = scoring.score(examples.drop("force", "allow_extra"), p, sets=sets).select(*by, F.col("dg").alias("own"))
+    free = fold.fill(_held(examples), p, sets=sets).select("mol_id", F.col("par.set").alias("set"), "dg")
+    return free.join(bound, by).select(*by, (F.col("own") - F.col("dg")).alias("dg_gap"))
+
+
+def losses(examples: DataFrame, p: Params, sets: list[Params], weight: str | None = None) -> DataFrame:
+    """(set, examples, loss) of each parameter set, by its place in sets, over the examples whose structure is possible. One plan folds all examples by all sets. weight: a column that counts an example so many times."""
+    each = gaps(examples, p, sets).filter("dg_gap is not null")
+    each = each.join(examples.select("mol_id", F.col(weight).alias("_w")), "mol_id") if weight else each.withColumn("_w", F.lit(1).cast("long"))
+    return each.groupBy("set").agg(F.sum("_w").alias("examples"), F.sum(F.col("dg_gap") * F.col("_w")).alias("loss"))
+
+
+def loss(examples: DataFrame, p: Params, spark: SparkSession, weight: str | None = None) -> DataFrame:
     """One row: (examples, loss), over the examples whose structure is possible."""
-    return gaps(examples, p).filter("dg_gap is not null").agg(F.count("*").alias("examples"), F.sum("dg_gap").alias("loss"))
+    return losses(examples, p, [p], weight).agg(F.coalesce(F.sum("examples"), F.lit(0)).alias("examples"), F.sum("loss").alias("loss"))
 
 
-def slope(examples: DataFrame, p: Params, tags: list[str]) -> DataFrame:
+def slope(examples: DataFrame, p: Params, tags: list[str], weight: str | None = None) -> DataFrame:
     """(tag, slope): derivatives of the loss by the parameters' logarithms, summed over the examples whose structure is possible."""
     scored, bound = scoring.score(examples.drop("force", "allow_extra"), p, tags)
     possible = scored.filter("dg is not null").select("mol_id")
-    held = examples.drop("structure", "allow_extra").join(possible, "mol_id", "left_semi")
-    held = held.withColumnRenamed("force", "structure").withColumn("allow_extra", F.lit(True)) if "force" in examples.columns else held
+    held = _held(examples.join(possible, "mol_id", "left_semi"))
     free = observables.log_derivatives(fold.fill(held, p, full=True), p, tags)
     bound = bound.join(possible, "mol_id", "left_semi")
-    both = free.select("tag", F.col("dlogz_dlogp").alias("d")).unionByName(bound.select("tag", (-F.col("dlogz_dlogp")).alias("d")))
+    both = free.select("mol_id", "tag", F.col("dlogz_dlogp").alias("d")).unionByName(bound.select("mol_id", "tag", (-F.col("dlogz_dlogp")).alias("d")))
+    if weight:
+        both = both.join(examples.select("mol_id", F.col(weight).alias("_w")), "mol_id").withColumn("d", F.col("d") * F.col("_w"))
     return both.groupBy("tag").agg((KT * F.sum("d")).alias("slope"))
 
 
-def step(examples: DataFrame, p: Params, tags: list[str], rate: float) -> DataFrame:
+def step(examples: DataFrame, p: Params, tags: list[str], rate: float, weight: str | None = None) -> DataFrame:
     """(tag, x, slope, x_next): one step of rate down the loss's slope from the set's logarithms."""
     now = examples.sparkSession.createDataFrame([(t, math.log(p.values[t])) for t in tags], "tag string, x double")
-    return now.join(slope(examples, p, tags), "tag", "left").select("tag", "x", F.coalesce("slope", F.lit(0.0)).alias("slope")).withColumn("x_next", F.col("x") - rate * F.col("slope"))
+    return now.join(slope(examples, p, tags, weight), "tag", "left").select("tag", "x", F.coalesce("slope", F.lit(0.0)).alias("slope")).withColumn("x_next", F.col("x") - rate * F.col("slope"))
+
+
+def shifted(p: Params, tags: list[str], h: float) -> list[Params]:
+    """For each tag the set with its logarithm h higher, then h lower."""
+    return [p.updated({t: p.values[t] * math.exp(x)}) for t in tags for x in (h, -h)]
 
 
 def slope_check(examples: DataFrame, p: Params, tags: list[str], h: float = 1e-5) -> DataFrame:
-    """(tag, slope, numeric): the loss's slopes beside its differences, two losses for each parameter."""
-    spark = examples.sparkSession
-    out = None
-    for t in tags:
-        up, down = (loss(examples, p.updated({t: p.values[t] * math.exp(s * h)}), spark).select(F.col("loss").alias(c)) for s, c in ((1, "a"), (-1, "b")))
-        own = up.crossJoin(down).select(F.lit(t).alias("tag"), ((F.col("a") - F.col("b")) / (2 * h)).alias("numeric"))  # one row each
-        out = own if out is None else out.unionByName(own)
-    return slope(examples, p, tags).join(out, "tag")
-
-
-def minimize(f, grad, x: np.ndarray, steps: int = 20, tol: float = 1e-5) -> tuple[np.ndarray, float, list[tuple[float, np.ndarray]]]:
-    """Quasi-Newton descent with backtracking; the trace has each accepted value and point."""
-    h, y, g = np.eye(len(x)), f(x), grad(x)
-    trace = [(y, x.copy())]
-    for _ in range(steps):
+    """(tag, slope, numeric): the loss's slopes beside its differences. The losses of all shifted sets are one plan, whatever the number of tags."""
+    tag = F.get(F.array(*[F.lit(t) for t in tags]), F.floor(F.col("set") / 2).cast("int"))
+    sign = F.when(F.col("set") % 2 == 0, F.col("loss")).otherwise(-F.col("loss"))
+    numeric = losses(examples, p, shifted(p, tags, h)).groupBy(tag.alias("tag")).agg((F.sum(sign) / (2 * h)).alias("numeric"))
+    return slope(examples, p, tags).join(numeric, "tag")
+
+
+#: Step lengths that are tried at once, each half of the one before.
+TRIES = 4
+
+
+def minimize(f, grad, x: np.ndarray, steps: int = 20, tol: float = 1e-5, seen: list[tuple] | None = None, record=None) -> tuple[np.ndarray, float, list[tuple]]:
+    """Quasi-Newton descent with backtracking. f gives the values of several points at once, and TRIES step lengths are asked for together.
+
+    The trace has (value, point, slope) of each accepted point. seen, the trace of an earlier run, is gone through
+    again without asking f or grad, so that a descent goes on as if it had not been stopped; record(step, tries,
+    accepted) is told of each step: tries are (value, point), accepted one of the trace.
+    """
+    trace = [tuple(t) for t in seen or []]
+    if not trace:
+        trace = [(f([x])[0], x.copy(), grad(x))]
+        if record:
+            record(0, [trace[0][:2]], trace[0])
+    h = np.eye(len(x))
+
+    def direction(h, g):
+        d = -h @ g
+        return (np.eye(len(g)), -g) if d @ g >= 0 else (h, d)
+
+    def learned(h, s, k):
+        if (r := s @ k) <= 1e-12:
+            return h
+        a = np.eye(len(s)) - np.outer(s, k) / r
+        return a @ h @ a.T + np.outer(s, s) / r
+
+    for (_, x0, g0), (_, x1, g1) in zip(trace, trace[1:], strict=False):
+        h = learned(direction(h, g0)[0], x1 - x0, g1 - g0)
+    while len(trace) <= steps:
+        y, x, g = trace[-1]
         if np.abs(g).max() < tol:
             break
-        d = -h @ g
-        if d @ g >= 0:
-            h, d = np.eye(len(x)), -g
-        t = min(1.0, 1.0 / max(np.abs(d).max(), 1e-12))
-        while t > 1e-6 and not (new := f(x + t * d)) <= y + 1e-4 * t * (d @ g):
-            t /= 2
-        if t <= 1e-6:
+        h, d = direction(h, g)
+        t, tries, found = min(1.0, 1.0 / max(np.abs(d).max(), 1e-12)), [], None
+        while t > 1e-6 and found is None:
+            lengths = [t / 2**k for k in range(TRIES)]
+            values = f([x + k * d for k in lengths])
+            tries += [(v, x + k * d) for k, v in zip(lengths, values, strict=True)]
+            found = next(((v, x + k * d) for k, v in zip(lengths, values, strict=True) if v <= y + 1e-4 * k * (d @ g)), None)
+            t /= 2**TRIES
+        if found is None:
             break
-        s, x, y, before = t * d, x + t * d, new, g
-        g = grad(x)
-        k = g - before
-        if (r := s @ k) > 1e-12:
-            a = np.eye(len(x)) - np.outer(s, k) / r
-            h = a @ h @ a.T + np.outer(s, s) / r
-        trace.append((y, x.copy()))
-    return x, y, trace
-
-
-def train(examples: DataFrame, p: Params, tags: list[str], x: np.ndarray | None = None, steps: int = 5, use_priors: bool = False) -> tuple[Params, list[tuple[float, np.ndarray]]]:
-    """The set with tags fitted to the examples, and the trace. A Spark job sums up each loss and each slope; only these sums come to the driver."""
+        new = grad(found[1])
+        h = learned(h, found[1] - x, new - g)
+        trace.append((*found, new))
+        if record:
+            record(len(trace) - 1, tries, trace[-1])
+    return trace[-1][1], trace[-1][0], trace
+
+
+TRACE_DDL = "number int, accepted boolean, loss double, tag string, x double, slope double"
+
+
+def _record(spark: SparkSession, path: str, run: str, tags: list[str]):
+    """Writes a step's tries, and the accepted point with its slopes, as one folder of path. A step that is written again replaces itself."""
+
+    def write(step, tries, accepted):
+        rows = [(k, False, float(v), t, float(a), None) for k, (v, x) in enumerate(tries) for t, a in zip(tags, x, strict=True)]
+        rows += [(None, True, float(accepted[0]), t, float(a), float(s)) for t, a, s in zip(tags, accepted[1], accepted[2], strict=True)]
+        spark.createDataFrame(rows, TRACE_DDL).coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run}/step={step}")
+
+    return write
+
+
+def recorded(spark: SparkSession, path: str, run: str, tags: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The accepted points of a run that was recorded at path, in order; none if there is no such run. Other tags than the run's raise an error."""
+    try:
+        rows = spark.read.parquet(f"{path}/run={run}").filter("accepted").collect()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return []
+    out = []
+    for k in range(max(r["step"] for r in rows) + 1):
+        own = {r["tag"]: r for r in rows if r["step"] == k}
+        if set(own) != set(tags):
+            raise ValueError(f"step {k} of {run!r} is of other tags: {sorted(own)}")
+        out.append((own[tags[0]]["loss"], np.array([own[t]["x"] for t in tags]), np.array([own[t]["slope"] for t in tags])))
+    return out
+
+
+def train(examples: DataFrame, p: Params, tags: list[str], x: np.ndarray | None = None, steps: int = 5, use_priors: bool = False, path: str | None = None, run: str = "run") -> tuple[Params, list[tuple[float, np.ndarray, np.ndarray]]]:
+    """The set with tags fitted to the examples, and the trace: (loss, logarithms, slopes) of each accepted step.
+
+    A step is two Spark jobs: the losses of several step lengths at once, and the slopes. Only these sums come to the
+    driver. With path, every step is written there with its tries, and a run of the same name goes on from the last one
+    written.
+    """
     spark = examples.sparkSession
     at = lambda v: p.updated(dict(zip(tags, np.exp(v).tolist(), strict=True)))
 
-    def f(v):
-        return loss(examples, at(v), spark).first()["loss"] + (priors(v, tags)[0] if use_priors else 0.0)
+    def f(points):
+        got = {r["set"]: r["loss"] for r in losses(examples, p, [at(v) for v in points]).collect()}
+        return [got.get(k, 0.0) + (priors(v, tags)[0] if use_priors else 0.0) for k, v in enumerate(points)]
 
     def grad(v):
         got = {r["tag"]: r["slope"] for r in slope(examples, at(v), tags).collect()}
         return np.array([got.get(t, 0.0) for t in tags]) + (priors(v, tags)[1] if use_priors else 0.0)
 
-    best, _, trace = minimize(f, grad, start(p, tags) if x is None else x, steps)
+    seen = recorded(spark, path, run, tags) if path else []
+    best, _, trace = minimize(f, grad, start(p, tags) if x is None else x, steps, seen=seen, record=_record(spark, path, run, tags) if path else None)
     return at(best), trace
 
 
-def trace_table(spark: SparkSession, trace: list[tuple[float, np.ndarray]], tags: list[str]) -> DataFrame:
-    """(step, loss, tag, x): a training's accepted steps, to be kept as a table."""
-    return spark.createDataFrame([(k, float(y), t, float(v)) for k, (y, x) in enumerate(trace) for t, v in zip(tags, x, strict=True)], "step int, loss double, tag string, x double")
+def trace_table(spark: SparkSession, trace: list[tuple], tags: list[str]) -> DataFrame:
+    """(step, loss, tag, x, slope): a training's accepted steps, to be kept as a table."""
+    return spark.createDataFrame([(k, float(y), t, float(v), float(g)) for k, (y, x, gs) in enumerate(trace) for t, v, g in zip(tags, x, gs, strict=True)], "step int, loss double, tag string, x double, slope double")

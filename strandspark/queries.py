@@ -87,7 +87,7 @@ def q_stack_resolve(spark, sf_dir):
 
 def q_partition_z(spark, sf_dir):
     got = fold.partition(molecules(spark, sf_dir), plain(), simple=True)
-    return got.select("mol_id", "n", F.round(F.log("z"), 6).alias("log_z"), F.round("dg", 6).alias("dg"))
+    return got.select("mol_id", "n", F.round("log_z", 6).alias("log_z"), F.round("dg", 6).alias("dg"))
 
 
 def _full(spark, sf_dir):
@@ -147,7 +147,7 @@ def _spacers(spark, sf_dir):
 
 def q_circular_z(spark, sf_dir):
     m = _spacers(spark, sf_dir).select("mol_id", "documents", F.array(_ring(F.col("a"), F.col("b"))).alias("strands"), F.lit(True).alias("circle"))
-    return fold.fill(m, packaged("minimal"), full=True).select("mol_id", "documents", F.round(F.log("z"), 6).alias("log_z"))
+    return fold.fill(m, packaged("minimal"), full=True).select("mol_id", "documents", F.round("log_z", 6).alias("log_z"))
 
 
 def _pair_of_hairpins(spark, sf_dir):
@@ -155,7 +155,7 @@ def _pair_of_hairpins(spark, sf_dir):
 
 
 def q_coax_z(spark, sf_dir):
-    return fold.fill(_pair_of_hairpins(spark, sf_dir), packaged("minimal")).select("mol_id", "documents", F.round(F.log("z"), 6).alias("log_z"))
+    return fold.fill(_pair_of_hairpins(spark, sf_dir), packaged("minimal")).select("mol_id", "documents", F.round("log_z", 6).alias("log_z"))
 
 
 def q_logderiv_coax(spark, sf_dir):
@@ -167,7 +167,7 @@ def q_multistrand_z(spark, sf_dir):
     """Two strands whose spacers face each other within a loop of two pairs, C N^a C and G N^b G."""
     strand = lambda x, k: F.concat(F.lit(x), F.repeat(F.lit("N"), k), F.lit(x))
     m = _spacers(spark, sf_dir).select("mol_id", "documents", F.array(strand("C", F.col("a")), strand("G", F.col("b"))).alias("strands"), F.lit(False).alias("circle"))
-    return fold.fill(m, packaged("minimal").without_coax()).select("mol_id", "documents", F.round(F.log("z"), 6).alias("log_z"))
+    return fold.fill(m, packaged("minimal").without_coax()).select("mol_id", "documents", F.round("log_z", 6).alias("log_z"))
 
 
 def _measured(spark, sf_dir):
@@ -179,7 +179,9 @@ def q_defects(spark, sf_dir):
 
 
 def q_defect_overall(spark, sf_dir):
-    return defects.overall(_measured(spark, sf_dir).withColumn("package", F.lit("own")), ["package"]).select("package", F.round("ensemble_defect", 4).alias("ensemble_defect"), F.round("bpp_defect", 4).alias("bpp_defect"))
+    """Over all molecules of the texts, each as often as it occurs."""
+    copies = sequences(spark, sf_dir).select("mol_id", "copies")
+    return defects.overall(_measured(spark, sf_dir).join(copies, "mol_id").withColumn("package", F.lit("own")), ["package"], "copies").select("package", F.round("ensemble_defect", 4).alias("ensemble_defect"), F.round("bpp_defect", 4).alias("bpp_defect"))
 
 
 def q_bounds(spark, sf_dir):
@@ -187,15 +189,47 @@ def q_bounds(spark, sf_dir):
     return x.select("tag", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("prior", 6).alias("prior"), F.round("prior_slope", 6).alias("prior_slope"))
 
 
+def _examples(spark, sf_dir):
+    return with_structure(spark, sf_dir).select("mol_id", "strands", "circle", "structure").join(sequences(spark, sf_dir).select("mol_id", "copies"), "mol_id")
+
+
 def q_loss(spark, sf_dir):
-    return training.loss(with_structure(spark, sf_dir), plain(), spark).select("examples", F.round("loss", 3).alias("loss"))
+    """Over all molecules of the texts, each as often as it occurs."""
+    return training.loss(_examples(spark, sf_dir), plain(), spark, "copies").select("examples", F.round("loss", 3).alias("loss"))
 
 
 def q_train_step(spark, sf_dir):
     tags = ["Kd_CG", "Kd_AU", "Kd_GU", "C_init", "l", "l_BP", "C_eff_stacked_pair", "C_eff_motif_NNNNN"]
-    examples = with_structure(spark, sf_dir).select("mol_id", "strands", "circle", "structure")
-    got = training.step(examples, plain(), tags, 1e-4)
-    return got.select("tag", F.round("x", 6).alias("x"), F.round("slope", 3).alias("slope"), F.round("x_next", 5).alias("x_next"))
+    got = training.step(_examples(spark, sf_dir), plain(), tags, 1e-6, "copies")
+    return got.select("tag", F.round("x", 6).alias("x"), F.round("slope", 2).alias("slope"), F.round("x_next", 5).alias("x_next"))
+
+
+#: By what the sets of q_param_scan multiply Kd_CG, Kd_AU and Kd_GU.
+SCAN = [(a, b, c) for a in (0.25, 1.0, 4.0) for b in (0.5, 2.0) for c in (1.0, 3.0)]
+
+
+def q_param_scan(spark, sf_dir):
+    """Energies of all molecules by each of several parameter sets, in one plan."""
+    p = plain()
+    sets = [p.updated({f"Kd_{t}": p.values[f"Kd_{t}"] * x for t, x in zip(("CG", "AU", "GU"), row, strict=True)}) for row in SCAN]
+    return fold.partition(molecules(spark, sf_dir), p, simple=True, sets=sets).select("mol_id", F.col("set").alias("param_set"), F.round("log_z", 6).alias("log_z"))
+
+
+def q_mfe_exact(spark, sf_dir):
+    """The least energy of each molecule's structures, and the energy of the structure traced back, scored on its own."""
+    p = plain()
+    found = traceback.best(molecules(spark, sf_dir), p, simple=True)
+    own = found.select("mol_id", F.array("mol_id").alias("strands"), F.lit(False).alias("circle"), "structure")
+    return found.join(scoring.score(own, p).select("mol_id", F.col("dg").alias("dg_structure")), "mol_id").select("mol_id", F.round("dg", 5).alias("dg"), F.round("dg_structure", 5).alias("dg_structure"))
+
+
+def q_threeway_coax(spark, sf_dir):
+    """A pair around two hairpins that touch, a N^p b N b c N c N^t a: three-way loops with and without a stack of the two."""
+    p, gap = packaged("minimal"), lambda k: F.repeat(F.lit("N"), k)
+    m = _spacers(spark, sf_dir).select("mol_id", "documents", F.array(F.concat(F.lit("a"), gap(F.col("a")), F.lit("bNbcNc"), gap(F.col("b")), F.lit("a"))).alias("strands"), F.lit(False).alias("circle"))
+    filled = fold.fill(m, p, full=True)
+    slopes = observables.log_derivatives(filled, p, ["l_coax", "K_coax", "l_BP"]).groupBy("mol_id").pivot("tag", ["l_coax", "K_coax", "l_BP"]).agg(F.first("dlogz_dlogp"))
+    return filled.select("mol_id", "documents", "log_z").join(slopes, "mol_id").select("mol_id", "documents", F.round("log_z", 6).alias("log_z"), *[F.round(c, 5).alias(f"d_{c}") for c in ("l_coax", "K_coax", "l_BP")])
 
 
 def q_favorites(spark, sf_dir):
@@ -296,12 +330,18 @@ d AS (SELECT mol_id, x * y * 100 / z AS "K_coax", 0.0::DOUBLE AS "l_coax", ((a +
 SELECT mol_id, tag, round(v, 5) AS d FROM (UNPIVOT d ON COLUMNS(* EXCLUDE mol_id) INTO NAME tag VALUE v)""",
     "q_multistrand_z": f"WITH {_H} SELECT mol_id, documents, round(ln(1 / 0.0002 * (4 + pow(0.5, a + b + 2) * 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
     "q_defects": f"WITH RECURSIVE {_DEF} SELECT mol_id, n, n_bp, round((2 * miss + stray) / n, 5) AS ensemble_defect, round(CASE WHEN n_bp > 0 THEN miss / n_bp END, 5) AS bpp_defect FROM per",
-    "q_defect_overall": f"WITH RECURSIVE {_DEF} SELECT 'own' AS package, round(sum(2 * miss + stray) / sum(n), 4) AS ensemble_defect, round(sum(miss) / sum(n_bp), 4) AS bpp_defect FROM per",
+    "q_defect_overall": f"WITH RECURSIVE {_DEF} SELECT 'own' AS package, round(sum((2 * miss + stray) * copies) / sum(per.n * copies), 4) AS ensemble_defect, round(sum(miss * copies) / sum(n_bp * copies), 4) AS bpp_defect FROM per JOIN m USING (mol_id)",
     "q_bounds": f"""WITH v(tag, val) AS (VALUES {_TAGS}), b AS (SELECT tag, ln(val) AS x, CASE WHEN tag LIKE 'Kd%' THEN ln(100.0) ELSE ln(0.1) END AS lo, CASE WHEN tag LIKE 'Kd%' OR tag LIKE 'C_eff%' THEN ln(100000.0) WHEN tag IN ('C_init', 'K_coax') THEN ln(100.0) ELSE ln(10.0) END AS hi FROM v)
 SELECT tag, round(lo, 6) AS lo, round(hi, 6) AS hi, round(CASE WHEN x < lo THEN (x - lo) * (x - lo) WHEN x > hi THEN (x - hi) * (x - hi) ELSE 0 END, 6) AS prior, round(CASE WHEN x < lo THEN 2 * (x - lo) WHEN x > hi THEN 2 * (x - hi) ELSE 0 END, 6) AS prior_slope FROM b""",
-    "q_loss": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT count(*) AS examples, round(sum({_DG} * ln(e.w) - {_DG} * ln(z.z)), 3) AS loss FROM e JOIN z USING (mol_id) WHERE {_TARGET}",
+    "q_loss": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT sum(copies)::BIGINT AS examples, round(sum(copies * ({_DG} * ln(e.w) - {_DG} * ln(z.z))), 3) AS loss FROM e JOIN z USING (mol_id) JOIN m USING (mol_id) WHERE {_TARGET}",
     "q_train_step": f"""WITH RECURSIVE {_ENUM}, {_STRUCT}, tags(tag, x) AS (VALUES {", ".join(f"('{t}', ln({v}))" for t, v in PLAIN[4:] if t != "C_eff_motif_NN_NNN")}),
 c AS (SELECT e.mol_id, w / z AS share, {_TARGET} AS own, UNNEST([-cg, -au, -gu, xc, xl, xb, xs, xh]) AS v, UNNEST(['Kd_CG', 'Kd_AU', 'Kd_GU', 'C_init', 'l', 'l_BP', 'C_eff_stacked_pair', 'C_eff_motif_NNNNN']) AS tag FROM e JOIN z USING (mol_id)),
-d AS (SELECT tag, {KT!r} * sum(v * (share - own::INT)) AS slope FROM c WHERE mol_id IN (SELECT mol_id FROM e WHERE {_TARGET}) GROUP BY tag)
-SELECT tag, round(x, 6) AS x, round(slope, 3) AS slope, round(x - 1e-4 * slope, 5) AS x_next FROM tags JOIN d USING (tag)""",
+d AS (SELECT tag, {KT!r} * sum(copies * v * (share - own::INT)) AS slope FROM c JOIN m USING (mol_id) WHERE mol_id IN (SELECT mol_id FROM e WHERE {_TARGET}) GROUP BY tag)
+SELECT tag, round(x, 6) AS x, round(slope, 2) AS slope, round(x - 1e-6 * slope, 5) AS x_next FROM tags JOIN d USING (tag)""",
+    "q_param_scan": f"""WITH RECURSIVE {_ENUM}, v(param_set, fcg, fau, fgu) AS (VALUES {", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in enumerate(SCAN))})
+SELECT mol_id, param_set, round(ln(sum(w * pow(fcg, -cg) * pow(fau, -au) * pow(fgu, -gu))), 6) AS log_z FROM e, v GROUP BY mol_id, param_set""",
+    "q_mfe_exact": f"WITH RECURSIVE {_ENUM} SELECT mol_id, round({_DG} * ln(max(w)), 5) AS dg, round({_DG} * ln(max(w)), 5) AS dg_structure FROM e GROUP BY mol_id",
+    "q_threeway_coax": f"""WITH {_H}, x AS (SELECT mol_id, documents, a, b, pow(0.5::DOUBLE, 2) * 0.2 / 0.0002 AS x, pow(0.5::DOUBLE, a + b + 7) * 0.2 / 0.0002 AS w0, pow(0.5::DOUBLE, a + b + 5) * 0.2 * 0.2 / 0.0002 AS w1, pow(0.5::DOUBLE, a + b + 3) * pow(0.2::DOUBLE, 3) / 0.0002 AS w2, pow(0.5::DOUBLE, a + b + 2) * 0.2 * 200 * 100 / 0.0002 AS w3 FROM a),
+y AS (SELECT *, x * x * 100 AS outer_coax, x * x * w3 AS inner_coax, 1 + 2 * x + x * x * 101 + w0 + 2 * w1 * x + x * x * (w2 + w3) AS z FROM x)
+SELECT mol_id, documents, round(ln(z), 6) AS log_z, round(inner_coax / z, 5) AS "d_l_coax", round((inner_coax + outer_coax) / z, 5) AS "d_K_coax", round((2 * x + 2 * x * x * 101 + w0 + 2 * w1 * x * 3 + x * x * (w2 * 5 + w3 * 3)) / z, 5) AS "d_l_BP" FROM y""",
 }

@@ -166,7 +166,7 @@ def test_training_step_lowers_the_loss(spark):
 def test_minimize_finds_a_minimum():
     import numpy as np
 
-    x, y, trace = training.minimize(lambda v: float(((v - 3) ** 2).sum()), lambda v: 2 * (v - 3), np.zeros(3), 30)
+    x, y, trace = training.minimize(lambda vs: [float(((v - 3) ** 2).sum()) for v in vs], lambda v: 2 * (v - 3), np.zeros(3), 30)
     assert np.allclose(x, 3, atol=1e-3)
     assert y == trace[-1][0]
 
