@@ -68,29 +68,78 @@ def sets(docs: DataFrame, keep: list[str], text: str, width: int = 5) -> DataFra
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "fp long, n long, bands array<long>, shingles binary, sim long"]))
 
 
-def links(of: DataFrame, least: float = 0.8) -> DataFrame:
-    """Edges (u, v) between sets of Jaccard least or more; of: distinct fp with n, bands and shingles.
-
-    In each bucket of a band, sets are linked to the first and to the two before them, in an order that differs by
-    band: all pairs of up to four sets that share a bucket, and for more a number that grows with the sets, not with
-    their square, so that a large group hangs together by way of its many buckets. Every edge is verified.
-    """
+def _verified(pairs: DataFrame, of: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets have a Jaccard of least or more."""
 
     def run(batches):
         for b in slices(batches):
             near = [jaccard(np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    met = of.filter("n > 0").select("fp", "n", F.posexplode("bands").alias("band", "cell"))
-    w = Window.partitionBy("band", "cell").orderBy(F.xxhash64("fp", "band"), "fp")
-    one = F.struct("fp", "n")
-    met = met.withColumn("others", F.array(F.first(one).over(w), F.lag(one, 1).over(w), F.lag(one, 2).over(w))).select("fp", "n", F.explode("others").alias("other"))
-    met = met.filter("fp <> other.fp").filter(F.least("n", "other.n") >= F.lit(least) * F.greatest("n", "other.n"))
-    pairs = cut(met.select(F.least("fp", "other.fp").alias("u"), F.greatest("fp", "other.fp").alias("v")).distinct())
     both = pairs.join(of.select(F.col("fp").alias("u"), F.col("shingles").alias("x")), "u").join(of.select(F.col("fp").alias("v"), F.col("shingles").alias("y")), "v")
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+#: Up to so many sets of a bucket are all compared with one another in some band.
+FEW = 4
+
+
+def _crowded(of: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, shingles) of the sets in buckets of more than FEW that do not hang together yet; roots: (node, root) of those that hang together with others."""
+    told = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    apart = told.groupBy("band", "cell").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("c") > FEW) & (F.col("lo") != F.col("hi"))).select("band", "cell")
+    some = told.join(apart, ["band", "cell"], "left_semi").select("fp", "root").distinct()
+    return of.select("fp", "shingles").join(some, "fp")
+
+
+def _by_rare(crowd: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of sets of different roots that can have a Jaccard of least or more: all of them, by prefix filtering.
+
+    Shingles are ordered by how many of the crowd's sets hold them. Two sets of n <= m shingles with that Jaccard share
+    least / (1 + least) * (n + m) of them, so that the first they share is among the rarest n - 2 * least / (1 + least)
+    * n + 1 of the smaller and m - least * m + 1 of the larger one. What a family's sets all hold stands behind those.
+    """
+
+    def taken_apart(batches):
+        for b in slices(batches):
+            own = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in b.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in own])
+            at = pa.array(np.repeat(np.arange(len(own)), size))
+            yield pa.RecordBatch.from_arrays([b.column("fp").take(at), b.column("root").take(at), pa.array(np.concatenate([np.empty(0, np.int64), *own]))], ["fp", "root", "token"])
+
+    rows = cut(crowd.mapInArrow(taken_apart, "fp long, root long, token long"))
+    held = rows.groupBy("token").agg(F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("between"))
+    front = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+    ordered = rows.join(held, "token").groupBy("fp", "root").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("c", "token", "between"))).alias("ts"))
+    first = ordered.select("fp", "root", "n", F.posexplode(F.slice("ts", 1, front(least).cast("int"))).alias("at", "t")).filter("t.between")
+    both = 2 * least / (1 + least)
+    first = cut(first.select("fp", "root", "n", "at", "t.token", (F.col("at") < front(both)).alias("small")))
+    a, b = (first.select("token", *[F.col(c).alias(k + c) for c in ("fp", "root", "n", "at")], F.col("small").alias(k + "small")) for k in "ab")
+    smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("afp") < F.col("bfp")))
+    share = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))  # at most, with this shingle the first
+    met = a.filter("asmall").join(b, "token").filter((F.col("aroot") != F.col("broot")) & smaller & (F.col("an") >= F.lit(least) * F.col("bn") - 1e-9) & (share >= F.lit(both / 2) * (F.col("an") + F.col("bn")) - 1e-9))
+    return met.select(F.least("afp", "bfp").alias("u"), F.greatest("afp", "bfp").alias("v")).distinct()
+
+
+def links(of: DataFrame, least: float = 0.8) -> DataFrame:
+    """Edges (u, v) between sets of Jaccard least or more; of: distinct fp with n, bands and shingles.
+
+    In each bucket of a band, sets are linked to the first and to the two before them, in an order that differs by
+    band: all pairs of up to four sets that share a bucket, and for more a number that grows with the sets, not with
+    their square. That joins most of a large group. Sets of a larger bucket that do not hang together by then are
+    compared by their rare shingles (_by_rare), which finds every pair that is left. Every edge is verified.
+    """
+    met = cut(of.filter("n > 0").select("fp", "n", F.posexplode("bands").alias("band", "cell")))
+    w = Window.partitionBy("band", "cell").orderBy(F.xxhash64("fp", "band"), "fp")
+    one = F.struct("fp", "n")
+    near = met.withColumn("others", F.array(F.first(one).over(w), F.lag(one, 1).over(w), F.lag(one, 2).over(w))).select("fp", "n", F.explode("others").alias("other"))
+    near = near.filter("fp <> other.fp").filter(F.least("n", "other.n") >= F.lit(least) * F.greatest("n", "other.n"))
+    pairs = cut(near.select(F.least("fp", "other.fp").alias("u"), F.greatest("fp", "other.fp").alias("v")).distinct())
+    found = cut(_verified(pairs, of, least))
+    crowd = _crowded(of, met, components(found))
+    return found.union(_verified(cut(_by_rare(crowd, least)), of, least))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """Of each group of texts the row with the smallest key (nulls last; then the smallest text hash), as it is.
 
