@@ -331,6 +331,12 @@ def read(manifest: DataFrame, folder: str, docs: int = 8192) -> DataFrame:
     return runs.select("file", "first", "n").mapInArrow(run, "file string, row long, first long, n_tokens long, ids_crc32 long")
 
 
+def before(files: DataFrame) -> DataFrame:
+    """(file, _before) of files (file, n): ids of all files before each, in the order of their numbers, however many digits those have. One row a file, of many MB each, so that one task can order them."""
+    earlier = Window.orderBy(F.regexp_extract("file", "([0-9]+)", 1).cast("long")).rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+
+
 def digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Writes docs to token files, reads them back and returns for each document key, start (ids of all documents before it), n_tokens and ids_crc32.
 
@@ -342,7 +348,6 @@ def digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int =
     if not manifest.head(1):
         return manifest.select(key, *[F.col("row").alias(c) for c in ("start", "n_tokens", "ids_crc32")])
     rows = cut(read(manifest, folder))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    files = before(rows.groupBy("file").agg(F.sum("n_tokens").alias("n")))
     rows = rows.join(bounded(files, 64), "file")  # one row a file of many MB
     return manifest.join(rows, ["file", "row"]).select(key, (F.col("_before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

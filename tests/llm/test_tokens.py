@@ -80,3 +80,11 @@ def test_random_access_reads_blocks_alone():
         source = Counted(data)
         assert (tokens.Reader(source).doc(5) == texts[5]).all()
         assert source.got < 200_000 < len(data)
+
+
+def test_files_are_ordered_by_number(spark):
+    files = spark.range(99_990, 100_010).select(F.format_string("part-%05d.tok", "id").alias("file"), F.lit(10).cast("long").alias("n"), "id")
+    got = tokens.before(files).join(files, "file").collect()
+    assert {x["id"]: x["_before"] for x in got} == {99_990 + k: 10 * k for k in range(20)}
+    many = spark.range(100_500).select(F.format_string("part-%05d.tok", "id").alias("file"), F.lit(1).cast("long").alias("n"), "id")
+    assert tokens.before(many).join(many, "file").filter("id <> _before").count() == 0
