@@ -52,23 +52,22 @@ def place(arcs: list[tuple[int, int, int]], load: dict[int, int], capacity: int)
 def shard(rows: DataFrame, size: str, shards: int = 8, slack: float = 0.002, vnodes: int = 64, cells: int = 1 << 16, key: str = "doc_id") -> DataFrame:
     """rows with shard and slot (gapless from 0 in each shard); columns of these names are replaced.
 
-    A key's hash gives its cell on the ring, the next virtual node its shard. No shard holds more than (1 + slack)
+    A row's hash gives its cell on the ring, the next virtual node its shard. No shard holds more than (1 + slack)
     times the mean size and one row: the rows of an arc run in hash order, and those that begin beyond what the owner
     holds continue clockwise. Only the arcs' sizes (shards * vnodes numbers, whatever the data) come to the driver.
-    Rows are dealt by cell, so a window holds 1 / cells of them; rows with a null key, and rows of the same key, are
-    dealt over all cells by all columns' hash, so that no hot key fills one cell. A null size counts 1, equal rows are
-    placed singly. An empty table stays empty. Other columns stay, whatever their names.
+    Rows are dealt by cell, so a window holds 1 / cells of them. The hash is that of the key with all other columns, so
+    that rows of a null or repeated key are dealt over all cells too, and no row is joined by its key. A null size
+    counts 1, equal rows are placed singly. An empty table stays empty. Other columns stay, whatever their names.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
     columns = rows.columns
-    _h, _size, _cell, _arc, _lo, _hi, _off, _start, _n, _by = fresh(rows, "_h", "_size", "_cell", "_arc", "_lo", "_hi", "_off", "_start", "_n", "_by")
+    _h, _size, _cell, _arc, _lo, _hi, _off, _start, _n = fresh(rows, "_h", "_size", "_cell", "_arc", "_lo", "_hi", "_off", "_start", "_n")
     arcs = ring(shards, vnodes, cells)
     by_arc = literal_table(spark, [(a, lo, hi) for a, (lo, hi, _) in enumerate(arcs)], f"{_arc} int, {_lo} int, {_hi} int")
     arc_of = F.broadcast(by_arc.select(_arc, F.explode(F.sequence(_lo, _hi)).alias(_cell)))  # cells rows, a parameter
-    often = rows.groupBy(key).agg(F.count("*").alias(_n)).filter(F.col(_n) > 1).select(F.col(key).alias(_by))
-    every = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
-    rows = rows.join(often, F.col(key) == F.col(_by), "left").withColumn(_h, F.when(F.isnull(key) | F.isnotnull(_by), every).otherwise(F.xxhash64(key))).drop(_by)
+    every = F.xxhash64(key, *[c for c, kind in rows.dtypes if "map<" not in kind])
+    rows = rows.withColumn(_h, every)
     rows = rows.withColumn(_size, F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("long")).withColumn(_cell, F.pmod(F.shiftrightunsigned(_h, 20), F.lit(cells)).cast("int"))
     per_cell = cut(rows.groupBy(_cell).agg(F.sum(_size).alias(_n)).join(arc_of, _cell))
     load = {r[0]: r[1] for r in per_cell.groupBy(_arc).agg(F.sum(_n)).collect()}

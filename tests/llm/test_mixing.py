@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,54 @@ def test_overflow_goes_to_the_next_shards():
         where[a] += n
     assert all(v >= 0 for v in room.values())
     assert dict(where) == load
+
+
+def test_shards_match_a_plain_walk_around_the_ring(spark):
+    r = random.Random(3)
+    rows = [(k if k % 3 else None, r.choice("ab"), r.choice((None, 1, 5, 40, 3000))) for k in range(900)] + [(7, "x", 2)] * 40
+    table = spark.createDataFrame(rows, "doc_id long, note string, size long")
+    cells, slack = 512, 0.05
+    hashed = table.select("doc_id", "note", "size", F.xxhash64("doc_id", "doc_id", "note", "size").alias("h")).collect()
+    cell = lambda x: ((x["h"] % (1 << 64)) >> 20) % cells
+    arcs = shard.ring(8, 64, cells)
+    sized = lambda x: max(1, x["size"] or 1)
+    of = {c: a for a, (lo, hi, _) in enumerate(arcs) for c in range(lo, hi + 1)}
+    order = lambda x: (cell(x), x["h"], x["doc_id"] is not None, x["doc_id"] or 0, sized(x))
+    capacity = int((1 + slack) * sum(map(sized, hashed)) / 8) + 1
+    room, over, want = dict.fromkeys(range(8), capacity), [], []
+    for a, (_, _, owner) in enumerate(arcs):
+        at, total = 0, sum(sized(x) for x in hashed if of[cell(x)] == a)
+        held = min(total, room[owner])
+        room[owner] -= held
+        for x in sorted((x for x in hashed if of[cell(x)] == a), key=order):
+            (want if at < held else over).append((x, owner) if at < held else (a, at, x))
+            at += sized(x)
+    got = shard.shard(table, "size", slack=slack, cells=cells).collect()
+    loads = {s: sum(sized(x) for x in got if x["shard"] == s) for s in range(8)}
+    assert sum(loads.values()) == sum(map(sized, hashed))
+    assert max(loads.values()) <= capacity + 3000
+    for s in range(8):
+        assert sorted(x["slot"] for x in got if x["shard"] == s) == list(range(sum(x["shard"] == s for x in got)))
+    kept = sorted(((x["doc_id"] or -1, x["note"], x["size"] or 0), s) for x, s in want)
+    rest = sorted(((x["doc_id"] or -1, x["note"], x["size"] or 0), x["shard"]) for x in got)
+    for x in kept:  # what an owner holds is there; the rest has gone on clockwise
+        assert x in rest
+        rest.remove(x)
+    assert len(rest) == len(over)
+
+
+def test_a_ninth_shard_at_the_querys_slack(spark):
+    table = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.lit(50) + F.pmod(F.xxhash64("id"), F.lit(100))).alias("size"))
+    a = shard.shard(table, "size").select("doc_id", F.col("shard").alias("a"))
+    b = shard.shard(table, "size", shards=9).select("doc_id", F.col("shard").alias("b"))
+    x = a.join(b, "doc_id").agg(F.avg((F.col("b") == 8).cast("int")).alias("new"), F.avg(((F.col("b") != 8) & (F.col("a") != F.col("b"))).cast("int")).alias("moved")).first()
+    assert 0.09 < x["new"] < 0.13
+    assert x["moved"] < 0.25
+
+
+def test_a_hot_key_fills_no_cell(spark):
+    table = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.lit(10).cast("long").alias("size"), F.concat(F.lit("t"), "id").alias("note"))
+    got = shard.shard(table, "size")
+    plan = got._jdf.queryExecution().toString()
+    assert got.count() == 20_000
+    assert "doc_id#" not in "".join(line for line in plan.splitlines() if "Join" in line)
