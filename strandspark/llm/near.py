@@ -84,12 +84,11 @@ def _verified(pairs: DataFrame, of: DataFrame, least: float) -> DataFrame:
 FEW = 4
 
 
-def _crowded(of: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, root, shingles) of the sets in buckets of more than FEW that do not hang together yet; roots: (node, root) of those that hang together with others."""
+def _crowded(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root) of the sets in buckets of more than FEW that do not hang together yet; roots: (node, root) of those that hang together with others."""
     told = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = told.groupBy("band", "cell").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("c") > FEW) & (F.col("lo") != F.col("hi"))).select("band", "cell")
-    some = told.join(apart, ["band", "cell"], "left_semi").select("fp", "root").distinct()
-    return of.select("fp", "shingles").join(some, "fp")
+    return told.join(apart, ["band", "cell"], "left_semi").select("fp", "root").distinct()
 
 
 def _by_rare(crowd: DataFrame, least: float) -> DataFrame:
@@ -121,23 +120,45 @@ def _by_rare(crowd: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("afp", "bfp").alias("u"), F.greatest("afp", "bfp").alias("v")).distinct()
 
 
+def _grown(of: DataFrame, least: float, same: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(edges, roots, extra): verified edges with same (u, v), what hangs together by them (node, root), and the edges between those groups that they lack, if any set was left to look at."""
+    met = cut(of.filter("n > 0").select("fp", "n", F.posexplode("bands").alias("band", "cell")))
+    w = Window.partitionBy("band", "cell").orderBy(F.xxhash64("fp", "band"), "fp")
+    one = F.struct("fp", "n")
+    near = met.withColumn("others", F.array(F.first(one).over(w), F.lag(one, 1).over(w), F.lag(one, 2).over(w))).select("fp", "n", F.explode("others").alias("other"))
+    near = near.filter("fp <> other.fp").filter(F.least("n", "other.n") >= F.lit(least) * F.greatest("n", "other.n"))
+    pairs = cut(near.select(F.least("fp", "other.fp").alias("u"), F.greatest("fp", "other.fp").alias("v")).distinct())
+    found = _verified(pairs, of, least)
+    edges = cut(found if same is None else found.union(same))
+    roots = cut(components(edges))
+    crowd = cut(_crowded(met, roots))
+    if not crowd.head(1):
+        return edges, roots, None
+    return edges, roots, cut(_verified(cut(_by_rare(of.select("fp", "shingles").join(crowd, "fp"), least)), of, least))
+
+
 def links(of: DataFrame, least: float = 0.8) -> DataFrame:
     """Edges (u, v) between sets of Jaccard least or more; of: distinct fp with n, bands and shingles.
 
     In each bucket of a band, sets are linked to the first and to the two before them, in an order that differs by
     band: all pairs of up to four sets that share a bucket, and for more a number that grows with the sets, not with
     their square. That joins most of a large group. Sets of a larger bucket that do not hang together by then are
-    compared by their rare shingles (_by_rare), which finds every pair that is left. Every edge is verified.
+    compared by their rare shingles (_by_rare), which finds every pair between groups that is left. Every edge is
+    verified.
     """
-    met = cut(of.filter("n > 0").select("fp", "n", F.posexplode("bands").alias("band", "cell")))
-    w = Window.partitionBy("band", "cell").orderBy(F.xxhash64("fp", "band"), "fp")
-    one = F.struct("fp", "n")
-    near = met.withColumn("others", F.array(F.first(one).over(w), F.lag(one, 1).over(w), F.lag(one, 2).over(w))).select("fp", "n", F.explode("others").alias("other"))
-    near = near.filter("fp <> other.fp").filter(F.least("n", "other.n") >= F.lit(least) * F.greatest("n", "other.n"))
-    pairs = cut(near.select(F.least("fp", "other.fp").alias("u"), F.greatest("fp", "other.fp").alias("v")).distinct())
-    found = cut(_verified(pairs, of, least))
-    crowd = _crowded(of, met, components(found))
-    return found.union(_verified(cut(_by_rare(crowd, least)), of, least))
+    edges, _, extra = _grown(of, least)
+    return edges if extra is None else edges.union(extra)
+
+
+def _roots(of: DataFrame, least: float, same: DataFrame) -> DataFrame:
+    """(fp, root) of all sets, by links() and same (u, v)."""
+    _, roots, extra = _grown(of, least, same)
+    told = of.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    if extra is None or not extra.head(1):
+        return told
+    of_end = lambda e, k: e.join(roots.select(F.col("node").alias(k), F.col("root").alias(k + "r")), k, "left").withColumn(k, F.coalesce(k + "r", k)).drop(k + "r")
+    higher = components(of_end(of_end(extra, "u"), "v")).withColumnsRenamed({"node": "root", "root": "top"})  # edges between groups, few
+    return told.join(higher, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
@@ -153,6 +174,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     alike = cut(rows.select("fp", "sim").distinct())
     balls = cut(alike.join(classes(alike, "sim", radius).withColumnsRenamed({"fp": "sim"}), "sim").select("fp", "root").distinct())
     same = balls.join(balls.groupBy("root").agg(F.min("fp").alias("v")), "root").select(F.col("fp").alias("u"), "v").filter("u <> v")
-    roots = components(cut(links(of, least).union(same))).withColumnsRenamed({"node": "fp"})
-    of = cut(of.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    return keep_least(docs, own, rows, of)
+    return keep_least(docs, own, rows, cut(_roots(of, least, same)))

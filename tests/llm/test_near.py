@@ -54,6 +54,8 @@ def test_no_pair_of_a_family_is_lost(spark):
     assert min(near.jaccard(*(np.unique(np.frombuffer(bytes(rows[x][3]), "<u4")) for x in p)) for p in planted) >= 0.8
     of = spark.createDataFrame(rows, "fp long, n long, bands array<long>, shingles binary").repartition(8)
     edges = near.links(of).collect()
+    top = {x["fp"]: x["root"] for x in near._roots(of, 0.8, spark.createDataFrame([(4, 9)], "u long, v long")).collect()}
+    assert all(top[a] == top[b] for a, b in [*planted, (4, 9)])
     root = {x[0]: x[0] for x in rows}
 
     def find(x):
