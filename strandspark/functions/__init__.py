@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built(key: tuple, make: Callable[[], Column]) -> Column:
+    """make(), kept for the next call with the same key in this Spark application: a fold's expression is large, and building it takes longer than planning it. It reads columns by their names, so it fits any table that has them."""
+    app = SparkContext.getOrCreate().applicationId
+    if (app, *key) not in _BUILT:
+        if len(_BUILT) >= 256:
+            _BUILT.clear()
+        _BUILT[app, *key] = make()
+    return _BUILT[app, *key]
+
+
 def let(value: Column, use: Callable[[Column], Column], kind: str | None = None) -> Column:
     """use(value) with value computed once, within an expression. kind: the type of the result, if it is known; Spark then need not derive it anew at every evaluation, nor copy the result."""
     if kind:

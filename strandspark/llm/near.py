@@ -157,7 +157,7 @@ def _roots(of: DataFrame, least: float, same: DataFrame) -> DataFrame:
     if extra is None or not extra.head(1):
         return told
     of_end = lambda e, k: e.join(roots.select(F.col("node").alias(k), F.col("root").alias(k + "r")), k, "left").withColumn(k, F.coalesce(k + "r", k)).drop(k + "r")
-    higher = components(of_end(of_end(extra, "u"), "v")).withColumnsRenamed({"node": "root", "root": "top"})  # edges between groups, few
+    higher = components(of_end(of_end(extra, "u"), "v")).select(F.col("node").alias("root"), F.col("root").alias("top"))  # edges between groups, few
     return told.join(higher, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 

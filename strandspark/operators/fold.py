@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.functions import dotparen, let, letters, partners, settle, span, strands_of
+from strandspark.functions import built, dotparen, let, letters, partners, settle, span, strands_of
 from strandspark.sources.params import KT, Params
 
 #: What a cell holds, beside its pair weights by type: q. Kinds of cells are numbered by their place here; PAIR + t is the pair of the t-th type possible.
@@ -492,7 +492,8 @@ def candidates(prepared: DataFrame, p: Params, full: bool) -> DataFrame:
     """prepared with types and motifs, the pairs and motifs possible at each cell."""
     none = F.lit(None)
     bare = Molecule(p, F.col("n"), F.col("lig"), F.col("nicks"), none, none, none, full)
-    return settle(settle(prepared, types=_candidates(p, full, bare)), motifs=_loops(p, full, bare))
+    types, motifs = (built((name, shape(p), full), lambda f=f: f(p, full, bare)) for name, f in (("types", _candidates), ("motifs", _loops)))
+    return settle(settle(prepared, types=types), motifs=motifs)
 
 
 def fill(molecules: DataFrame, p: Params, full: bool = False, strands: bool = True, simple: bool | None = None, finals: bool = False, sets: list[Params] | None = None, best: bool = False) -> DataFrame:
@@ -508,23 +509,27 @@ def fill(molecules: DataFrame, p: Params, full: bool = False, strands: bool = Tr
     mol = molecule(p, full, best=best)
     simple = bool(simple) and not full
 
-    def step(state, d):
-        here = replace(mol, cells=state["cells"], rows=state["rows"], cols=state["cols"])
-        row = F.transform(span(0, mol.n - 1 if full else mol.n - 1 - d), lambda i: _fill_cell(here, i, d, simple))
-        # Not let(): what a lambda of transform() returns is copied, here the whole state at every offset.
-        return F.aggregate(F.array(row.cast(f"array<{CELL_DDL}>")), state, lambda now, new: _put(mol, now, new, d, simple))
+    def cells():
+        def step(state, d):
+            here = replace(mol, cells=state["cells"], rows=state["rows"], cols=state["cols"])
+            row = F.transform(span(0, mol.n - 1 if full else mol.n - 1 - d), lambda i: _fill_cell(here, i, d, simple))
+            # Not let(): what a lambda of transform() returns is copied, here the whole state at every offset.
+            return F.aggregate(F.array(row.cast(f"array<{CELL_DDL}>")), state, lambda now, new: _put(mol, now, new, d, simple))
 
-    first = let(_diagonal(mol, full), lambda new: _put(mol, None, new, F.lit(0), simple).cast(_state_ddl(p)), _state_ddl(p))
-    cells = F.aggregate(span(1, mol.n - 1), first, step, lambda s: s["cells"])
-    m = settle(m, cells=F.when(F.col("n") > 0, cells))
+        first = let(_diagonal(mol, full), lambda new: _put(mol, None, new, F.lit(0), simple).cast(_state_ddl(p)), _state_ddl(p))
+        return F.when(F.col("n") > 0, F.aggregate(span(1, mol.n - 1), first, step, lambda s: s["cells"]))
+
+    key = (shape(p), full, simple, best)
+    m = settle(m, cells=built(("cells", *key), cells))
     done = molecule(p, full, F.col("cells"), best)
-    if full:
-        z = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(sum_of(done, _z_final(done, F.lit(0))))
-    else:
-        z = F.when(F.col("n") == 0, F.lit(0.0)).otherwise(done.get(LIN, F.lit(0), F.col("n") - 1))
-    m = settle(m, log_z=z).withColumns({"z": F.exp("log_z"), "dg": free_energy(F.col("log_z"))})
+
+    def log_z():
+        whole = sum_of(done, _z_final(done, F.lit(0))) if full else done.get(LIN, F.lit(0), F.col("n") - 1)
+        return F.when(F.col("n") == 0, F.lit(0.0)).otherwise(whole)
+
+    m = settle(m, log_z=built(("log_z", *key), log_z)).withColumns({"z": F.exp("log_z"), "dg": free_energy(F.col("log_z"))})
     if finals:
-        m = m.withColumn("z_final", F.transform(span(0, F.col("n") - 1), lambda i: F.exp(sum_of(done, _z_final(done, i)))))
+        m = m.withColumn("z_final", built(("z_final", *key), lambda: F.transform(span(0, F.col("n") - 1), lambda i: F.exp(sum_of(done, _z_final(done, i))))))
     return m
 
 

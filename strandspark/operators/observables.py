@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.functions import span, total
-from strandspark.operators.fold import BP, C, COAX, CUT, NB, NC, Molecule, fill, molecule, nothing, possible
+from strandspark.functions import built, span, total
+from strandspark.operators.fold import BP, C, COAX, CUT, NB, NC, Molecule, fill, molecule, nothing, possible, shape
 from strandspark.sources.params import Params, stack_of_motif
 
 
@@ -35,7 +35,7 @@ def _pairs(mol: Molecule, z: Column) -> Column:
 def typed_pairs(filled: DataFrame, p: Params) -> DataFrame:
     """(mol_id, i, j, t, p) of fully filled molecules: the probability that i and j pair as type t, for both orders of i and j."""
     mol = molecule(p, True, F.col("cells"))
-    return possible(filled).select("mol_id", F.explode(F.when(F.col("n") > 0, _pairs(mol, F.col("log_z")))).alias("x")).select("mol_id", "x.*")
+    return possible(filled).select("mol_id", F.explode(F.when(F.col("n") > 0, built(("pairs", shape(p)), lambda: _pairs(mol, F.col("log_z"))))).alias("x")).select("mol_id", "x.*")
 
 
 def bpp(filled: DataFrame, p: Params) -> DataFrame:
@@ -115,11 +115,11 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
     count = lambda kind, key, x: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), x.cast("double").alias("x"))
     parts: list[Column] = []
     if scalar := [t for t in tags if t in p.scalars]:
-        own = _scalars(mol, z)
+        own = {t: built(("scalar", t, shape(p)), lambda t=t: _scalars(mol, z).get(t, F.lit(0.0))) for t in scalar}
         parts.append(F.array(*[count("scalar", F.lit(t), own.get(t, F.lit(0.0))) for t in scalar]))
         factors += [("scalar", t, 1.0, t) for t in scalar]
     if pairs := [t for t in tags if t.startswith("Kd")]:
-        parts.append(F.transform(F.filter(_pairs(mol, z), lambda x: x["i"] < x["j"]), lambda x: count("pair", x["t"], x["p"])))
+        parts.append(F.transform(F.filter(built(("pairs", shape(p)), lambda: _pairs(mol, z)), lambda x: x["i"] < x["j"]), lambda x: count("pair", x["t"], x["p"])))
         for tag in pairs:
             own = set(range(len(p.types))) if tag == "Kd" else {k for a in p.of_tag(tag[3:]) for k in (a, p.types[a].flip)}
             factors += [("pair", str(k), -1.0, tag) for k in own]
@@ -136,7 +136,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
             else:
                 motifs.append(tag)
     if stacks:
-        parts.append(F.transform(_stack_counts(mol, z), lambda x: count("stack", F.concat_ws("_", x["a"], x["b"]), x["x"])))
+        parts.append(F.transform(built(("stacks", shape(p)), lambda: _stack_counts(mol, z)), lambda x: count("stack", F.concat_ws("_", x["a"], x["b"]), x["x"])))
         for tag, cells in stacks.items():
             mirrored: set[tuple[int, int]] = set()
             for a, b in cells:
@@ -145,7 +145,7 @@ def log_derivatives(filled: DataFrame, p: Params, tags: list[str] | None = None)
                     mirrored |= {(a, b), mirror}
                     factors.append(("stack", f"{a}_{b}", 0.5 if mirror == (a, b) else 1.0, tag))
     if motifs:
-        parts.append(F.transform(_motif_counts(mol, z), lambda x: count("motif", x["m"], x["x"])))
+        parts.append(F.transform(built(("motif_counts", shape(p)), lambda: _motif_counts(mol, z)), lambda x: count("motif", x["m"], x["x"])))
         for tag in motifs:
             own = [k for k, m in enumerate(p.motifs) if m.given == m.tag == tag[12:]]
             turned = [m for m in p.motifs if m.given == tag[12:]]

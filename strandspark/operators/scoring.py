@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.functions import connections, let, span
+from strandspark.functions import built, connections, let, span
 from strandspark.operators.fold import fill, free_energy, nothing, prepare, sets_column
 from strandspark.operators.observables import log_derivatives
 from strandspark.sources.params import Params
@@ -51,7 +51,7 @@ def _decomposed(m: DataFrame) -> Column:
 def loops(molecules: DataFrame) -> DataFrame:
     """(mol_id, residues, strands, structure, ends): the loops of each molecule with a structure that has pairs."""
     m = prepare(molecules).filter("array_max(of) >= 0 and size(lig) >= 0 and size(seq) >= 0")
-    return m.select("mol_id", F.explode(_decomposed(m)).alias("x")).select("mol_id", "x.residues", "x.strands", "x.structure", "x.ends")
+    return m.select("mol_id", F.explode(built(("loops",), lambda: _decomposed(m))).alias("x")).select("mol_id", "x.residues", "x.strands", "x.structure", "x.ends")
 
 
 def score(molecules: DataFrame, p: Params, tags: list[str] | None = None, sets: list[Params] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandspark.functions import let, span, structure_of
-from strandspark.operators.fold import BASIC, BP, C, COAX, CUT, LIN, NB, NC, PAIR, Family, Molecule, _z_final, families, fill, log_sum, molecule, nothing, possible
+from strandspark.functions import built, let, span, structure_of
+from strandspark.operators.fold import BASIC, BP, C, COAX, CUT, LIN, NB, NC, PAIR, Family, Molecule, _z_final, families, fill, log_sum, molecule, nothing, possible, shape
 from strandspark.sources.params import Params
 
 FINAL = -1
@@ -58,7 +58,7 @@ def best(molecules: DataFrame, p: Params, simple: bool | None = None) -> DataFra
     open_ = F.when(F.coalesce("circle", F.lit(False)), F.raise_error(F.lit("a circle has no cells that do not wrap")).cast("boolean")).otherwise(F.col("circle"))
     filled = fill(molecules.withColumn("circle", open_), p, simple=simple, best=True)
     mol = molecule(p, False, F.col("cells"), True)
-    done = possible(filled).select("mol_id", "n", "dg", F.when(F.col("n") > 0, _one_path(mol, _largest, linear=True)).alias("s"))
+    done = possible(filled).select("mol_id", "n", "dg", F.when(F.col("n") > 0, built(("best", shape(p)), lambda: _one_path(mol, _largest, linear=True))).alias("s"))
     return done.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), "dg")
 
 
@@ -101,7 +101,7 @@ def _largest(alts: Column, _all: Column, _k: Column) -> Column:
 def mfe(filled: DataFrame, p: Params, full: bool = False) -> DataFrame:
     """(mol_id, structure, p): the structure that is reached by always going on with the largest contribution, the first of equal ones. It need not be the one of least energy. full: as the cells were filled."""
     mol = molecule(p, full, F.col("cells"))
-    done = possible(filled).select("mol_id", "n", F.when(F.col("n") > 0, _one_path(mol, _largest)).alias("s"))
+    done = possible(filled).select("mol_id", "n", F.when(F.col("n") > 0, built(("greedy", shape(p), full), lambda: _one_path(mol, _largest))).alias("s"))
     return done.select("mol_id", structure_of(F.col("s.pairs"), F.col("n")).alias("structure"), F.col("s.p").alias("p"))
 
 
