@@ -38,16 +38,20 @@ def priors(x: np.ndarray, tags: list[str]) -> tuple[float, np.ndarray]:
     return float(((off / DELTA) ** 2).sum()), 2 * off / DELTA**2
 
 
-def bounds_table(spark: SparkSession, p: Params) -> DataFrame:
-    """(tag, x, lo, hi, prior, prior_slope) of each parameter, as expressions over its logarithm."""
-    t = spark.createDataFrame([(k, v) for k, v in p.values.items()], "tag string, val double").withColumn("x", F.log("val"))
+def bounded(values: DataFrame) -> DataFrame:
+    """(tag, x, lo, hi, prior, prior_slope) of rows (tag, x: a parameter's logarithm), as expressions."""
     tag = F.col("tag")
     hi = F.when(tag.startswith("Kd") | tag.startswith("C_eff"), 100000.0).when(tag.isin("C_init", "K_coax"), 100.0).otherwise(10.0)
-    t = t.withColumns({"lo": F.log(F.when(tag.startswith("Kd"), 100.0).otherwise(0.1)), "hi": F.log(hi)})
+    t = values.withColumns({"lo": F.log(F.when(tag.startswith("Kd"), 100.0).otherwise(0.1)), "hi": F.log(hi)})
     off = F.least(F.col("x") - F.col("lo"), F.lit(0.0)) + F.greatest(F.col("x") - F.col("hi"), F.lit(0.0))
     return t.select("tag", "x", "lo", "hi", (off * off / DELTA**2).alias("prior"), (2 * off / DELTA**2).alias("prior_slope"))
 
 
+def bounds_table(spark: SparkSession, p: Params) -> DataFrame:
+    """(tag, x, lo, hi, prior, prior_slope) of each parameter of a set."""
+    return bounded(spark.createDataFrame([(k, v) for k, v in p.values.items()], "tag string, val double").select("tag", F.log("val").alias("x")))
+
+
 def train_tags(p: Params, include: list[str] | None = None, exclude: list[str] | None = None, no_coax: bool = False) -> list[str]:
     if include is not None:
         return include

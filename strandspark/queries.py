@@ -82,7 +82,14 @@ def q_pairs_dotparen(spark, sf_dir):
 
 
 def q_stack_resolve(spark, sf_dir):
-    return candidates.stack_table(spark.range(1), packaged("v0.31"))
+    """The stacks of a set, and how often the texts' molecules hold each of a stack's two strands."""
+    seq = F.col("sequence")
+    twos = F.transform(F.when(F.length(seq) > 1, F.sequence(F.lit(1), F.length(seq) - 1)), lambda k: F.substring(seq, k, F.lit(2)))
+    seen = sequences(spark, sf_dir).select(F.explode(twos).alias("two"), "copies").groupBy("two").agg(F.sum("copies").alias("times"))
+    out = candidates.stack_table(spark.range(1), packaged("v0.31"))
+    for name, two in (("first_strand", F.concat(F.left("bpt1", F.lit(1)), F.left("bpt2", F.lit(1)))), ("second_strand", F.concat(F.right("bpt2", F.lit(1)), F.right("bpt1", F.lit(1))))):
+        out = out.withColumn("two", two).join(seen, "two", "left").select(*out.columns, F.coalesce("times", F.lit(0)).alias(name))
+    return out
 
 
 def q_partition_z(spark, sf_dir):
@@ -184,11 +191,6 @@ def q_defect_overall(spark, sf_dir):
     return defects.overall(_measured(spark, sf_dir).join(copies, "mol_id").withColumn("package", F.lit("own")), ["package"], "copies").select("package", F.round("ensemble_defect", 4).alias("ensemble_defect"), F.round("bpp_defect", 4).alias("bpp_defect"))
 
 
-def q_bounds(spark, sf_dir):
-    x = training.bounds_table(spark, packaged("v0.31"))
-    return x.select("tag", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("prior", 6).alias("prior"), F.round("prior_slope", 6).alias("prior_slope"))
-
-
 def _examples(spark, sf_dir):
     return with_structure(spark, sf_dir).select("mol_id", "strands", "circle", "structure").join(sequences(spark, sf_dir).select("mol_id", "copies"), "mol_id")
 
@@ -198,10 +200,20 @@ def q_loss(spark, sf_dir):
     return training.loss(_examples(spark, sf_dir), plain(), spark, "copies").select("examples", F.round("loss", 3).alias("loss"))
 
 
-def q_train_step(spark, sf_dir):
+def _stepped(spark, sf_dir):
     tags = ["Kd_CG", "Kd_AU", "Kd_GU", "C_init", "l", "l_BP", "C_eff_stacked_pair", "C_eff_motif_NNNNN"]
-    got = training.step(_examples(spark, sf_dir), plain(), tags, 1e-6, "copies")
-    return got.select("tag", F.round("x", 6).alias("x"), F.round("slope", 2).alias("slope"), F.round("x_next", 5).alias("x_next"))
+    return training.step(_examples(spark, sf_dir), plain(), tags, 1e-6, "copies")
+
+
+def q_train_step(spark, sf_dir):
+    return _stepped(spark, sf_dir).select("tag", F.round("x", 6).alias("x"), F.round("slope", 2).alias("slope"), F.round("x_next", 5).alias("x_next"))
+
+
+def q_bounds(spark, sf_dir):
+    """Bounds and priors of the default set, and of the plain set after a training step over the texts."""
+    rows = training.bounds_table(spark, packaged("v0.31")).withColumn("param_set", F.lit("v0.31"))
+    after = training.bounded(_stepped(spark, sf_dir).select("tag", F.col("x_next").alias("x"))).withColumn("param_set", F.lit("plain, a step on"))
+    return rows.unionByName(after).select("param_set", "tag", *[F.round(c, 4).alias(c) for c in ("lo", "hi", "prior", "prior_slope")])
 
 
 #: By what the sets of q_param_scan multiply Kd_CG, Kd_AU and Kd_GU.
@@ -223,6 +235,15 @@ def q_mfe_exact(spark, sf_dir):
     return found.join(scoring.score(own, p).select("mol_id", F.col("dg").alias("dg_structure")), "mol_id").select("mol_id", F.round("dg", 5).alias("dg"), F.round("dg_structure", 5).alias("dg_structure"))
 
 
+#: How far above the least energy q_suboptimal goes, in kcal/mol.
+ABOVE = 2.5
+
+
+def q_suboptimal(spark, sf_dir):
+    """All structures near each molecule's least energy, without those beyond."""
+    return traceback.within(molecules(spark, sf_dir), plain(), ABOVE, simple=True).select("mol_id", "structure", F.round("dg", 5).alias("dg"))
+
+
 def q_threeway_coax(spark, sf_dir):
     """A pair around two hairpins that touch, a N^p b N b c N c N^t a: three-way loops with and without a stack of the two."""
     p, gap = packaged("minimal"), lambda k: F.repeat(F.lit("N"), k)
@@ -233,12 +254,17 @@ def q_threeway_coax(spark, sf_dir):
 
 
 def q_favorites(spark, sf_dir):
-    """Defects of the known natural structures, molecule by molecule and over all."""
+    """Defects of the known natural structures, molecule by molecule and over all, and how many of the texts' molecules are a piece of each."""
     p = packaged("v0.18")
     m = known.molecules(spark, "favorites").drop("force").repartition(9, "mol_id")
     measured = defects.defects(m, observables.bpp(fold.fill(m.drop("structure"), p, full=True), p)).withColumns({"package": F.lit("v0.18"), "name": F.col("mol_id")})
     rows = measured.select("package", "name", "ensemble_defect", "bpp_defect").unionByName(defects.overall(measured, ["package"]).select("package", F.lit("OVERALL").alias("name"), "ensemble_defect", "bpp_defect"))
-    return rows.select("package", "name", F.round("ensemble_defect", 4).alias("ensemble_defect"), F.round("bpp_defect", 4).alias("bpp_defect"))
+    text = F.array_join("strands", "")
+    windows = F.transform(F.sequence(F.lit(1), F.length(text) - N + 1), lambda k: F.substring(text, k, F.lit(N)))
+    pieces = m.select(F.col("mol_id").alias("name"), F.explode(windows).alias("sequence"))
+    pieces = pieces.unionByName(pieces.withColumn("name", F.lit("OVERALL"))).distinct()
+    seen = pieces.join(sequences(spark, sf_dir), "sequence").groupBy("name").agg(F.sum("copies").alias("pieces"))
+    return rows.join(seen, "name", "left").select("package", "name", F.round("ensemble_defect", 4).alias("ensemble_defect"), F.round("bpp_defect", 4).alias("bpp_defect"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -302,6 +328,10 @@ _TARGET = f"(e.structure = (SELECT structure FROM st WHERE st.mol_id = e.mol_id)
 _STACKS = ", ".join(f"('{t[12:14]}','{t[15:]}',{v!r})" for t, v in packaged("v0.31").values.items() if t.startswith("C_eff_stack_"))
 _TAGS = ", ".join(f"('{t}',{v!r}::DOUBLE)" for t, v in packaged("v0.31").values.items())
 _SHAPES = ", ".join(f"('{s}','^{fold.strand_pattern(s)}$')" for s in sorted({s for m in packaged("v0.31").motifs for s in m.strands}))
+#: Slopes of the loss by enumeration.
+_STEP = f"""WITH RECURSIVE {_ENUM}, {_STRUCT}, tags(tag, x) AS (VALUES {", ".join(f"('{t}', ln({v}))" for t, v in PLAIN[4:] if t != "C_eff_motif_NN_NNN")}),
+c AS (SELECT e.mol_id, w / z AS share, {_TARGET} AS own, UNNEST([-cg, -au, -gu, xc, xl, xb, xs, xh]) AS v, UNNEST(['Kd_CG', 'Kd_AU', 'Kd_GU', 'C_init', 'l', 'l_BP', 'C_eff_stacked_pair', 'C_eff_motif_NNNNN']) AS tag FROM e JOIN z USING (mol_id)),
+d AS (SELECT tag, {KT!r} * sum(copies * v * (share - own::INT)) AS slope FROM c JOIN m USING (mol_id) WHERE mol_id IN (SELECT mol_id FROM e WHERE {_TARGET}) GROUP BY tag)"""
 SQL: dict[str, str] = {
     "q_strand_parse": f"WITH {_MOLS} SELECT mol_id, copies, CASE WHEN n > 5 THEN 2 ELSE 1 END AS n_strands, n, CASE WHEN n > 5 THEN 1 ELSE 0 END AS joints, CASE WHEN n > 5 THEN '4,' || (n - 1) ELSE '' || (n - 1) END AS nicks FROM m",
     "q_pair_candidates": f"WITH {_MOLS}, {_TYPES}, {_POS}, {_CAN} SELECT mol_id, i, j, tag FROM can",
@@ -313,8 +343,9 @@ UNION ALL SELECT a.mol_id, v.motif, a.i, a.j, a.tag, b.i, b.j, b.tag FROM can a
   ON b.i = (a.i + v.p) % a.n AND b.j = (a.j - v.q + a.n) % a.n AND (a.j - a.i + a.n) % a.n >= 4 AND (CASE WHEN a.i < a.j THEN true ELSE a.i + v.p < a.n AND a.j - v.q >= 0 END)""",
     "q_dotparen_pairs": f"WITH {_MOLS}, {_STRUCT} SELECT mol_id, i, j FROM ({_matched('st')})",
     "q_pairs_dotparen": f"WITH {_MOLS}, {_STRUCT} SELECT mol_id, structure FROM st",
-    "q_stack_resolve": f"""WITH g(b1, b2, c, o) AS (SELECT *, row_number() OVER () FROM (VALUES {_STACKS})), u AS (SELECT b1 AS bpt1, b2 AS bpt2, c, o FROM g UNION ALL SELECT reverse(b2), reverse(b1), c, o + 0.5 FROM g)
-SELECT bpt1, bpt2, arg_max(c, o)::DOUBLE AS c_eff FROM u GROUP BY bpt1, bpt2""",
+    "q_stack_resolve": f"""WITH {_MOLS}, g(b1, b2, c, o) AS (SELECT *, row_number() OVER () FROM (VALUES {_STACKS})), u AS (SELECT b1 AS bpt1, b2 AS bpt2, c, o FROM g UNION ALL SELECT reverse(b2), reverse(b1), c, o + 0.5 FROM g),
+r AS (SELECT bpt1, bpt2, arg_max(c, o)::DOUBLE AS c_eff FROM u GROUP BY bpt1, bpt2), two AS (SELECT substr(s, k::INT, 2) AS two, sum(copies)::BIGINT AS times FROM (SELECT s, copies, unnest(range(1, n)) AS k FROM m) GROUP BY 1)
+SELECT bpt1, bpt2, c_eff, coalesce((SELECT times FROM two WHERE two.two = bpt1[1] || bpt2[1]), 0) AS first_strand, coalesce((SELECT times FROM two WHERE two.two = bpt2[2] || bpt1[2]), 0) AS second_strand FROM r""",
     "q_partition_z": f"WITH RECURSIVE {_ENUM} SELECT mol_id, n, round(ln(z), 6) AS log_z, round({_DG} * ln(z), 6) AS dg FROM z",
     "q_bpp": f"WITH RECURSIVE {_BPP} SELECT mol_id, i, j, round(p, 6) AS p FROM bp",
     "q_enumerate": f"WITH RECURSIVE {_ENUM} SELECT e.mol_id, e.structure, round(e.w / z.z, 6) AS p FROM e JOIN z USING (mol_id)",
@@ -331,16 +362,16 @@ SELECT mol_id, tag, round(v, 5) AS d FROM (UNPIVOT d ON COLUMNS(* EXCLUDE mol_id
     "q_multistrand_z": f"WITH {_H} SELECT mol_id, documents, round(ln(1 / 0.0002 * (4 + pow(0.5, a + b + 2) * 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
     "q_defects": f"WITH RECURSIVE {_DEF} SELECT mol_id, n, n_bp, round((2 * miss + stray) / n, 5) AS ensemble_defect, round(CASE WHEN n_bp > 0 THEN miss / n_bp END, 5) AS bpp_defect FROM per",
     "q_defect_overall": f"WITH RECURSIVE {_DEF} SELECT 'own' AS package, round(sum((2 * miss + stray) * copies) / sum(per.n * copies), 4) AS ensemble_defect, round(sum(miss * copies) / sum(n_bp * copies), 4) AS bpp_defect FROM per JOIN m USING (mol_id)",
-    "q_bounds": f"""WITH v(tag, val) AS (VALUES {_TAGS}), b AS (SELECT tag, ln(val) AS x, CASE WHEN tag LIKE 'Kd%' THEN ln(100.0) ELSE ln(0.1) END AS lo, CASE WHEN tag LIKE 'Kd%' OR tag LIKE 'C_eff%' THEN ln(100000.0) WHEN tag IN ('C_init', 'K_coax') THEN ln(100.0) ELSE ln(10.0) END AS hi FROM v)
-SELECT tag, round(lo, 6) AS lo, round(hi, 6) AS hi, round(CASE WHEN x < lo THEN (x - lo) * (x - lo) WHEN x > hi THEN (x - hi) * (x - hi) ELSE 0 END, 6) AS prior, round(CASE WHEN x < lo THEN 2 * (x - lo) WHEN x > hi THEN 2 * (x - hi) ELSE 0 END, 6) AS prior_slope FROM b""",
     "q_loss": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT sum(copies)::BIGINT AS examples, round(sum(copies * ({_DG} * ln(e.w) - {_DG} * ln(z.z))), 3) AS loss FROM e JOIN z USING (mol_id) JOIN m USING (mol_id) WHERE {_TARGET}",
-    "q_train_step": f"""WITH RECURSIVE {_ENUM}, {_STRUCT}, tags(tag, x) AS (VALUES {", ".join(f"('{t}', ln({v}))" for t, v in PLAIN[4:] if t != "C_eff_motif_NN_NNN")}),
-c AS (SELECT e.mol_id, w / z AS share, {_TARGET} AS own, UNNEST([-cg, -au, -gu, xc, xl, xb, xs, xh]) AS v, UNNEST(['Kd_CG', 'Kd_AU', 'Kd_GU', 'C_init', 'l', 'l_BP', 'C_eff_stacked_pair', 'C_eff_motif_NNNNN']) AS tag FROM e JOIN z USING (mol_id)),
-d AS (SELECT tag, {KT!r} * sum(copies * v * (share - own::INT)) AS slope FROM c JOIN m USING (mol_id) WHERE mol_id IN (SELECT mol_id FROM e WHERE {_TARGET}) GROUP BY tag)
+    "q_train_step": f"""{_STEP}
 SELECT tag, round(x, 6) AS x, round(slope, 2) AS slope, round(x - 1e-6 * slope, 5) AS x_next FROM tags JOIN d USING (tag)""",
+    "q_bounds": f"""{_STEP}, v(param_set, tag, x) AS (SELECT 'v0.31', tag, ln(val) FROM (VALUES {_TAGS}) AS w(tag, val) UNION ALL SELECT 'plain, a step on', tag, x - 1e-6 * slope FROM tags JOIN d USING (tag)),
+b AS (SELECT param_set, tag, x, CASE WHEN tag LIKE 'Kd%' THEN ln(100.0) ELSE ln(0.1) END AS lo, CASE WHEN tag LIKE 'Kd%' OR tag LIKE 'C_eff%' THEN ln(100000.0) WHEN tag IN ('C_init', 'K_coax') THEN ln(100.0) ELSE ln(10.0) END AS hi FROM v)
+SELECT param_set, tag, round(lo, 4) AS lo, round(hi, 4) AS hi, round(CASE WHEN x < lo THEN (x - lo) * (x - lo) WHEN x > hi THEN (x - hi) * (x - hi) ELSE 0 END, 4) AS prior, round(CASE WHEN x < lo THEN 2 * (x - lo) WHEN x > hi THEN 2 * (x - hi) ELSE 0 END, 4) AS prior_slope FROM b""",
     "q_param_scan": f"""WITH RECURSIVE {_ENUM}, v(param_set, fcg, fau, fgu) AS (VALUES {", ".join(f"({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for k, (a, b, c) in enumerate(SCAN))})
 SELECT mol_id, param_set, round(ln(sum(w * pow(fcg, -cg) * pow(fau, -au) * pow(fgu, -gu))), 6) AS log_z FROM e, v GROUP BY mol_id, param_set""",
     "q_mfe_exact": f"WITH RECURSIVE {_ENUM} SELECT mol_id, round({_DG} * ln(max(w)), 5) AS dg, round({_DG} * ln(max(w)), 5) AS dg_structure FROM e GROUP BY mol_id",
+    "q_suboptimal": f"WITH RECURSIVE {_ENUM}, least AS (SELECT mol_id, max(w) AS top FROM e GROUP BY mol_id) SELECT mol_id, structure, round({_DG} * ln(w), 5) AS dg FROM e JOIN least USING (mol_id) WHERE w >= top * exp(-{ABOVE} / {KT!r} - 1e-9)",
     "q_threeway_coax": f"""WITH {_H}, x AS (SELECT mol_id, documents, a, b, pow(0.5::DOUBLE, 2) * 0.2 / 0.0002 AS x, pow(0.5::DOUBLE, a + b + 7) * 0.2 / 0.0002 AS w0, pow(0.5::DOUBLE, a + b + 5) * 0.2 * 0.2 / 0.0002 AS w1, pow(0.5::DOUBLE, a + b + 3) * pow(0.2::DOUBLE, 3) / 0.0002 AS w2, pow(0.5::DOUBLE, a + b + 2) * 0.2 * 200 * 100 / 0.0002 AS w3 FROM a),
 y AS (SELECT *, x * x * 100 AS outer_coax, x * x * w3 AS inner_coax, 1 + 2 * x + x * x * 101 + w0 + 2 * w1 * x + x * x * (w2 + w3) AS z FROM x)
 SELECT mol_id, documents, round(ln(z), 6) AS log_z, round(inner_coax / z, 5) AS "d_l_coax", round((inner_coax + outer_coax) / z, 5) AS "d_K_coax", round((2 * x + 2 * x * x * 101 + w0 + 2 * w1 * x * 3 + x * x * (w2 * 5 + w3 * 3)) / z, 5) AS "d_l_BP" FROM y""",
