@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.functions import connections, pairs_of, partners, strands_of, structure_of
+from strandspark.functions import connections, pairs_of, partners, sql, strands_of, structure_of
 from strandspark.operators import candidates, defects, fold, observables, scoring, traceback, training
 from strandspark.sources import known
 from strandspark.sources.params import KT, Params, packaged, resolve
@@ -81,6 +81,22 @@ def q_pairs_dotparen(spark, sf_dir):
     return m.select("mol_id", structure_of(pairs_of(partners(F.col("structure"))), F.length("structure")).alias("structure"))
 
 
+def q_sql_pairs(spark, sf_dir):
+    """How often a pair joins two letters in the texts' molecules, in SQL alone: molecules and pairs come from lateral joins with the functions of functions.sql."""
+    sql.register(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.sql(
+        """
+        WITH m AS (SELECT t.sequence, count(*) AS copies FROM {docs} d, LATERAL molecules_of(d.text, {n}) t GROUP BY t.sequence),
+        h AS (SELECT *, CAST(least(greatest(floor((length(sequence) - 3) / 2), 0), 3) AS INT) AS k FROM m),
+        st AS (SELECT sequence, copies, concat(repeat('(', k), repeat('.', length(sequence) - 2 * k), repeat(')', k)) AS structure FROM h)
+        SELECT substring(st.sequence, p.i + 1, 1) AS nt1, substring(st.sequence, p.j + 1, 1) AS nt2, p.j - p.i AS apart, sum(st.copies) AS times
+        FROM st, LATERAL pairs_of(st.structure) p GROUP BY 1, 2, 3
+        """,
+        docs=docs, n=N,
+    )
+
+
 def q_stack_resolve(spark, sf_dir):
     """The stacks of a set, and how often the texts' molecules hold each of a stack's two strands."""
     seq = F.col("sequence")
@@ -343,6 +359,7 @@ UNION ALL SELECT a.mol_id, v.motif, a.i, a.j, a.tag, b.i, b.j, b.tag FROM can a
   ON b.i = (a.i + v.p) % a.n AND b.j = (a.j - v.q + a.n) % a.n AND (a.j - a.i + a.n) % a.n >= 4 AND (CASE WHEN a.i < a.j THEN true ELSE a.i + v.p < a.n AND a.j - v.q >= 0 END)""",
     "q_dotparen_pairs": f"WITH {_MOLS}, {_STRUCT} SELECT mol_id, i, j FROM ({_matched('st')})",
     "q_pairs_dotparen": f"WITH {_MOLS}, {_STRUCT} SELECT mol_id, structure FROM st",
+    "q_sql_pairs": f"WITH {_MOLS}, {_STRUCT} SELECT s[i + 1] AS nt1, s[j + 1] AS nt2, j - i AS apart, sum(copies)::BIGINT AS times FROM ({_matched('st')}) JOIN m USING (mol_id) GROUP BY 1, 2, 3",
     "q_stack_resolve": f"""WITH {_MOLS}, g(b1, b2, c, o) AS (SELECT *, row_number() OVER () FROM (VALUES {_STACKS})), u AS (SELECT b1 AS bpt1, b2 AS bpt2, c, o FROM g UNION ALL SELECT reverse(b2), reverse(b1), c, o + 0.5 FROM g),
 r AS (SELECT bpt1, bpt2, arg_max(c, o)::DOUBLE AS c_eff FROM u GROUP BY bpt1, bpt2), two AS (SELECT substr(s, k::INT, 2) AS two, sum(copies)::BIGINT AS times FROM (SELECT s, copies, unnest(range(1, n)) AS k FROM m) GROUP BY 1)
 SELECT bpt1, bpt2, c_eff, coalesce((SELECT times FROM two WHERE two.two = bpt1[1] || bpt2[1]), 0) AS first_strand, coalesce((SELECT times FROM two WHERE two.two = bpt2[2] || bpt1[2]), 0) AS second_strand FROM r""",

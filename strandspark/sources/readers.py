@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandspark.sources import formats
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, k, fields): the lines of each file by number, split at white space. A file is one row until its lines are told apart, so that numbers are those of the file."""
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
+    """(file, k, line, fields): the lines of each file by number, split at white space. A file is one task, read line by line."""
+    formats.register(spark)
+    rows = spark.read.format("numbered_lines").load(path)
     return rows.withColumn("fields", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""))
 
 
