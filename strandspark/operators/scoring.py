@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.functions import built, connections, let, span
-from strandspark.operators.fold import fill, free_energy, nothing, prepare, sets_column
+from strandspark.operators.fold import fill, free_energy, nothing, partition, prepare, sets_column, shape, weights
 from strandspark.operators.observables import log_derivatives
 from strandspark.sources.params import Params
 
@@ -54,6 +58,34 @@ def loops(molecules: DataFrame) -> DataFrame:
     return m.select("mol_id", F.explode(built(("loops",), lambda: _decomposed(m))).alias("x")).select("mol_id", "x.residues", "x.strands", "x.structure", "x.ends")
 
 
+def _ring() -> Column:
+    """Without a nick: a circle."""
+    return (F.col("n") > 0) & (F.col("nicks") == 0)
+
+
+def _joints(molecules: DataFrame) -> DataFrame:
+    """(mol_id, n, nicks, c, has): letters, nicks and joints of each molecule, and whether its structure has pairs."""
+    return prepare(molecules).select("mol_id", "n", F.size("nicks").alias("nicks"), connections(F.col("strands"), F.col("circle")).alias("c"), (F.coalesce(F.array_max("of"), F.lit(-1)) >= 0).alias("has"))
+
+
+def _together(molecules: DataFrame, of_loop: DataFrame, p: Params, sets: list[Params] | None = None) -> DataFrame:
+    """(mol_id, log_z, z, dg) of molecules whose loops' log_z are known: of_loop has a row for each loop of each molecule, with par."""
+    place = {t.tag: k for k, t in enumerate(p.types) if not t.lower}
+    lower = next((k for k, t in enumerate(p.types) if t.lower), 0)
+    known = F.create_map(*[F.lit(x) for pair in place.items() for x in pair]) if place else None
+    kd = F.col("par.kd")
+    end = lambda e: F.get(kd, F.coalesce(F.try_element_at(known, e), F.lit(lower)) if place else F.lit(lower)) - F.get(kd, F.lit(0))
+    fix = F.aggregate("ends", F.lit(0.0), lambda s, e: s + 0.5 * end(e)) + (F.size("strands") - 1) * F.get(kd, F.lit(0))
+    logs = of_loop.groupBy("mol_id", F.col("par.set").alias("set")).agg(F.sum(fix + F.col("log_z")).alias("s"), F.first(F.get(kd, F.lit(0))).alias("kd0"))
+    joined = _joints(molecules)
+    # Without pairs a circle is one loop, what has one end is as it is, and more strands are not one molecule.
+    bare = joined.filter("not has").withColumn("par", F.explode(sets_column(sets or [p])))
+    unpaired = bare.select("mol_id", "par.set", F.when(_ring(), F.col("par.C_init") + F.col("n") * F.col("par.l")).when(F.col("nicks") <= 1, 0.0).otherwise(nothing()).alias("log_z"))
+    with_pairs = joined.filter("has").join(logs, "mol_id").select("mol_id", "set", (F.col("s") - F.col("c") * F.col("kd0")).alias("log_z"))
+    by = ["set"] if sets else []
+    return with_pairs.unionByName(unpaired).select("mol_id", *by, "log_z", F.exp("log_z").alias("z"), free_energy(F.col("log_z")).alias("dg"))
+
+
 def score(molecules: DataFrame, p: Params, tags: list[str] | None = None, sets: list[Params] | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
     """(mol_id, log_z, z, dg) of molecules with a structure: the product of their loops, each a fold that is forced to its pairs.
 
@@ -68,23 +100,9 @@ def score(molecules: DataFrame, p: Params, tags: list[str] | None = None, sets:
     key = ["strands", "structure"]
     mini = own.select(*key).distinct().withColumn("mol_id", F.xxhash64(F.concat_ws("+", "strands"), F.col("structure"))).withColumn("circle", F.lit(False))
     folded = fill(mini, p, full=tags is not None, sets=sets)
-    place = {t.tag: k for k, t in enumerate(p.types) if not t.lower}
-    lower = next((k for k, t in enumerate(p.types) if t.lower), 0)
-    known = F.create_map(*[F.lit(x) for pair in place.items() for x in pair]) if place else None
-    kd = F.col("par.kd")
-    end = lambda e: F.get(kd, F.coalesce(F.try_element_at(known, e), F.lit(lower)) if place else F.lit(lower)) - F.get(kd, F.lit(0))
     of_loop = own.withColumn("mini", F.xxhash64(F.concat_ws("+", "strands"), F.col("structure")))
-    fix = F.aggregate("ends", F.lit(0.0), lambda s, e: s + 0.5 * end(e)) + (F.size("strands") - 1) * F.get(kd, F.lit(0))
-    logs = of_loop.join(folded.select(F.col("mol_id").alias("mini"), "par", "log_z"), "mini").groupBy("mol_id", F.col("par.set").alias("set")).agg(F.sum(fix + F.col("log_z")).alias("s"), F.first(F.get(kd, F.lit(0))).alias("kd0"))
-    m = prepare(molecules)
-    joined = m.select("mol_id", "n", F.size("nicks").alias("nicks"), connections(F.col("strands"), F.col("circle")).alias("c"), (F.coalesce(F.array_max("of"), F.lit(-1)) >= 0).alias("has"))
-    # Without pairs a circle is one loop, what has one end is as it is, and more strands are not one molecule.
-    ring = (F.col("n") > 0) & (F.col("nicks") == 0)
-    bare = joined.filter("not has").withColumn("par", F.explode(sets_column(sets or [p])))
-    unpaired = bare.select("mol_id", "par.set", F.when(ring, F.col("par.C_init") + F.col("n") * F.col("par.l")).when(F.col("nicks") <= 1, 0.0).otherwise(nothing()).alias("log_z"))
-    with_pairs = joined.filter("has").join(logs, "mol_id").select("mol_id", "set", (F.col("s") - F.col("c") * F.col("kd0")).alias("log_z"))
-    by = ["set"] if sets else []
-    out = with_pairs.unionByName(unpaired).select("mol_id", *by, "log_z", F.exp("log_z").alias("z"), free_energy(F.col("log_z")).alias("dg"))
+    joined = _joints(molecules)
+    out = _together(molecules, of_loop.join(folded.select(F.col("mol_id").alias("mini"), "par", "log_z"), "mini"), p, sets)
     if tags is None:
         return out
     deriv = log_derivatives(folded, p, tags).select(F.col("mol_id").alias("mini"), "tag", "dlogz_dlogp")
@@ -102,6 +120,50 @@ def score(molecules: DataFrame, p: Params, tags: list[str] | None = None, sets:
         every = every.unionByName(joined.filter("has").select("mol_id", F.lit(t).alias("tag"), (-F.col("c")).cast("double").alias("dlogz_dlogp")))
     for t, count in (("l", F.col("n").cast("double")), ("C_init", F.lit(1.0))):
         if t in tags:
-            every = every.unionByName(joined.filter(~F.col("has") & ring).select("mol_id", F.lit(t).alias("tag"), count.alias("dlogz_dlogp")))
+            every = every.unionByName(joined.filter(~F.col("has") & _ring()).select("mol_id", F.lit(t).alias("tag"), count.alias("dlogz_dlogp")))
     return out, every.groupBy("mol_id", "tag").agg(F.sum("dlogz_dlogp").alias("dlogz_dlogp"))
 
+
+KEY = ["strands", "structure"]
+KEPT_DDL = "strands array<string>, structure string, log_z double, param_set string"
+#: The loops that occur most often are looked up without a shuffle, so that no other loop is more than a thousandth of all.
+COMMON = 1000
+
+
+def set_key(p: Params) -> str:
+    """A name that two sets share only if they give every loop the same energy: a hash of shape and numbers at full precision."""
+    return "set-" + hashlib.sha256(json.dumps([shape(p), weights(p)]).encode()).hexdigest()[:32]
+
+
+def kept_loops(spark: SparkSession, p: Params, path: str) -> DataFrame:
+    """(strands, structure, log_z): the loops folded by p that are kept at path, each once; none if nothing is kept there."""
+    try:
+        rows = spark.read.schema(KEPT_DDL).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], KEPT_DDL)
+    return rows.filter(F.col("param_set") == set_key(p)).groupBy(*KEY).agg(F.max("log_z").alias("log_z"))
+
+
+def keep_loops(molecules: DataFrame, p: Params, path: str) -> None:
+    """Folds those loops of molecules that are not kept at path, and appends them.
+
+    Rows are worth something each on its own: files of an append that was cut short are whole loops, and the rest is folded
+    by the next call. Two calls at once may keep a loop twice, with the same energy; kept_loops() takes it once.
+    """
+    spark = molecules.sparkSession
+    unseen = loops(molecules).select(*KEY).distinct().join(kept_loops(spark, p, path).select(*KEY), KEY, "left_anti")
+    folded = partition(unseen.withColumns({"mol_id": F.struct(*KEY), "circle": F.lit(False)}), p)
+    folded.select("mol_id.*", "log_z", F.lit(set_key(p)).alias("param_set")).write.mode("append").partitionBy("param_set").parquet(path)
+
+
+def score_kept(molecules: DataFrame, p: Params, path: str) -> DataFrame:
+    """score() of one set, with loop energies kept at path from one call to the next: only loops that no call has met are folded, whichever molecules they are in. Sets of other numbers or shape have rows of their own."""
+    keep_loops(molecules, p, path)
+    own, table = loops(molecules), kept_loops(molecules.sparkSession, p, path)
+    common = own.groupBy(*KEY).count().orderBy(F.desc("count"), *KEY).limit(COMMON).select(*KEY).join(table, KEY)
+    tried = own.join(F.broadcast(common), KEY, "left")
+    rare = tried.filter("log_z is null").drop("log_z").join(table, KEY)
+    found = tried.filter("log_z is not null").unionByName(rare)
+    return _together(molecules, found.withColumn("par", F.get(sets_column([p]), 0)), p)

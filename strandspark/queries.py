@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,6 +149,39 @@ def q_score_structure(spark, sf_dir):
     return scoring.score(with_structure(spark, sf_dir), plain()).filter("dg is not null").select("mol_id", F.round("dg", 5).alias("dg"))
 
 
+def _shared_dir(spark):
+    """A new path in the folder that all executors share; a temporary one where none is set and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/strands-{uuid.uuid4().hex}"
+
+
+def _all_structures(spark, sf_dir):
+    """Every structure of every molecule as a molecule of its own: bare hairpins, stacks, bulges, inner loops and what has no pair. Written once, as all that reads it would enumerate anew."""
+    p, path = plain(), _shared_dir(spark)
+    found = traceback.enumerate_structures(fold.fill(molecules(spark, sf_dir), p, simple=True), p)
+    found.select(F.concat_ws(" ", "mol_id", "structure").alias("mol_id"), F.array("mol_id").alias("strands"), F.lit(False).alias("circle"), "structure").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def q_score_all(spark, sf_dir):
+    """Energies of all structures, each beside its derivatives, loop by loop."""
+    tags = ["Kd_CG", "C_init", "l", "l_BP", "C_eff_stacked_pair"]
+    energies, slopes = scoring.score(_all_structures(spark, sf_dir), plain(), tags)
+    wide = slopes.groupBy("mol_id").pivot("tag", tags).agg(F.first("dlogz_dlogp"))
+    return energies.join(wide, "mol_id", "left").select("mol_id", F.round("dg", 5).alias("dg"), *[F.round(F.coalesce(t, F.lit(0.0)), 5).alias(f"d_{t}") for t in tags])
+
+
+def q_score_kept(spark, sf_dir):
+    """Energies of all structures by a table of loops: the hairpins' loops are kept there first, so that only the others are folded then."""
+    path = _shared_dir(spark)
+    scoring.keep_loops(with_structure(spark, sf_dir), plain(), path)
+    return scoring.score_kept(_all_structures(spark, sf_dir), plain(), path).select("mol_id", F.round("dg", 5).alias("dg"))
+
+
 def q_mfe(spark, sf_dir):
     p = plain()
     return traceback.mfe(fold.fill(molecules(spark, sf_dir), p, simple=True), p)
@@ -371,6 +406,8 @@ SELECT mol_id, tag, round(v, 5) AS d FROM (UNPIVOT d ON COLUMNS(* EXCLUDE mol_id
     "q_final_spread": f"WITH RECURSIVE {_ENUM} SELECT mol_id, round(ln(z), 6) AS least, round(ln(z), 6) AS most FROM z",
     "q_energy_gap": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT e.mol_id, round({_DG} * ln(e.w), 5) AS dg_structure, round({_DG} * ln(e.w) - {_DG} * ln(z.z), 5) AS dg_gap FROM e JOIN z USING (mol_id) WHERE {_TARGET}",
     "q_score_structure": f"WITH RECURSIVE {_ENUM}, {_STRUCT} SELECT e.mol_id, round({_DG} * ln(e.w), 5) AS dg FROM e WHERE {_TARGET}",
+    "q_score_all": f"""WITH RECURSIVE {_ENUM} SELECT mol_id || ' ' || structure AS mol_id, round({_DG} * ln(w), 5) AS dg, round((-cg)::DOUBLE, 5) AS "d_Kd_CG", round(xc, 5) AS "d_C_init", round(xl, 5) AS "d_l", round(xb, 5) AS "d_l_BP", round(xs, 5) AS "d_C_eff_stacked_pair" FROM e""",
+    "q_score_kept": f"WITH RECURSIVE {_ENUM} SELECT mol_id || ' ' || structure AS mol_id, round({_DG} * ln(w), 5) AS dg FROM e",
     "q_circular_z": f"WITH {_H} SELECT mol_id, documents, round(ln(pow(0.5, a + b + 2) * (1 + 0.2 * 0.2 / 0.0002)), 6) AS log_z FROM a",
     "q_coax_z": f"WITH {_H} SELECT mol_id, documents, round(ln((1 + x) * (1 + y) + w + x * y * 100), 6) AS log_z FROM h",
     "q_logderiv_coax": f"""WITH {_H}, z AS (SELECT *, (1 + x) * (1 + y) + w + x * y * 100 AS z, x + y + 2 * x * y + w + 200 * x * y AS pairs FROM h),
