@@ -131,7 +131,7 @@ def q_bpp(spark, sf_dir):
 def q_enumerate(spark, sf_dir):
     p = plain()
     got = traceback.enumerate_structures(fold.fill(molecules(spark, sf_dir), p, simple=True), p)
-    return got.select("mol_id", "structure", F.round("p", 6).alias("p"))
+    return got.select("mol_id", "structure", _rounded("p", 6).alias("p"))
 
 
 def q_logderiv(spark, sf_dir):

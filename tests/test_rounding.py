@@ -21,3 +21,9 @@ def test_pair_probabilities_on_a_half_go_up(spark, texts):
     assert got["UGAAUGGU", 0, 6] == got["UGAAUGGU", 1, 7] == 0.004688  # 3 / 640 = 0.0046875
     assert got["GUGACCAU", 1, 6] == 0.354688  # 227 / 640 = 0.3546875
     assert got["UUCUAAGG", 1, 7] == 0.828598  # 0.82859849998..., the nearest below a half of all molecules
+
+
+def test_structures_on_a_half_go_up(spark, texts):
+    got = {(r["mol_id"], r["structure"]): r["p"] for r in queries.q_enumerate(spark, texts("UGAAUGGU", "UAGACGCG")).collect()}
+    assert got["UGAAUGGU", "(.....)."] == got["UGAAUGGU", ".(.....)"] == 0.004688  # 3 / 640 = 0.0046875
+    assert got["UAGACGCG", "(....).."] == 0.000299  # 0.00029850003...
