@@ -238,7 +238,7 @@ def _measured(spark, sf_dir):
 
 
 def q_defects(spark, sf_dir):
-    return _measured(spark, sf_dir).select("mol_id", "n", "n_bp", F.round("ensemble_defect", 5).alias("ensemble_defect"), F.round("bpp_defect", 5).alias("bpp_defect"))
+    return _measured(spark, sf_dir).select("mol_id", "n", "n_bp", _rounded("ensemble_defect", 5).alias("ensemble_defect"), _rounded("bpp_defect", 5).alias("bpp_defect"))
 
 
 def q_defect_overall(spark, sf_dir):

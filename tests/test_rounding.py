@@ -27,3 +27,10 @@ def test_structures_on_a_half_go_up(spark, texts):
     got = {(r["mol_id"], r["structure"]): r["p"] for r in queries.q_enumerate(spark, texts("UGAAUGGU", "UAGACGCG")).collect()}
     assert got["UGAAUGGU", "(.....)."] == got["UGAAUGGU", ".(.....)"] == 0.004688  # 3 / 640 = 0.0046875
     assert got["UAGACGCG", "(....).."] == 0.000299  # 0.00029850003...
+
+
+def test_defects_on_a_half_go_up(spark, texts):
+    got = {r["mol_id"]: (r["ensemble_defect"], r["bpp_defect"]) for r in queries.q_defects(spark, texts("UAUCCCUG", "GAAAAAUC", "AAAA")).collect()}
+    assert got["UAUCCCUG"] == (0.37278, 0.60063)  # 961 / 1600 = 0.600625
+    assert got["GAAAAAUC"] == (0.12862, 0.17182)  # 0.1286150004...
+    assert got["AAAA"] == (0.0, None)
